@@ -70,13 +70,13 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-class Spans:
-    """Hashes of byte spans of one block: equal spans have equal hashes wherever they stand."""
+class Rolling:
+    """Hashes of spans of a sequence of 64-bit values: equal spans have equal hashes wherever they stand."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data)
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * _power(_ROLL, n), out=self.sums[1:])
+        np.cumsum(values * _power(_ROLL, n), out=self.sums[1:])
         self.back = _power(_UNROLL, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -91,6 +91,13 @@ class Spans:
         return mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
 
 
+class Spans(Rolling):
+    """Hashes of byte spans of one block."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        super().__init__(_BYTE_VALUE[data])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document numbers of the words of a block; a word is a run without white space."""
     if not len(data):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from sceneloom.llm import exact_dedup
+from sceneloom.llm.bpe import op6_bpe
+from sceneloom.llm.exact_dedup import op2_exact_dedup
+from sceneloom.llm.fingerprints import op9_syncmer_fingerprints
 from sceneloom.llm.ngram_join import op1_ngram_jaccard_join
 from sceneloom.llm.repeats import op4_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_suffix_array_dedup, op6_bpe, op9_syncmer_fingerprints)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
