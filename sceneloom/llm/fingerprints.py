@@ -21,25 +21,27 @@ from pyspark.sql import types as T
 from sceneloom.llm.bytesnp import Spans, closed_syncmers, text_blocks
 from sceneloom.llm.shared import documents
 
-K, S = 20, 8
+K, S = 14, 6
+#: A text of fewer than 2 K bytes has no room for anchors; all its spans of so many bytes stand for it.
+TINY = 3
 #: Anchors in a fingerprint at most.
-ANCHORS = 48
+ANCHORS = 64
 #: Bytes by which the distance of two matching anchors may differ from the usual distance.
 SLACK = 64
 _FIRST_ID = -(1 << 63)
 
 
 def fingerprints(texts: list[bytes], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[np.ndarray]:
-    """(hash, position) rows, ascending by hash, for each text; a text shorter than k is its own one anchor, an empty one has none."""
+    """(hash, position) rows, ascending by hash, for each text; one shorter than 2 k has its spans of ``TINY`` bytes (or itself) as anchors, an empty one has none."""
     out: list[np.ndarray] = []
     for start, end, data, offsets in text_blocks(pa.array(texts, pa.large_binary())):
         spans = Spans(data)
         inner = spans.every(s)
         for d in range(end - start):
             lo, hi = int(offsets[d]), int(offsets[d + 1])
-            if hi - lo < k:
-                at = np.zeros(1 if hi > lo else 0, np.int64)
-                value = spans.hash(lo + at, hi + at)
+            if hi - lo < 2 * k:
+                at = np.arange(max(1, hi - lo - TINY + 1) if hi > lo else 0)
+                value = spans.hash(lo + at, np.minimum(lo + at + TINY, hi))
             else:
                 at = closed_syncmers(inner[lo : hi - s + 1], k, s)
                 if not len(at):
