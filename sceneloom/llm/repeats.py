@@ -21,8 +21,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -329,6 +330,15 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     return joined.mapInArrow(_apply, T.StructType([*docs.select(*own).schema.fields, *added]))
 
 
+def whole_characters(kept: Column) -> Column:
+    """The text of bytes whose first or last character may be incomplete where something was cut; such remains are left out."""
+
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(decoded, "string")(kept)
+
+
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeats(docs, 400).select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("span_starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
