@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sceneloom.catalog import ORACLES, QUERIES
+from sceneloom.plans import search, spatial
 
 
 def all_queries() -> dict:
@@ -16,4 +17,6 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return search.search_bm25(spark, sf_dir)
+
+__all__ = ["all_oracles", "all_queries", "flagship", "search", "spatial"]
