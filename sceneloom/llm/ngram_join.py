@@ -16,9 +16,11 @@ Two rounds decide which documents meet:
 2. Everything that is left, exactly.  If two sets have Jaccard likeness t or more and the
    smaller has a members, they differ in d <= a (1 - t) / t.  So of d + 1 slices of the
    n-gram space at least one has the same members in both; every document is keyed by
-   its slices for its own size class and for the one below, and keys on which different
-   components meet give the pairs (or, where many meet, the blocks) that are still to be
-   compared.
+   its slices for its own size class and for the one below.  Documents of different
+   components that share a key are still to be compared; what such keys connect is a
+   cluster.  The members of a cluster for one size class are a block; or, if they are too
+   many, the largest component among them (the hub) and the others are dealt into parts,
+   and each part of the others makes a block with each part of the hub and of the others.
 """
 
 from __future__ import annotations
@@ -38,14 +40,16 @@ from sceneloom.llm.components import connected_components
 from sceneloom.llm.shared import checked_broadcast, cut, documents
 
 _KEYS = 2
-#: Documents in a block at most (on average, where a group is dealt into several).
-BLOCK_DOCS = 128
-#: Keys on which more documents meet are compared in blocks, others pair by pair.
-PAIR_DOCS = 48
+#: Documents in a block of the first round at most (on average, where a group is dealt into several).
+GROUP_DOCS = 128
+#: Documents and n-grams in a block of the second round at most (on average, where a cluster is dealt into parts).
+BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_200_000
+#: Steps up to which lists are merged by a heap in Python.
+_HEAP_STEPS = 64
 #: Stands for a null doc_id.
 _NO_ID = (1 << 63) - 1
-#: DivideSkip's weight of a binary probe against a heap step.
-_PROBE_COST = 0.0085
+#: Weight of merging against probing, by which the number of lists to set aside is chosen; numpy merges fast, so few are.
+_PROBE_COST = 0.5
 
 
 def _feature_rows(width: int):
@@ -122,12 +126,23 @@ def _key_rows(width: int, num: int, den: int):
     return run
 
 
-def _heap_merge(lists: list[np.ndarray], need: int) -> dict[int, int]:
-    """Members that occur in at least ``need`` of the ascending lists, with how often."""
-    plain = [x.tolist() for x in lists if len(x)]
+def _merge(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, need: int) -> dict[int, int]:
+    """Members that occur in at least ``need`` of the ascending lists ``lists[begin:end]``, with how often.
+
+    A heap of the lists' heads; where the lists are longer together than ``_HEAP_STEPS``,
+    numpy merges and counts them at once.
+    """
+    size = end - begin
+    total = int(size.sum())
+    if total > _HEAP_STEPS:
+        at = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
+        often = np.bincount(lists[at])
+        found = np.flatnonzero(often >= need)
+        return dict(zip(found.tolist(), often[found].tolist(), strict=True))
+    plain = [lists[a:b].tolist() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     heap = [(x[0], i, 0) for i, x in enumerate(plain)]
     heapq.heapify(heap)
-    found: dict[int, int] = {}
+    result: dict[int, int] = {}
     while heap:
         least, count = heap[0][0], 0
         while heap and heap[0][0] == least:
@@ -138,33 +153,36 @@ def _heap_merge(lists: list[np.ndarray], need: int) -> dict[int, int]:
             else:
                 heapq.heappop(heap)
         if count >= need:
-            found[least] = count
-    return found
+            result[least] = count
+    return result
 
 
-def divide_skip(lists: list[np.ndarray], tokens: np.ndarray, need: int, held_by) -> dict[int, int]:
-    """Members of at least ``need`` of the inverted lists, with how often they occur.
+def divide_skip(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, tokens: np.ndarray, need: int, held_by) -> dict[int, int]:
+    """Members of at least ``need`` of the inverted lists ``lists[begin:end]`` of ``tokens``, with how often they occur.
 
-    The longest lists are not merged: a member that the heap finds often enough in the
+    The longest lists are not merged: a member that occurs often enough in the
     short ones is probed for their tokens by binary search in its sorted set (``held_by``).
     """
-    if len(lists) < need:
+    if len(begin) < need:
         return {}
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    longest = int(size.max()) if len(size) else 0
-    aside = min(need - 1, len(lists), int(need / (_PROBE_COST * math.log2(max(2, longest)) + 1)))
+    size = end - begin
+    aside = min(need - 1, int(need / (_PROBE_COST * math.log2(max(2, int(size.max()))) + 1)))
     by_size = np.argsort(size, kind="stable")
-    short, long = by_size[: len(lists) - aside], by_size[len(lists) - aside :]
+    short, long = by_size[: len(size) - aside], tokens[np.sort(by_size[len(size) - aside :])]
     found = {}
-    for member, count in _heap_merge([lists[i] for i in short], need - aside).items():
-        count += int(held_by(member, tokens[long]).sum())
+    for member, count in _merge(lists, begin[short], end[short], need - aside).items():
+        count += int(held_by(member, long).sum())
         if count >= need:
             found[member] = count
     return found
 
 
 def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (positions) that, with the components given, connect all the block's sets of likeness num/den or more."""
+    """Links (positions) that, with the components given, connect all the block's sets of likeness num/den or more.
+
+    The largest component given is the hub.  Its members are in the index but are not
+    searched for: a link to one of them is found from its other end.
+    """
     n = len(sets)
     parent = list(range(n))
 
@@ -175,11 +193,13 @@ def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int)
         return i
 
     first: dict[int, int] = {}
+    held: dict[int, int] = {}
     for i, c in enumerate(component):
         parent[i] = root(first.setdefault(c, i))
-    apart = len({root(i) for i in range(n)}) - 1
-    if apart < 1:
+        held[c] = held.get(c, 0) + 1
+    if len(first) < 2:
         return []
+    hub = first[max(held, key=lambda c: (held[c], -first[c]))]
 
     def held_by(j: int, tokens: np.ndarray) -> np.ndarray:
         own = sets[j]
@@ -197,31 +217,26 @@ def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int)
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     values, ends = token[begin], np.append(begin[1:], len(token))
     links: list[tuple[int, int]] = []
-    for i in range(1, n):
-        if not apart:
-            break
-        need = -(-num * int(size[i]) // den)
-        heads = list(dict.fromkeys(root(j) for j in range(i)))
-        if len(heads) <= 4:  # near copies of one text: its first member settles most
-            for j in heads:
-                if root(j) != root(i) and alike(i, j, int(held_by(j, sets[i]).sum())):
-                    links.append((i, j))
-                    parent[root(i)] = root(j)
-                    apart -= 1
-        if len(heads) == 1 and root(heads[0]) == root(i):
+
+    def link(i: int, j: int) -> None:
+        links.append((i, j))
+        parent[root(i)] = root(j)
+
+    for i in range(n):
+        if root(i) == root(hub):
+            continue
+        need = -(-num * int(size[i]) // den)  # of any set that is like this one
+        if size[hub] >= need and alike(i, hub, int(held_by(hub, sets[i]).sum())):
+            link(i, hub)
             continue
         at = np.searchsorted(values, sets[i])
         several = ends[at] - begin[at] > 1
         if int(several.sum()) < need:
             continue
-        lists = [which[a:b] for a, b in zip(begin[at[several]], ends[at[several]], strict=True)]
-        lists = [x[: np.searchsorted(x, i)] for x in lists]
-        found = divide_skip(lists, sets[i][several], need, held_by)
+        found = divide_skip(which, begin[at[several]], ends[at[several]], sets[i][several], need, held_by)
         for j in sorted(found, key=lambda j: -found[j]):
             if root(j) != root(i) and alike(i, j, found[j]):
-                links.append((i, j))
-                parent[root(i)] = root(j)
-                apart -= 1
+                link(i, j)
     return links
 
 
@@ -255,7 +270,7 @@ def _link_rows(width: int, num: int, den: int):
 
 def _dealt(key: list[Column], members: Column, doc_id: Column, salt: int) -> Column:
     """The block of a document: one for each key, or several at random if the key has more members than fit."""
-    return F.xxhash64(F.lit(salt), *key, F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.ceil(members / BLOCK_DOCS)))
+    return F.xxhash64(F.lit(salt), *key, F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.ceil(members / GROUP_DOCS)))
 
 
 def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -298,18 +313,26 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     once = own.join(checked_broadcast(status), "doc_id", "left").where("copy IS NULL").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
     by_key = Window.partitionBy("key")
     keyed = once.mapInArrow(_key_rows(width, num, den), "key long, doc_id long, component long")
-    met = keyed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key), "members": F.count(F.lit(1)).over(by_key)})
-    met = cut(met.where("low <> high").select("key", "doc_id", "component", "members"))
-    few, many = met.where(F.col("members") <= PAIR_DOCS), met.where(F.col("members") > PAIR_DOCS)
-    x, y = few.select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx")), few.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    sizes = classes.select(F.col("rep"), F.col("n"))
-    pairs = x.join(y, "key").where("x < y AND cx <> cy").select("x", "y", "cx", "cy").distinct()
-    pairs = pairs.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    pairs = cut(pairs.withColumn("block", _dealt([F.col("x")], F.count(F.lit(1)).over(Window.partitionBy("x")), F.col("y"), 7)).select("block", "x", "y", "cx", "cy"))
-    left = pairs.select("block", F.col("x").alias("doc_id"), F.col("cx").alias("component")).unionByName(pairs.select("block", F.col("y").alias("doc_id"), F.col("cy").alias("component")))
-    parts = many.withColumn("parts", F.ceil(F.col("members") * 2 / BLOCK_DOCS)).withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts")))
-    crossed = parts.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "doc_id", "component")
-    rest = cut(links(cut(left.unionByName(crossed).distinct())))
+    met = keyed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key), "least": F.min("doc_id").over(by_key)}).where("low <> high")
+    clusters = cut(connected_components(met.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()))
+    inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    inside = cut(inside.select(F.col("rep").alias("doc_id"), "cluster", "n", F.coalesce("component", "rep").alias("component")))
+    lows = F.array(*[F.lit(low).cast("long") for low in size_classes(int(inside.agg(F.max("n")).first()[0] or 1), num, den)])
+    own_class = F.size(F.filter(lows, lambda low: low <= F.col("n")))
+    inside = inside.withColumn("cluster", F.explode(F.array(F.xxhash64("cluster", own_class), F.xxhash64("cluster", own_class - 1))))
+    held = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
+    hub = F.max(F.struct("docs", "component"))
+    totals = held.groupBy("cluster").agg(hub["component"].alias("hub"), F.count(F.lit(1)).alias("components"), *[f.alias(n) for n, f in (("hub_docs", hub["docs"]), ("docs", F.sum("docs")), ("grams", F.sum("grams")))]).where("components > 1")
+    parts = lambda docs: F.greatest(F.lit(1), F.ceil(2 * docs / BLOCK_DOCS), F.ceil(2 * F.col("grams") * docs / F.col("docs") / BLOCK_GRAMS)).cast("int")
+    whole = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
+    totals = totals.select("cluster", "hub", F.when(whole, 0).otherwise(parts(F.col("hub_docs"))).alias("inner"), F.when(whole, 1).otherwise(parts(F.col("docs") - F.col("hub_docs"))).alias("outer"))
+    dealt = inside.join(totals, "cluster").withColumn("in_hub", (F.col("component") == F.col("hub")) & (F.col("inner") > 0))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.when(F.col("in_hub"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_hub = F.transform(count(F.when(F.col("in_hub"), F.col("outer")).otherwise(F.col("inner"))), lambda j: F.when(F.col("in_hub"), F.struct(j.alias("a"), (-1 - F.col("i")).alias("b"))).otherwise(F.struct(F.col("i").alias("a"), (-1 - j).alias("b"))))
+    with_others = F.when(F.col("in_hub"), F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(count(F.col("outer")), lambda j: F.struct(F.least(j, F.col("i")).alias("a"), F.greatest(j, F.col("i")).alias("b"))))
+    dealt = dealt.withColumn("j", F.explode(F.concat(with_hub, with_others)))
+    rest = cut(links(cut(dealt.select(F.xxhash64("cluster", "j").alias("block"), "doc_id", "component"))))
     if rest.limit(1).count():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labelled = features.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
