@@ -15,8 +15,7 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
-_UNROLL = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -71,13 +70,17 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of spans of a sequence of 64-bit values: equal spans have equal hashes wherever they stand."""
+    """Hashes of spans of a sequence of 64-bit values: equal spans have equal hashes wherever they stand.
 
-    def __init__(self, values: np.ndarray) -> None:
+    ``base`` 0 and 1 give two hashes that are independent of each other.
+    """
+
+    def __init__(self, values: np.ndarray, base: int = 0) -> None:
         n = len(values)
+        ahead, back = _BASES[base]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _power(_ROLL, n), out=self.sums[1:])
-        self.back = _power(_UNROLL, n + 1)
+        np.cumsum(values * _power(ahead, n), out=self.sums[1:])
+        self.back = _power(back, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.back[start]
@@ -94,8 +97,8 @@ class Rolling:
 class Spans(Rolling):
     """Hashes of byte spans of one block."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        super().__init__(_BYTE_VALUE[data])
+    def __init__(self, data: np.ndarray, base: int = 0) -> None:
+        super().__init__(_BYTE_VALUE[data], base)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

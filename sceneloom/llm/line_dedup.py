@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sceneloom.llm.bytesnp import Spans, text_blocks
 from sceneloom.llm.shared import checked_broadcast, cut, documents
 
 #: Consecutive lines in a window.
@@ -16,17 +18,33 @@ WINDOW = 3
 _NO_ID = -(1 << 63)
 
 
-def _window_keys(lines: Column, window: int) -> Column:
-    """For each run of ``window`` lines a 128-bit key (two 64-bit hashes of its lines, in order) and its position."""
-    at = F.sequence(F.lit(1), F.size(lines) - window + 1)
-    part = lambda i: [F.element_at(lines, (i + j).cast("int")) for j in range(window)]
-    return F.when(F.size(lines) >= window, F.transform(at, lambda i: F.struct(F.xxhash64(*part(i)).alias("h1"), F.xxhash64(F.lit(window), *part(i)).alias("h2"), i.cast("int").alias("line"))))
+def _window_rows(window: int):
+    """A row for each ``window`` consecutive lines of a text: two 64-bit hashes of their bytes, and the number of the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, _, data, offsets in text_blocks(batch["text"]):
+                breaks = np.flatnonzero(data == 10)
+                begin = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(breaks, offsets)) + 1)
+                # an empty text and the line after a final line feed begin where the next text begins; sorting by place keeps texts in order
+                last = np.append(doc[1:] != doc[:-1], True)
+                end = np.where(last, offsets[doc + 1], np.append(begin[1:], 0) - 1)
+                first = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
+                if not len(first):
+                    continue
+                line = first - np.searchsorted(doc, doc[first]) + 1
+                row = pa.array(doc[first] + start)
+                keys = [Spans(data, base).hash(begin[first], end[first + window - 1]).view(np.int64) for base in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch["row_id"].take(row), batch["row_text"].take(row), pa.array(line.astype(np.int32))], names=["h1", "h2", "row_id", "row_text", "line"])
+
+    return run
 
 
 def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with n_lines, removed_lines (numbers from 1, ascending) and kept_text.
 
-    Lines are split at line feeds and compared byte by byte through two 64-bit hashes.
+    Lines are split at line feeds and compared by two 64-bit hashes of their bytes.
     Every ``window`` consecutive lines of a text are a window (so windows overlap); a text of
     fewer lines has none and is left as it is, and so is a null text (n_lines 0, kept_text
     null).  Of equal windows the first stays, by ascending doc_id (null first), a hash of
@@ -36,7 +54,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "kept_text")]
     keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_text"))
-    windows = cut(keyed.where("text IS NOT NULL").select("row_id", "row_text", F.explode(_window_keys(F.split("text", "\n"), window)).alias("w")).select("row_id", "row_text", "w.*"))
+    windows = cut(keyed.where("text IS NOT NULL").select("row_id", "row_text", "text").mapInArrow(_window_rows(window), "h1 long, h2 long, row_id long, row_text long, line int"))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "row_text", "line")).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
     later = windows.join(checked_broadcast(cut(first.drop("often"))), ["h1", "h2"]).where(F.struct("row_id", "row_text", "line") != F.col("first"))
     covered = later.select("row_id", "row_text", F.explode(F.sequence(F.col("line"), F.col("line") + (window - 1))).alias("line"))
