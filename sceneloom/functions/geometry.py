@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def axis(points: Column, i: int) -> Column:
     """The i-th coordinate of each point of an array of points."""
     return F.transform(points, lambda p: p[i])
@@ -110,19 +115,29 @@ def intrinsics(model: Column, params: Column) -> Column:
 
 def projected(q: Column, t: Column, model: Column, params: Column, p: Column, nearest: float = 1e-5) -> Column:
     """struct(u, v, depth, in_front) of a world point in an image; models with distortion are SIMPLE_RADIAL, RADIAL and OPENCV."""
-    c = to_camera(q, t, p)
-    depth = c[2]
-    z = F.when(depth > nearest, depth).otherwise(1.0)
-    x, y = c[0] / z, c[1] / z
-    r2 = x * x + y * y
     f = intrinsics(model, params)
     k1 = F.when(model.isin("SIMPLE_RADIAL", "RADIAL"), params[3]).when(model == "OPENCV", params[4]).otherwise(0.0)
     k2 = F.when(model == "RADIAL", F.get(params, F.lit(4))).when(model == "OPENCV", F.get(params, F.lit(5))).otherwise(0.0)
     p1, p2 = (F.when(model == "OPENCV", F.get(params, F.lit(i))).otherwise(0.0) for i in (6, 7))
-    radial = 1 + k1 * r2 + k2 * r2 * r2
-    u = f[0] * (x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)) + f[2]
-    v = f[1] * (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y) + f[3]
-    return F.struct(u.alias("u"), v.alias("v"), depth.alias("depth"), (depth > nearest).alias("in_front"))
+
+    def flat(c: Column) -> Column:
+        z = F.when(c[2] > nearest, c[2]).otherwise(1.0)
+        return F.struct((c[0] / z).alias("x"), (c[1] / z).alias("y"), c[2].alias("depth"))
+
+    def bent(n: Column) -> Column:
+        r2 = n["x"] * n["x"] + n["y"] * n["y"]
+        return F.struct(n["x"].alias("x"), n["y"].alias("y"), n["depth"].alias("depth"), r2.alias("r2"), (1 + k1 * r2 + k2 * r2 * r2).alias("radial"))
+
+    def seen(n: Column) -> Column:
+        x, y, r2 = n["x"], n["y"], n["r2"]
+        u = f[0] * (x * n["radial"] + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)) + f[2]
+        v = f[1] * (y * n["radial"] + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y) + f[3]
+        return F.struct(u.alias("u"), v.alias("v"), n["depth"].alias("depth"), (n["depth"] > nearest).alias("in_front"))
+
+    value = to_camera(q, t, p)
+    for step in (flat, bent, seen):
+        value = _let(value, step)
+    return value
 
 
 def depth_agrees(depth: Column, measured: Column, absolute: float = 0.05, relative: float = 0.02) -> Column:
@@ -152,11 +167,6 @@ def cell_centre(cell: Column, origin: Column, size: Column) -> Column:
     return origin + (cell + 0.5) * size
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Least distance between the segments ab and cd, which may be points.
 

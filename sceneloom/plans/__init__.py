@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sceneloom.catalog import ORACLES, QUERIES
-from sceneloom.plans import evaluation, graphs, relational, scalars, search, spatial
+from sceneloom.plans import evaluation, graphs, relational, scalars, scenes, search, spatial
 
 
 def all_queries() -> dict:
@@ -19,4 +19,4 @@ def all_oracles() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_bm25(spark, sf_dir)
 
-__all__ = ["all_oracles", "all_queries", "evaluation", "flagship", "graphs", "relational", "scalars", "search", "spatial"]
+__all__ = ["all_oracles", "all_queries", "evaluation", "flagship", "graphs", "relational", "scalars", "scenes", "search", "spatial"]
