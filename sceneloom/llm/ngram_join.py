@@ -17,8 +17,9 @@ Two rounds decide which documents meet:
    smaller has a members, they differ in d <= a (1 - t) / t.  So of d + 1 slices of the
    n-gram space at least one has the same members in both; every document is keyed by
    its slices for its own size class and for the one below.  Documents of different
-   components that share a key are still to be compared; what such keys connect is a
-   cluster.  The members of a cluster for one size class are a block; or, if they are too
+   components that share a key are still to be compared, if enough of their n-grams occur
+   in other such documents (T-occurrence at large): pair by pair where few meet on
+   the key; what the other keys connect is a cluster.  The members of a cluster for one size class are a block; or, if they are too
    many, the largest component among them (the hub) and the others are dealt into parts,
    and each part of the others makes a block with each part of the hub and of the others.
 """
@@ -28,6 +29,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ _KEYS = 2
 GROUP_DOCS = 128
 #: Documents and n-grams in a block of the second round at most (on average, where a cluster is dealt into parts).
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_200_000
+#: Keys on which so few documents meet give pairs, others clusters.
+PAIR_DOCS = 8
 #: Steps up to which lists are merged by a heap in Python.
 _HEAP_STEPS = 64
 #: Stands for a null doc_id.
@@ -86,6 +90,21 @@ def size_classes(most: int, num: int, den: int) -> list[int]:
     return lows
 
 
+@cache
+def slices_of(differ: int, size: int) -> tuple[int, int]:
+    """(slices, spare) for sets of about ``size`` members that differ in ``differ`` at most: enough to spare that most such sets have fewer slices with one member or none."""
+    spare = 2
+    for _ in range(20):
+        slices = differ + 1 + spare
+        mean = size / slices
+        weak = slices * math.exp(-mean) * (1 + mean)
+        wanted = math.ceil(weak + 2 * math.sqrt(weak)) + 1
+        if wanted <= spare:
+            break
+        spare = min(wanted, differ + 2)
+    return differ + 1 + spare, spare
+
+
 def slice_keys(tokens: np.ndarray, lows: list[int], num: int, den: int) -> np.ndarray:
     """The keys of one set; two sets of likeness num/den or more that differ share at least one."""
     n = len(tokens)
@@ -97,15 +116,14 @@ def slice_keys(tokens: np.ndarray, lows: list[int], num: int, den: int) -> np.nd
         differ = (lows[c + 1] - 1) * (den - num) // num
         if not differ:
             continue  # sets so small are like only if they are equal
-        spare = max(2, -(-differ // 50))
-        slices = differ + 1 + spare
+        slices, spare = slices_of(differ, lows[c])
         where = (tokens % np.uint64(slices)).astype(np.int64)
         content = np.zeros(slices, np.uint64)
         np.add.at(content, where, mix(tokens ^ np.uint64(0x1234567890ABCDEF)))
         held = np.bincount(where, minlength=slices)
         key = mix(content + mix(np.arange(slices, dtype=np.uint64) + np.uint64(c << 40)))
-        # at least spare + 1 slices agree, so up to spare empty ones can be left out
-        keys.append(key[held > 0] if (held == 0).sum() <= spare else key)
+        # at least spare + 1 slices agree, so a set of up to spare slices without two members can leave those out
+        keys.append(key[held > 1] if (held < 2).sum() <= spare else key)
     return np.concatenate(keys) if keys else tokens[:0]
 
 
@@ -126,6 +144,17 @@ def _key_rows(width: int, num: int, den: int):
     return run
 
 
+def _gram_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_blocks(batch["text"]):
+                tokens, bounds = shingles(data, offsets, width)
+                row = pa.array(np.repeat(np.arange(start, end), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), batch["doc_id"].take(row)], names=["gram", "doc_id"])
+
+    return run
+
+
 def _merge(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, need: int) -> dict[int, int]:
     """Members that occur in at least ``need`` of the ascending lists ``lists[begin:end]``, with how often.
 
@@ -313,8 +342,23 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     once = own.join(checked_broadcast(status), "doc_id", "left").where("copy IS NULL").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
     by_key = Window.partitionBy("key")
     keyed = once.mapInArrow(_key_rows(width, num, den), "key long, doc_id long, component long")
-    met = keyed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key), "least": F.min("doc_id").over(by_key)}).where("low <> high")
-    clusters = cut(connected_components(met.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()))
+    met = keyed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low <> high")
+    met = cut(met.select("key", "doc_id", "component"))
+    # of a set that is like another, the share num/den of its own members occurs among the others here, too
+    asked = cut(met.select("doc_id").distinct())
+    grams = own.join(checked_broadcast(asked), "doc_id", "left_semi").mapInArrow(_gram_rows(width), "gram long, doc_id long")
+    held = grams.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("often > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
+    able = cut(held.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.col("held") * den >= F.col("n") * num).select("doc_id"))
+    met = met.join(checked_broadcast(able), "doc_id", "left_semi").withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key), "least": F.min("doc_id").over(by_key), "members": F.count(F.lit(1)).over(by_key)}).where("low <> high")
+    met = cut(met.select("key", "doc_id", "component", "least", "members"))
+    few, many = met.where(F.col("members") <= PAIR_DOCS), met.where(F.col("members") > PAIR_DOCS)
+    side = lambda x: few.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"))
+    size_of = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = side("x").join(side("y"), "key").where("x < y AND cx <> cy").select("x", "y", "cx", "cy").distinct()
+    pairs = pairs.join(size_of("x"), "x").join(size_of("y"), "y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    pairs = cut(pairs.withColumn("block", _dealt([F.col("x")], F.count(F.lit(1)).over(Window.partitionBy("x")), F.col("y"), 7)))
+    paired = pairs.select("block", F.col("x").alias("doc_id"), F.col("cx").alias("component")).unionByName(pairs.select("block", F.col("y").alias("doc_id"), F.col("cy").alias("component")))
+    clusters = cut(connected_components(many.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()))
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     inside = cut(inside.select(F.col("rep").alias("doc_id"), "cluster", "n", F.coalesce("component", "rep").alias("component")))
     lows = F.array(*[F.lit(low).cast("long") for low in size_classes(int(inside.agg(F.max("n")).first()[0] or 1), num, den)])
@@ -332,7 +376,7 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     with_hub = F.transform(count(F.when(F.col("in_hub"), F.col("outer")).otherwise(F.col("inner"))), lambda j: F.when(F.col("in_hub"), F.struct(j.alias("a"), (-1 - F.col("i")).alias("b"))).otherwise(F.struct(F.col("i").alias("a"), (-1 - j).alias("b"))))
     with_others = F.when(F.col("in_hub"), F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(count(F.col("outer")), lambda j: F.struct(F.least(j, F.col("i")).alias("a"), F.greatest(j, F.col("i")).alias("b"))))
     dealt = dealt.withColumn("j", F.explode(F.concat(with_hub, with_others)))
-    rest = cut(links(cut(dealt.select(F.xxhash64("cluster", "j").alias("block"), "doc_id", "component"))))
+    rest = cut(links(cut(paired.unionByName(dealt.select(F.xxhash64("cluster", "j").alias("block"), "doc_id", "component")).distinct())))
     if rest.limit(1).count():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labelled = features.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
