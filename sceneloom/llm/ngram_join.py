@@ -386,3 +386,15 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir).select("doc_id", "text"), 4, (85, 100))
+
+
+SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, [w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if w <> ''] AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([w[i:i + 3] for i in range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [w] ELSE [] END AS s FROM t),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (an + bn - k)), y AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT DISTINCT a, a FROM y UNION SELECT r.doc_id, y.b FROM r JOIN y ON r.reached = y.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, g.doc_id) AS component_id FROM g LEFT JOIN c ON g.doc_id = c.doc_id
+"""
