@@ -46,5 +46,14 @@ def crc_remainder(doc_id: Column, modulus: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts of many kilobytes go to Python in batches of at most so many rows, unless the session has fewer already: what a worker and the JVM hold outside the heap stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
