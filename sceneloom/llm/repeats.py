@@ -29,12 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sceneloom.llm.bytesnp import Spans, closed_syncmers, mix, text_blocks
-from sceneloom.llm.shared import checked_broadcast, cut
+from sceneloom.llm.shared import checked_broadcast, cut, documents
 
 #: Bytes of the s-mers whose least decides on an anchor.
 _INNER = 16
 #: A task indexes whole groups of about so many strings at a time.
-_STRINGS_AT_ONCE = 6_000
+_STRINGS_AT_ONCE = 3_000
 #: Groups of more distinct strings than this are resolved window by window.
 GROUP_STRINGS = 40_000
 
@@ -72,19 +72,29 @@ def _places(data: np.ndarray, offsets: np.ndarray, min_bytes: int) -> tuple[np.n
 
 _PLACE = T.StructType([
     T.StructField("v", T.LongType()), T.StructField("c", T.LongType()), T.StructField("doc_key", T.LongType()), T.StructField("text_key", T.LongType()),
-    T.StructField("at", T.IntegerType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
+    T.StructField("at", T.IntegerType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("more", T.ArrayType(T.IntegerType())),
 ])
 
 
 def _place_rows(min_bytes: int):
+    """A row for each string of a document; where it stands several times (periodic texts) the further positions are in ``more``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch["doc_key"], batch["text_key"]
             for start, _, data, offsets in text_blocks(batch["text"]):
-                doc, at, left, right, v, c = _places(data, offsets, min_bytes)
-                if len(doc):
-                    row = pa.array(doc + start)
-                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c), ids.take(row), keys.take(row), *(pa.array(x.astype(np.int32)) for x in (at, left, right))], names=_PLACE.names)
+                found = _places(data, offsets, min_bytes)
+                if not len(found[0]):
+                    continue
+                doc, at, left, right, v, c = (x[np.lexsort((found[1], found[5], found[4], found[0]))] for x in found)
+                new = np.append(True, (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (c[1:] != c[:-1]))
+                head = np.flatnonzero(new)
+                end = np.append(head[1:], len(new))
+                more: list[list[int] | None] = [None] * len(head)
+                for i in np.flatnonzero(end - head > 1).tolist():
+                    more[i] = at[head[i] + 1 : end[i]].tolist()
+                row = pa.array(doc[head] + start)
+                yield pa.RecordBatch.from_arrays([pa.array(v[head]), pa.array(c[head]), ids.take(row), keys.take(row), *(pa.array(x[head].astype(np.int32)) for x in (at, left, right)), pa.array(more, pa.list_(pa.int32()))], names=_PLACE.names)
 
     return run
 
@@ -129,8 +139,8 @@ def matching_starts(strings: list[bytes], left: np.ndarray, group: np.ndarray, m
     width = most + min_bytes
     grid = np.zeros((width, n), np.int16)  # a row for each column of the aligned strings; 0: outside the string
     flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-    string = np.repeat(np.arange(n), length)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(most - left, length)
+    string = np.repeat(np.arange(n, dtype=np.int32), length)
+    place = np.arange(len(flat), dtype=np.int32) + np.repeat((most - left - np.cumsum(length) + length).astype(np.int32), length)
     grid[place, string] = flat
     del flat, string, place
 
@@ -241,23 +251,35 @@ def _window_rows(min_bytes: int):
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ascend by document and start; out comes a row for each document with its maximal runs."""
+    """Rows ascend by document; out comes a row for each document with its maximal runs.
+
+    A row has covered bytes from ``before`` ahead of its positions to ``after`` behind them.
+    """
     key, spans, done = None, [], []
+
+    def closed() -> tuple:
+        spans.sort()
+        runs: list[list[int]] = []
+        for start, end in spans:
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end])
+        return (*key, runs)
+
     for batch in batches:
-        for doc, text_key, start, end in zip(*(batch[x].to_pylist() for x in ("doc_key", "text_key", "start", "end")), strict=True):
+        for doc, text_key, at, more, before, after in zip(*(batch[x].to_pylist() for x in ("doc_key", "text_key", "at", "more", "before", "after")), strict=True):
             if (doc, text_key) != key:
                 if key is not None:
-                    done.append((*key, spans))
+                    done.append(closed())
                 key, spans = (doc, text_key), []
-            if spans and start <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
-            else:
-                spans.append([start, end])
+            spans.append((at - before, at + after))
+            spans += [(p - before, p + after) for p in more or ()]
         if len(done) > 2000:
             yield _merged(done)
             done = []
     if key is not None:
-        done.append((*key, spans))
+        done.append(closed())
     if done:
         yield _merged(done)
 
@@ -274,13 +296,14 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     """
     places = docs.mapInArrow(_place_rows(min_bytes), _PLACE)
     by_string, by_anchor = Window.partitionBy("v", "c"), Window.partitionBy("v")
+    times = F.when(F.col("more").isNull(), 0).otherwise(F.size("more")) + 1
     hits = cut(
         places.repartition("v")
-        .withColumns({"n": F.count(F.lit(1)).over(by_string), "first": F.row_number().over(by_string.orderBy(F.lit(0)))})
-        .withColumns({"all": F.count(F.lit(1)).over(by_anchor), "kinds": F.sum((F.col("first") == 1).cast("int")).over(by_anchor)})
+        .withColumns({"n": F.sum(times).over(by_string), "first": F.row_number().over(by_string.orderBy(F.lit(0)))})
+        .withColumns({"all": F.sum(times).over(by_anchor), "kinds": F.sum((F.col("first") == 1).cast("int")).over(by_anchor)})
         .where("all >= 2").drop("all")
     )
-    alone = hits.where("kinds = 1").select("doc_key", "text_key", F.greatest(F.col("at") - F.col("left"), F.lit(0)).alias("start"), F.col("right").alias("end"))
+    alone = hits.where("kinds = 1").select("doc_key", "text_key", "at", "more", F.col("left").alias("before"), (F.col("right") - F.col("at")).alias("after"))
     shown = hits.where("kinds > 1 AND first = 1").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("v", "c", "n", "left", "at", "right", "kinds")).alias("wanted"))
     keys = cut(hits.where("kinds > 1 AND first = 1").select("doc_key", "text_key").distinct())
     needed = docs.select("doc_key", "text_key", "text").join(checked_broadcast(keys), ["doc_key", "text_key"], "left_semi")
@@ -291,8 +314,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
         windows = strings(split(shown, lambda w: w["kinds"] > GROUP_STRINGS)).mapInArrow(_window_rows(min_bytes), "w1 long, w2 long, v long, c long, n long, near int")
         often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2")
         matched = matched.unionByName(windows.join(often, ["w1", "w2"], "left_semi").select("v", "c", "near", F.col("near").alias("far")))
-    marked = hits.where("kinds > 1").join(matched, ["v", "c"]).select("doc_key", "text_key", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + min_bytes).alias("end"))
-    return alone.unionByName(marked).repartition("doc_key", "text_key").sortWithinPartitions("doc_key", "text_key", "start").mapInArrow(_merge_rows, "doc_key long, text_key long, starts array<int>, ends array<int>")
+    marked = hits.where("kinds > 1").join(matched, ["v", "c"]).select("doc_key", "text_key", "at", "more", F.col("far").alias("before"), (min_bytes - F.col("near")).alias("after"))
+    return alone.unionByName(marked).repartition("doc_key", "text_key").sortWithinPartitions("doc_key", "text_key").mapInArrow(_merge_rows, "doc_key long, text_key long, starts array<int>, ends array<int>")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,5 +363,17 @@ def whole_characters(kept: Column) -> Column:
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeats(docs, 400).select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("span_starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return drop_repeats(docs, 400).select("doc_id", "n_bytes", "n_removed", F.when(F.col("span_starts").isNull(), 0).otherwise(F.size("span_starts")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM b)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n) GROUP BY doc_id, g),
+l AS (SELECT s.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before, h FROM s JOIN b ON s.doc_id = b.doc_id),
+k AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM l GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN k ON b.doc_id = k.doc_id
+"""
