@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from sceneloom.llm.line_dedup import drop_repeated_windows
 from sceneloom.llm.ngram_join import ngram_components
-from sceneloom.llm.packing import pack
+from sceneloom.llm.packing import packed_words
 from sceneloom.llm.quality import THRESHOLD, learned, score_rows
 from sceneloom.llm.repeats import drop_repeats, whole_characters
-from sceneloom.llm.shared import checked_broadcast, cut
+from sceneloom.llm.shared import checked_broadcast, cut, documents, short_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +26,7 @@ def _with_text(rows: DataFrame, text) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives ``THRESHOLD`` or more."""
+    short_batches(spark)
     return score_rows(docs, learned(spark, sf_dir)).where(F.col("quality_score") >= THRESHOLD).select(*COLUMNS)
 
 
@@ -49,7 +50,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its length, bucket and batch."""
-    return pack(docs.select("doc_id", "text")).drop("text")
+    return packed_words(docs)
 
 
 STAGES = [
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``, each written to the shared folder and read back for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneloom.llm import exact_dedup, line_dedup, ngram_join, unit_dedup
+from sceneloom.llm import exact_dedup, line_dedup, ngram_join, packing, repeats, unit_dedup
 from sceneloom.llm.bpe import op6_bpe
 from sceneloom.llm.exact_dedup import op2_exact_dedup
 from sceneloom.llm.fingerprints import op9_syncmer_fingerprints
@@ -21,4 +21,4 @@ QUERIES = {
         op6_bpe, op7_line_dedup, op8_substring_dedup, op9_syncmer_fingerprints, op10_quality_gam,
     )
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op8_substring_dedup": unit_dedup.SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op4_suffix_array_dedup": repeats.SQL, "op5_packing": packing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_substring_dedup": unit_dedup.SQL}

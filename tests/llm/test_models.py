@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -154,10 +155,11 @@ def test_bucket_bounds_are_optimal():
 
 
 def test_batches(docs, rows, empty):
-    got = packing.pack(docs.withColumn("bucket", F.lit("x")), budget=600, buckets=4).collect()
-    assert len(got) == len(rows)
-    words = {(r["doc_id"], r["text"]): len((r["text"] or "").replace("\x0b", " ").split()) for r in got if r["doc_id"] != 64}
-    assert all(r["n_tokens"] == words[r["doc_id"], r["text"]] for r in got if r["doc_id"] != 64)
+    lengths = packing.word_lengths(docs)
+    want = sorted(((i, len(re.findall("[^\x20\x09-\x0d]+", t or ""))) for i, t, *_ in rows), key=repr)
+    assert sorted(((r["doc_id"], r["n_words"]) for r in lengths.collect()), key=repr) == want
+    got = packing.pack(lengths.withColumn("bucket", F.lit("x")), F.col("n_words"), budget=600, buckets=4).collect()
+    assert len(got) == len(rows) and all(r["n_tokens"] == r["n_words"] for r in got)
     batches = {}
     for r in got:
         batches.setdefault((r["bucket"], r["batch_id"]), []).append(r)
@@ -169,7 +171,7 @@ def test_batches(docs, rows, empty):
     for b in {r["bucket"] for r in got}:
         order = [r["doc_id"] if r["doc_id"] is not None else -1 for r in sorted((r for r in got if r["bucket"] == b), key=lambda r: (r["batch_id"], r["batch_row"]))]
         assert order == sorted(order)
-    assert packing.pack(empty).collect() == []
+    assert packing.packed_words(empty).collect() == []
 
 
 def test_lengths_are_rounded_when_there_are_many(spark, monkeypatch):
