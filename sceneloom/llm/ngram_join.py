@@ -29,7 +29,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +302,26 @@ def _dealt(key: list[Column], members: Column, doc_id: Column, salt: int) -> Col
     return F.xxhash64(F.lit(salt), *key, F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.ceil(members / GROUP_DOCS)))
 
 
+def _cluster_blocks(inside: DataFrame, num: int, den: int) -> DataFrame:
+    """block, doc_id, component of the members (doc_id, cluster, n, component) of clusters: the blocks in which all pairs of one size class meet, but for pairs inside the hub."""
+    lows = F.array(*[F.lit(low).cast("long") for low in size_classes(int(inside.agg(F.max("n")).first()[0] or 1), num, den)])
+    own_class = F.size(F.filter(lows, lambda low: low <= F.col("n")))
+    inside = inside.withColumn("cluster", F.explode(F.array(F.xxhash64("cluster", own_class), F.xxhash64("cluster", own_class - 1))))
+    held = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
+    hub = F.max(F.struct("docs", "component"))
+    totals = held.groupBy("cluster").agg(hub["component"].alias("hub"), F.count(F.lit(1)).alias("components"), *[f.alias(n) for n, f in (("hub_docs", hub["docs"]), ("docs", F.sum("docs")), ("grams", F.sum("grams")))]).where("components > 1")
+    parts = lambda docs: F.greatest(F.lit(1), F.ceil(2 * docs / BLOCK_DOCS), F.ceil(2 * F.col("grams") * docs / F.col("docs") / BLOCK_GRAMS)).cast("int")
+    whole = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
+    totals = totals.select("cluster", "hub", F.when(whole, 0).otherwise(parts(F.col("hub_docs"))).alias("inner"), F.when(whole, 1).otherwise(parts(F.col("docs") - F.col("hub_docs"))).alias("outer"))
+    dealt = inside.join(totals, "cluster").withColumn("in_hub", (F.col("component") == F.col("hub")) & (F.col("inner") > 0))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.when(F.col("in_hub"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_hub = F.transform(count(F.when(F.col("in_hub"), F.col("outer")).otherwise(F.col("inner"))), lambda j: F.when(F.col("in_hub"), F.struct(j.alias("a"), (-1 - F.col("i")).alias("b"))).otherwise(F.struct(F.col("i").alias("a"), (-1 - j).alias("b"))))
+    with_others = F.when(F.col("in_hub"), F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(count(F.col("outer")), lambda j: F.struct(F.least(j, F.col("i")).alias("a"), F.greatest(j, F.col("i")).alias("b"))))
+    dealt = dealt.withColumn("j", F.explode(F.concat(with_hub, with_others)))
+    return dealt.select(F.xxhash64("cluster", "j").alias("block"), "doc_id", "component")
+
+
 def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -332,12 +352,14 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
         classes.join(classes.groupBy(k).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), k).select(_dealt([F.col(k)], F.col("members"), F.col("rep"), i).alias("block"), F.col("rep").alias("doc_id"))
         for i, k in enumerate(keys)
     ]
-    blocks = cut(groups[0].unionByName(groups[1]).distinct().withColumn("component", F.col("doc_id")))
+    blocks = cut(reduce(DataFrame.unionByName, groups).distinct().withColumn("component", F.col("doc_id")))
     near = cut(links(blocks).unionByName(copies))
     found = cut(connected_components(near))
 
     # the rest, exactly: of each class one row, with its component
-    status = found.join(copies.select(F.col("a").alias("node")).distinct().withColumn("copy", F.lit(True)), "node", "left").withColumnRenamed("node", "doc_id")
+    one_set = full.groupBy("doc_id").agg((F.min(F.struct("s1", "s2")) == F.max(F.struct("s1", "s2"))).alias("one")).where("one").select(F.col("doc_id").alias("node"))
+    other = copies.select(F.col("a").alias("node")).distinct().join(one_set, "node", "left_semi").withColumn("copy", F.lit(True))
+    status = found.join(other, "node", "left").withColumnRenamed("node", "doc_id")
     status = cut(status)
     once = own.join(checked_broadcast(status), "doc_id", "left").where("copy IS NULL").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
     by_key = Window.partitionBy("key")
@@ -361,22 +383,7 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     clusters = cut(connected_components(many.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()))
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     inside = cut(inside.select(F.col("rep").alias("doc_id"), "cluster", "n", F.coalesce("component", "rep").alias("component")))
-    lows = F.array(*[F.lit(low).cast("long") for low in size_classes(int(inside.agg(F.max("n")).first()[0] or 1), num, den)])
-    own_class = F.size(F.filter(lows, lambda low: low <= F.col("n")))
-    inside = inside.withColumn("cluster", F.explode(F.array(F.xxhash64("cluster", own_class), F.xxhash64("cluster", own_class - 1))))
-    held = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
-    hub = F.max(F.struct("docs", "component"))
-    totals = held.groupBy("cluster").agg(hub["component"].alias("hub"), F.count(F.lit(1)).alias("components"), *[f.alias(n) for n, f in (("hub_docs", hub["docs"]), ("docs", F.sum("docs")), ("grams", F.sum("grams")))]).where("components > 1")
-    parts = lambda docs: F.greatest(F.lit(1), F.ceil(2 * docs / BLOCK_DOCS), F.ceil(2 * F.col("grams") * docs / F.col("docs") / BLOCK_GRAMS)).cast("int")
-    whole = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
-    totals = totals.select("cluster", "hub", F.when(whole, 0).otherwise(parts(F.col("hub_docs"))).alias("inner"), F.when(whole, 1).otherwise(parts(F.col("docs") - F.col("hub_docs"))).alias("outer"))
-    dealt = inside.join(totals, "cluster").withColumn("in_hub", (F.col("component") == F.col("hub")) & (F.col("inner") > 0))
-    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.when(F.col("in_hub"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
-    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    with_hub = F.transform(count(F.when(F.col("in_hub"), F.col("outer")).otherwise(F.col("inner"))), lambda j: F.when(F.col("in_hub"), F.struct(j.alias("a"), (-1 - F.col("i")).alias("b"))).otherwise(F.struct(F.col("i").alias("a"), (-1 - j).alias("b"))))
-    with_others = F.when(F.col("in_hub"), F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(count(F.col("outer")), lambda j: F.struct(F.least(j, F.col("i")).alias("a"), F.greatest(j, F.col("i")).alias("b"))))
-    dealt = dealt.withColumn("j", F.explode(F.concat(with_hub, with_others)))
-    rest = cut(links(cut(paired.unionByName(dealt.select(F.xxhash64("cluster", "j").alias("block"), "doc_id", "component")).distinct())))
+    rest = cut(links(cut(paired.unionByName(_cluster_blocks(inside, num, den)).distinct())))
     if rest.limit(1).count():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labelled = features.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

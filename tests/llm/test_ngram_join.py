@@ -43,6 +43,17 @@ def test_null_ids_are_one_node(docs, rows):
     assert len(got) == 2 and {r["component_id"] for r in got} == {None}
 
 
+def test_ids_with_several_texts(spark, prose):
+    """A copy's other text still links."""
+    rng = random.Random(8)
+    a, b = prose(rng, 80), prose(rng, 90)
+    near = b.replace(" ", "  ").split("  ")
+    near[3] = "changed"
+    rows = [(1, a), (5, a), (5, b), (9, " ".join(near)), (12, prose(rng, 50))]
+    got = {(r["doc_id"], r["component_id"]) for r in nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (12, 12)}
+
+
 def test_empty_table(empty):
     assert nj.ngram_components(empty).collect() == []
 
