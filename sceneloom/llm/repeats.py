@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sceneloom.llm.bytesnp import Spans, closed_syncmers, mix, text_blocks
 from sceneloom.llm.shared import checked_broadcast, cut, documents
@@ -293,29 +292,31 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     """doc_key, text_key, starts, ends: the maximal runs of bytes that some ``min_bytes``-byte string covers which starts at two places at least.
 
     ``docs`` has doc_key, text and text_key (a hash of the text); documents without such runs have no row.
+
+    A passage may stand in a large share of all documents, so nothing gathers the places
+    of an anchor or of a string: they are counted with partial sums, and joins, whose
+    large partitions Spark can split, bring the outcome back to them.
     """
-    places = docs.mapInArrow(_place_rows(min_bytes), _PLACE)
-    by_string, by_anchor = Window.partitionBy("v", "c"), Window.partitionBy("v")
+    places = cut(docs.mapInArrow(_place_rows(min_bytes), _PLACE))
     times = F.when(F.col("more").isNull(), 0).otherwise(F.size("more")) + 1
-    hits = cut(
-        places.repartition("v")
-        .withColumns({"n": F.sum(times).over(by_string), "first": F.row_number().over(by_string.orderBy(F.lit(0)))})
-        .withColumns({"all": F.sum(times).over(by_anchor), "kinds": F.sum((F.col("first") == 1).cast("int")).over(by_anchor)})
-        .where("all >= 2").drop("all")
-    )
-    alone = hits.where("kinds = 1").select("doc_key", "text_key", "at", "more", F.col("left").alias("before"), (F.col("right") - F.col("at")).alias("after"))
-    shown = hits.where("kinds > 1 AND first = 1").groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("v", "c", "n", "left", "at", "right", "kinds")).alias("wanted"))
-    keys = cut(hits.where("kinds > 1 AND first = 1").select("doc_key", "text_key").distinct())
+    repeated = cut(places.groupBy("v").agg(F.sum(times).alias("all")).where("all >= 2").select("v"))
+    hits = cut(places.join(checked_broadcast(repeated), "v", "left_semi"))
+    classes = cut(hits.groupBy("v", "c").agg(F.sum(times).alias("n"), F.min(F.struct("doc_key", "text_key", "at", "left", "right")).alias("shown")).select("v", "c", "n", "shown.*"))
+    kinds = cut(classes.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    alone = classes.join(checked_broadcast(kinds), "v", "left_anti").select("v", "c", (min_bytes - (F.col("right") - F.col("at"))).alias("near"), F.col("left").alias("far"))
+    several = cut(classes.join(checked_broadcast(kinds), "v"))
+    shown = several.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("v", "c", "n", "left", "at", "right", "kinds")).alias("wanted"))
+    keys = cut(several.select("doc_key", "text_key").distinct())
     needed = docs.select("doc_key", "text_key", "text").join(checked_broadcast(keys), ["doc_key", "text_key"], "left_semi")
     strings = lambda rows: needed.join(rows, ["doc_key", "text_key"]).select("text", "wanted").mapInArrow(_cut_strings, _STRING)
     split = lambda rows, rule: rows.withColumn("wanted", F.filter("wanted", rule)).where(F.size("wanted") > 0)
     matched = strings(split(shown, lambda w: w["kinds"] <= GROUP_STRINGS)).repartition("v").sortWithinPartitions("v").mapInArrow(_index_rows(min_bytes), _MATCH)
-    if hits.where(F.col("kinds") > GROUP_STRINGS).limit(1).count():
+    if several.where(F.col("kinds") > GROUP_STRINGS).limit(1).count():
         windows = strings(split(shown, lambda w: w["kinds"] > GROUP_STRINGS)).mapInArrow(_window_rows(min_bytes), "w1 long, w2 long, v long, c long, n long, near int")
         often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2")
         matched = matched.unionByName(windows.join(often, ["w1", "w2"], "left_semi").select("v", "c", "near", F.col("near").alias("far")))
-    marked = hits.where("kinds > 1").join(matched, ["v", "c"]).select("doc_key", "text_key", "at", "more", F.col("far").alias("before"), (min_bytes - F.col("near")).alias("after"))
-    return alone.unionByName(marked).repartition("doc_key", "text_key").sortWithinPartitions("doc_key", "text_key").mapInArrow(_merge_rows, "doc_key long, text_key long, starts array<int>, ends array<int>")
+    marked = hits.join(cut(alone.unionByName(matched)), ["v", "c"]).select("doc_key", "text_key", "at", "more", F.col("far").alias("before"), (min_bytes - F.col("near")).alias("after"))
+    return marked.repartition("doc_key", "text_key").sortWithinPartitions("doc_key", "text_key").mapInArrow(_merge_rows, "doc_key long, text_key long, starts array<int>, ends array<int>")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
