@@ -59,7 +59,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = windows.join(checked_broadcast(cut(first.drop("often"))), ["h1", "h2"]).where(F.struct("row_id", "row_text", "line") != F.col("first"))
     covered = later.select("row_id", "row_text", F.explode(F.sequence(F.col("line"), F.col("line") + (window - 1))).alias("line"))
     covered = cut(covered.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("line")).alias("removed_lines")))
-    joined = keyed.join(checked_broadcast(covered), ["row_id", "row_text"], "left").select(*own, F.col("removed_lines").alias("gone"))
+    joined = keyed.join(checked_broadcast(covered, entries=F.size("removed_lines")), ["row_id", "row_text"], "left").select(*own, F.col("removed_lines").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -349,7 +349,7 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     own = [c for c in docs.columns if c not in ("doc_key", "text_key", "span_starts", "span_ends", "n_bytes", "n_removed", "kept")]
     keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     spans = cut(repeated_spans(keyed.select("doc_key", "text", "text_key"), min_bytes))
-    joined = keyed.join(checked_broadcast(spans), ["doc_key", "text_key"], "left").select(*own, "starts", "ends")
+    joined = keyed.join(checked_broadcast(spans, entries=2 * F.size("starts")), ["doc_key", "text_key"], "left").select(*own, "starts", "ends")
     added = [T.StructField("span_starts", T.ArrayType(T.IntegerType())), T.StructField("span_ends", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())]
     return joined.mapInArrow(_apply, T.StructType([*docs.select(*own).schema.fields, *added]))
 

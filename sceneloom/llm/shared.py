@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many (narrow) rows; beyond that both sides are shuffled.
 BROADCAST_ROWS = 300_000
+#: And at most so many entries (whole numbers) in the lists of its rows.
+BROADCAST_ENTRIES = 8_000_000
 
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,9 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` (best one from ``cut``) marked for broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, entries: Column | None = None) -> DataFrame:
+    """``table`` (best one from ``cut``) marked for broadcast if it is counted to be small, else as it is.
+
+    ``entries`` is the length of a row's lists, where it has any; of these, at most ``BROADCAST_ENTRIES`` in all are broadcast.
+    """
+    fits = table.limit(rows + 1).count() <= rows
+    if fits and entries is not None:
+        fits = (table.agg(F.sum(entries.cast("long")).alias("n")).first()["n"] or 0) <= BROADCAST_ENTRIES
+    return F.broadcast(table) if fits else table
 
 
 def fold_ascii_column(text: Column) -> Column:

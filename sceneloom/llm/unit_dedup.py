@@ -45,7 +45,7 @@ def drop_repeated_units(docs: DataFrame, unit: str = "line", min_chars: int = MI
     first = units.groupBy("digest").agg(F.min(F.struct("row_id", "row_text", "at")).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
     later = units.join(checked_broadcast(cut(first.drop("often"))), "digest").where(F.struct("row_id", "row_text", "at") != F.col("first"))
     gone = cut(later.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("at")).alias("gone")))
-    joined = keyed.join(checked_broadcast(gone), ["row_id", "row_text"], "left").select(*own, "gone")
+    joined = keyed.join(checked_broadcast(gone, entries=F.size("gone")), ["row_id", "row_text"], "left").select(*own, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
