@@ -300,7 +300,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     places = cut(docs.mapInArrow(_place_rows(min_bytes), _PLACE))
     times = F.when(F.col("more").isNull(), 0).otherwise(F.size("more")) + 1
     repeated = cut(places.groupBy("v").agg(F.sum(times).alias("all")).where("all >= 2").select("v"))
-    hits = cut(places.join(checked_broadcast(repeated), "v", "left_semi"))
+    hits = cut(places.join(repeated, "v", "left_semi"))  # repeated grows with the corpus: shuffled at every size
     classes = cut(hits.groupBy("v", "c").agg(F.sum(times).alias("n"), F.min(F.struct("doc_key", "text_key", "at", "left", "right")).alias("shown")).select("v", "c", "n", "shown.*"))
     kinds = cut(classes.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     alone = classes.join(checked_broadcast(kinds), "v", "left_anti").select("v", "c", (min_bytes - (F.col("right") - F.col("at"))).alias("near"), F.col("left").alias("far"))
