@@ -71,7 +71,8 @@ def _without(text: str | None, gone: list[int] | None, sep: str) -> tuple[int, l
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = drop_repeated_units(documents(spark, sf_dir).select("doc_id", "text"))
+    """Every unit that is not blank is compared, however short; the SQL below still leaves those under ``MIN_CHARS`` alone."""
+    out = drop_repeated_units(documents(spark, sf_dir).select("doc_id", "text"), min_chars=1)
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), "kept_text")
 

@@ -132,3 +132,10 @@ def test_repeats_odd_tables(docs, empty):
     assert repeats.drop_repeats(empty).collect() == []
     out = repeats.drop_repeats(docs.withColumn("kept", F.lit("x")).withColumn("doc_key", F.lit(1)))
     assert out.count() == docs.count() and out.columns.count("kept") == 1
+
+
+def test_units_query_compares_short_units(spark, tmp_path):
+    rows = [(1, "les.\n\n漢字"), (2, "Les. \n\nown"), (3, "x\n漢字\nles.")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["removed_spans"], r["kept_text"]) for r in unit_dedup.op8_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, "", "les.\n\n漢字"), 2: (1, "0-5", "\nown"), 3: (2, "2-4,5-9", "x")}
