@@ -25,7 +25,7 @@ from sceneloom.llm.shared import cut, documents
 TOKEN_BUDGET = 65_536
 #: Buckets at most.
 BUCKETS = 16
-#: Distinct lengths that the dynamic programme looks at; beyond that, neighbouring lengths are rounded up together.
+#: Distinct lengths up to which the dynamic programme looks at all pairs at once; beyond, it halves the range of the pairs (the result is the same).
 LENGTHS = 2_048
 _CHUNK = 4_096
 _NO_ID = -(1 << 63)
@@ -44,6 +44,30 @@ def word_lengths(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_word_rows, T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n_words", T.LongType())]))
 
 
+def _first_least(n: int, cost) -> np.ndarray:
+    """For each j below ``n`` the first i <= j of least ``cost(i, j)``, a Monge cost: these ascend with j.
+
+    All middles of a round are looked at together, each between what was found for its
+    neighbours of the rounds before: O(n) memory, and O(n) costs in each of log n rounds.
+    """
+    found = np.zeros(n, np.int64)
+    begin, end = np.zeros(1, np.int64), np.full(1, n)  # the open ranges of j, and of i, ends included
+    low, high = np.zeros(1, np.int64), np.full(1, n - 1)
+    while len(begin):
+        middle = (begin + end) // 2
+        size = np.minimum(high, middle) - low + 1
+        at = np.cumsum(size) - size
+        i = np.arange(int(size.sum())) + np.repeat(low - at, size)
+        costs = cost(i, np.repeat(middle, size))
+        equal = np.flatnonzero(costs == np.repeat(np.minimum.reduceat(costs, at), size))
+        found[middle] = i[equal[np.searchsorted(equal, at)]]
+        begin, end = np.concatenate([begin, middle + 1]), np.concatenate([middle, end])
+        low, high = np.concatenate([low, found[middle]]), np.concatenate([found[middle], high])
+        some = begin < end
+        begin, end, low, high = begin[some], end[some], low[some], high[some]
+    return found
+
+
 def bucket_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> tuple[list[int], int]:
     """(bounds, padding): at most ``buckets`` upper bounds, ascending, with the least sum of bound - length over all documents.
 
@@ -57,13 +81,21 @@ def bucket_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS)
     least = np.full(n + 1, np.iinfo(np.int64).max // 4)
     least[0] = 0
     cuts = []
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # the last bucket has lengths i..j and is bounded by the longest of them
+        return least[i] + x[j] * (number[j + 1] - number[i]) - (tokens[j + 1] - tokens[i])
+
+    at = np.arange(n)
     for _ in range(min(buckets, n)):
-        # the last bucket has lengths i..j-1 and is bounded by the longest of them
-        cost = least[:n, None] + x[None, :] * (number[None, 1:] - number[:n, None]) - (tokens[None, 1:] - tokens[:n, None])
-        cost[np.tril_indices(n, -1)] = np.iinfo(np.int64).max // 4
-        where = cost.argmin(axis=0)
+        if n <= LENGTHS:
+            pairs = cost(at[:, None], at[None, :])
+            pairs[np.tril_indices(n, -1)] = np.iinfo(np.int64).max // 4
+            where = pairs.argmin(axis=0)
+        else:
+            where = _first_least(n, cost)
         cuts.append(where)
-        least = np.concatenate([[0], cost[where, np.arange(n)]])
+        least = np.concatenate([[0], cost(where, at)])
     bounds, j = [], n
     for where in reversed(cuts):
         if not j:
@@ -80,19 +112,13 @@ def pack(docs: DataFrame, length: Column, budget: int = TOKEN_BUDGET, buckets: i
     among all batches of a bucket; batch_row counts from 0.  A batch has at most
     ``budget`` / padded_length rows, or one if the bound is larger than the budget.  The
     order within a bucket is that of doc_id (null first), then of text_key if there is such a column, and any for
-    repeated rows.  The driver gets the histogram, of ``LENGTHS`` lengths at most: where there are more distinct
-    lengths, they are rounded up to 11 leading bits or fewer.  Columns with the six names above are replaced.
+    repeated rows.  The driver gets the exact histogram, a row for each distinct length (n lengths of words need
+    n * n / 2 words at least).  Columns with the six names above are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_tokens", "bucket", "padded_length", "batch_id", "batch_row", "batch_rows")]
     tie = F.col("text_key") if "text_key" in docs.columns else F.lit(0)
     sized = docs.select(*own, F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), tie.alias("row_text"))
-    counts = cut(sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
-    bits, rounded = 63, F.col("n_tokens")
-    while counts.groupBy(rounded.alias("length")).count().count() > LENGTHS:
-        bits = 11 if bits == 63 else bits - 1
-        grain = F.expr(f"shiftleft(1L, CAST(greatest(0, length(bin(n_tokens)) - {bits}) AS INT))")
-        rounded = F.ceil(F.col("n_tokens") / grain) * grain
-    histogram = counts.groupBy(rounded.cast("long").alias("length")).agg(F.sum("docs").alias("docs")).orderBy("length").collect()
+    histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("docs")).orderBy("length").collect()
     bounds, _ = bucket_bounds([r["length"] for r in histogram], [r["docs"] for r in histogram], buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast(T.ArrayType(T.LongType()))
     placed = sized.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))).withColumn("padded_length", F.element_at(limits, F.col("bucket") + 1))
@@ -116,7 +142,7 @@ def op5_packing(spark, sf_dir: str) -> DataFrame:
     return packed_words(documents(spark, sf_dir))
 
 
-#: For tables of at most ``LENGTHS`` distinct lengths and without repeated ids.
+#: For tables without repeated ids.
 SQL = """
 WITH RECURSIVE t AS (SELECT doc_id, CAST(len([w for w in string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') if w <> '']) AS BIGINT) AS n_tokens FROM documents),
 h AS (SELECT n_tokens AS x, count(*) AS c FROM t GROUP BY n_tokens),

@@ -181,6 +181,18 @@ def test_lengths_are_rounded_when_there_are_many(spark, monkeypatch):
     assert len(got) == 3000 and all(r["len"] <= r["padded_length"] for r in got) and len({r["bucket"] for r in got}) == 5
 
 
+def test_bounds_are_exact_when_there_are_many(spark, monkeypatch):
+    rng = random.Random(4)
+    cases = [(sorted(rng.sample(range(span), n)), [rng.choice((1, 1, 2, 50)) for _ in range(n)]) for n, span in ((1, 9), (2, 9), (40, 40), (150, 400), (300, 9000)) for _ in range(8)]
+    want = [packing.bucket_bounds(x, c, k) for x, c in cases for k in (1, 2, 5, 16)]
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") * 7 % 2999).alias("len"))
+    bounds, _ = packing.bucket_bounds(list(range(2999)), [2] + [1] * 2998, 5)
+    monkeypatch.setattr(packing, "LENGTHS", 0)
+    assert [packing.bucket_bounds(x, c, k) for x, c in cases for k in (1, 2, 5, 16)] == want
+    monkeypatch.setattr(packing, "LENGTHS", 40)
+    assert sorted({r["padded_length"] for r in packing.pack(rows, F.col("len"), buckets=5).collect()}) == bounds
+
+
 def test_remainders(spark):
     got = spark.range(200).select("id", crc_remainder(F.col("id")).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in got)
