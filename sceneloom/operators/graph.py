@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,13 +123,13 @@ def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
     return reused.unionByName(fresh.select("key", (F.col("top") + F.col("nth")).alias("component_id")))
 
 
-def hop_path(edges: DataFrame, start: int, goal: int, most: int = 50) -> DataFrame:
-    """step, node: a path of the fewest edges, among those the one of least nodes from the goal back; no rows if there is none within ``most`` hops."""
+def hop_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
+    """step, node: a path of the fewest edges, among those the one of least nodes from the goal back; no rows if there is none.  Ends when the goal is reached or a hop reaches nothing new."""
     spark = edges.sparkSession
     both = materialised(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     kind = edges.schema["a"].dataType.simpleString()
     seen = materialised(spark.createDataFrame([(start, None, 0)], f"node {kind}, parent {kind}, hop int"))
-    for hop in range(1, most + 1):
+    for hop in count(1):
         if seen.where(F.col("node") == goal).limit(1).count():
             break
         front = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("a"))

@@ -45,13 +45,14 @@ def bm25(rows: DataFrame, terms: DataFrame, caption: str = "caption", tokenise=t
     return hits.groupBy("term", "component_id").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
-def top_k(scored: DataFrame, k: int, by: str | None = None) -> DataFrame:
-    """Rows with their rank from 1, the best ``k`` overall or for each value of ``by``; equal scores by id."""
+def top_k(scored: DataFrame, k: int | None, by: str | None = None) -> DataFrame:
+    """Rows with their rank from 1, the best ``k`` (all, if None) overall or for each value of ``by``; equal scores by id."""
     order = [F.desc("score"), F.asc("component_id")]
     if by is None:
-        best = scored.orderBy(*order).limit(max(1, k))
+        best = scored if k is None else scored.orderBy(*order).limit(max(1, k))
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= max(1, k))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col("rank") <= max(1, k))
 
 
 def elbow(ranked: DataFrame, gap: float | None = None, ratio: float | None = None, positive: bool = True) -> DataFrame:
@@ -73,10 +74,10 @@ def elbow(ranked: DataFrame, gap: float | None = None, ratio: float | None = Non
     return kept.where("score > 0") if positive else kept
 
 
-def search(components: DataFrame, terms: str | Sequence[str], k: int = 10, elbow_on: bool = False, gap: float = 1.0, ratio: float = 0.7, candidates: DataFrame | None = None, tokenise=tokens) -> DataFrame:
+def search(components: DataFrame, terms: str | Sequence[str], k: int | None = 10, elbow_on: bool = False, gap: float = 1.0, ratio: float = 0.7, candidates: DataFrame | None = None, tokenise=tokens) -> DataFrame:
     """rank, component_id, score, matched_terms.
 
-    A string is one term, a list many; each term gives its own best ``k`` rows, whose
+    A string is one term, a list many; each term gives its own best ``k`` rows (all, if None), whose
     scores are added up.  With one term and ``elbow_on`` the ranking ends at the elbow.
     ``candidates`` (component_id) restricts the rows; blank terms count for nothing.
     """

@@ -78,7 +78,7 @@ def search_around_term(spark, sf_dir):
     """Text search among the neighbours of a component (each part of it has its own SQL query)."""
     rows = components(spark, sf_dir)
     near = around(rows, 3, 2.0)
-    return lexical.search(near, ["red"], 50, candidates=near)
+    return lexical.search(near, ["red"], None, candidates=near)
 
 
 _DOT = "list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"

@@ -117,6 +117,11 @@ def test_hop_path(spark):
     assert [r["node"] for r in graph.hop_path(edges, 3, 3).collect()] == [3]
 
 
+def test_hop_path_has_no_bound(spark):
+    edges = spark.range(1, 53).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).coalesce(1)
+    assert [r["node"] for r in graph.hop_path(edges, 1, 53).orderBy("step").collect()] == list(range(1, 54))
+
+
 def test_pairs(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 1)], "a long, b long")
     assert graph.canonical(pairs).count() == 2 and graph.symmetric(pairs).count() == 6
