@@ -36,10 +36,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, likeness 0.8 or more) the document with the least id."""
-    groups = ngram_components(docs.select("doc_id", "text"))
-    others = cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(checked_broadcast(others), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates (five-word shingles, likeness 0.8 or more) one row: that with the least id (null last), then by a hash of id and text.
+
+    Rows are told apart by id and text (62 bits of a hash), so the texts of a repeated id and the rows without
+    one are documents of their own; of rows that repeat both, one stays.
+    """
+    rows = docs.select(*COLUMNS, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("key"))
+    repeated = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("key"))
+    if repeated.limit(1).count():
+        repeated = checked_broadcast(repeated)
+        first = rows.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+        rows = cut(rows.join(repeated, "key", "left_anti").unionByName(first.select("row.*", "key")))
+    alike = ngram_components(rows.select(F.col("key").alias("doc_id"), "text")).where("component_id <> doc_id")
+    alike = cut(alike.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")))
+    alike = cut(alike.unionByName(alike.select(F.col("component").alias("key"), "component").distinct()))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    stay = cut(rows.select("key", "doc_id").join(checked_broadcast(alike), "key").groupBy("component").agg(least["key"].alias("key")).select("key"))
+    others = cut(alike.select("key").join(checked_broadcast(stay), "key", "left_anti"))
+    return rows.join(checked_broadcast(others), "key", "left_anti").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_200_000
 PAIR_DOCS = 8
 #: Steps up to which lists are merged by a heap in Python.
 _HEAP_STEPS = 64
-#: Stands for a null doc_id.
-_NO_ID = (1 << 63) - 1
+#: Nodes of rows without doc_id begin here; each text of such rows has its own, by a hash.
+_NO_ID = 1 << 62
 #: Weight of merging against probing, by which the number of lists to set aside is chosen; numpy merges fast, so few are.
 _PROBE_COST = 0.5
 
@@ -66,7 +66,7 @@ def _feature_rows(width: int):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 at = bounds[:-1][full]
-                out = {"doc_id": batch["doc_id"].slice(start, end - start), "n": pa.array(n)}
+                out = {"doc_id": batch["doc_id"].slice(start, end - start), "no_id": batch["no_id"].slice(start, end - start), "n": pa.array(n)}
                 for name, seed in (("s1", np.uint64(0)), ("s2", np.uint64(0xABCDEF0123456789))):
                     s = np.zeros(end - start, np.uint64)
                     if len(full):
@@ -252,7 +252,7 @@ def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int)
         parent[root(i)] = root(j)
 
     for i in range(n):
-        if root(i) == root(hub):
+        if not size[i] or root(i) == root(hub):
             continue
         need = -(-num * int(size[i]) // den)  # of any set that is like this one
         if size[hub] >= need and alike(i, hub, int(held_by(hub, sets[i]).sum())):
@@ -330,13 +330,14 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     texts have none and are linked with nothing.  Two rows link when the Jaccard likeness
     of their sets is at least ``likeness`` (numerator, denominator; compared in integers).
     component_id is the least doc_id that links reach.  Rows that share a doc_id are one
-    node; rows without one, too (null is given as component only to a component of such
-    rows).  N-grams are compared by 64-bit hashes.
+    node; of rows without one, each text is (null is given as component only to a component of such
+    rows).  N-grams, and texts without doc_id, are compared by 64-bit hashes.
     """
     num, den = likeness
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+    given = F.col("doc_id").cast("long")
+    own = docs.select(F.coalesce(given, F.shiftrightunsigned(F.xxhash64("text"), 2) + _NO_ID).alias("doc_id"), given.isNull().alias("no_id"), "text")
     keys = [f"k{i}" for i in range(_KEYS)]
-    features = cut(own.mapInArrow(_feature_rows(width), "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys)))
+    features = cut(own.mapInArrow(_feature_rows(width), "doc_id long, no_id boolean, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys)))
     full = features.where("n > 0")
     classes = full.groupBy("s1", "s2", "n", *keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
@@ -386,9 +387,11 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     rest = cut(links(cut(paired.unionByName(_cluster_blocks(inside, num, den)).distinct())))
     if rest.limit(1).count():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    labelled = features.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    real = lambda c: F.when(c != _NO_ID, c)
-    return labelled.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+    labelled = features.select("doc_id", "no_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # a component whose least node may be a row without id has the least id given in it
+    least = cut(labelled.where((F.col("component") >= _NO_ID) & ~F.col("no_id")).groupBy("component").agg(F.min("doc_id").alias("least")))
+    labelled = labelled.join(checked_broadcast(least), "component", "left")
+    return labelled.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component") < _NO_ID, F.col("component")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

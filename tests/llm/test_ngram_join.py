@@ -54,6 +54,22 @@ def test_ids_with_several_texts(spark, prose):
     assert got == {(1, 1), (5, 1), (9, 1), (12, 12)}
 
 
+def test_texts_without_id_are_apart(spark, prose):
+    """Rows without id link by their own texts only, and a blank text of an id links nothing."""
+    rng = random.Random(3)
+    a, b = prose(rng, 80), prose(rng, 90)
+    high = (1 << 63) - 5
+    rows = [(None, a), (None, b), (None, b), (None, " "), (1, a + " x"), (9, b + " x"), (9, " "), (12, b + " y"), (12, ""), (high, prose(rng, 50))]
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).select("doc_id", "component_id").collect()
+    want = [(None, 1), (None, 9), (None, 9), (None, None), (1, 1), (9, 9), (9, 9), (12, 9), (12, 9), (high, high)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_blank_texts_of_ids_in_a_block():
+    some, none = np.arange(20, dtype=np.uint64), np.zeros(0, np.uint64)
+    assert nj.link_block([some, none, none, some[:19]], [1, 2, 3, 4], 85, 100) == [(3, 0)]
+
+
 def test_empty_table(empty):
     assert nj.ngram_components(empty).collect() == []
 

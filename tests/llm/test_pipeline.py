@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force over the smallest tables, each on what the one before has kept."""
 
+import random
+
 import pytest
 from test_dedup import removed, windows_removed
 from test_ngram_join import brute
@@ -49,6 +51,17 @@ def test_near_duplicate_stage(stages):
     assert len(texts(stages[3])) < len(groups)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark, prose):
+    rng = random.Random(6)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(5, a), (5, b), (1, a + " x"), (9, b + " x"), (None, c), (None, c), (None, c + " x"), (None, d), (7, e), (7, e), (8, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(((i, t) for i, t in got if i is not None)) == sorted([(1, a + " x"), (5, b), (7, e)])
+    others = [t for i, t in got if i is None]
+    assert len(others) == 2 and d in others and set(others) < {c, c + " x", d}
+
+
 def test_substring_stage(stages):
     before = texts(stages[3])
     gone = removed([t.encode() for t in before.values()], 400)
