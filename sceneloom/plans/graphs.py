@@ -121,5 +121,5 @@ def cleaned_components(spark, sf_dir):
 @query("label_clusters")
 def label_clusters(spark, sf_dir):
     """Average-linkage clusters of vectors within a scene (iterative, no SQL form)."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("label").cast("string").alias("group"), F.col("vec_id").cast("string").alias("label"), F.col("embedding").alias("vector"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("group"), F.col("vec_id").cast("string").alias("label"), F.col("embedding").alias("vector"))
     return cluster.label_clusters(v, 0.9)

@@ -138,7 +138,7 @@ def route(spark, sf_dir):
     p = points(spark, sf_dir)
     cells = _grid(spark, sf_dir).withColumn("scene", F.lit("all"))
     grids = occupancy.frame(p, 0.3).withColumns({"scene": F.lit("all"), "size": F.lit(0.3)})
-    ends = p.where("point3d_id % 50 = 0").select((F.col("point3d_id") / 50).cast("int").alias("route_id"), "x", "y")
+    ends = p.select(F.col("point3d_id").cast("int").alias("route_id"), "x", "y")
     asked = ends.join(ends.select((F.col("route_id") - 1).alias("route_id"), F.col("x").alias("x1"), F.col("y").alias("y1")), "route_id").withColumnsRenamed({"x": "x0", "y": "y0"}).withColumn("scene", F.lit("all"))
     return occupancy.routes(asked, cells, grids)
 
