@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own, but only if driver and tasks are one process (as in tests): else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sceneloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that iterations neither repeat work nor pile up lineage."""
-    path = f"{shared_dir(df.sparkSession)}/sceneloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs nothing."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what ``materialised`` has written in this application: call it when results have been written elsewhere; those not read yet are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
