@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 17
 
-_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0xA24BAED4963EE407)
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 #: The white space of the word contract: blank and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -50,55 +49,68 @@ def fold_ascii(data: np.ndarray) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    key = str(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        _powers.clear() if sum(len(x) for x in _powers.values()) > 1 << 24 else None
-        _powers[key] = have
-    return have[:n]
+class Spans:
+    """Hashes of spans of a sequence of whole numbers: equal spans have equal hashes wherever they stand.
 
-
-class Rolling:
-    """Hashes of spans of a sequence of 64-bit values: equal spans have equal hashes wherever they stand.
-
-    ``base`` 0 and 1 give two hashes that are independent of each other.
+    The hash of 2^j values is scrambled from those of its halves, and a span's from the
+    powers of two that its length is made of.  Nothing in this is linear in the values, so
+    that no pattern of the text (as in sums of powers, where Thue-Morse strings of any base
+    meet) makes spans collide.  ``seed`` 0 and 1 give two hashes that are independent.
     """
 
-    def __init__(self, values: np.ndarray, base: int = 0) -> None:
-        n = len(values)
-        ahead, back = _BASES[base]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _power(ahead, n), out=self.sums[1:])
-        self.back = _power(back, n + 1)
+    def __init__(self, values: np.ndarray, seed: int = 0) -> None:
+        self.seed = _SEEDS[seed]
+        self.single = mix(values.astype(np.uint64) + self.seed)
+
+    def _levels(self, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        level, size = self.single, 1
+        while size <= longest:
+            yield size, level
+            if 2 * size <= longest:
+                level = mix(level[:-size] * _STEP + level[size:])
+            size *= 2
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        length = np.asarray(end - start, np.int64)
+        value, at = mix(length.astype(np.uint64) * _STEP + self.seed), np.array(start, np.int64)
+        for size, level in self._levels(int(length.max()) if len(length) else 0):
+            some = np.flatnonzero(length & size)
+            value[some] = mix(value[some] * _STEP + level[at[some]])
+            at[some] += size
+        return value
 
     def every(self, length: int) -> np.ndarray:
-        """The hash of each span of ``length`` bytes, by start."""
-        n = len(self.sums) - 1 - length + 1
+        """The hash of each span of ``length`` values, by start."""
+        n = len(self.single) - length + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
+        value, at = mix(np.full(1, length, np.uint64) * _STEP + self.seed), 0
+        for size, level in self._levels(length):
+            if length & size:
+                value = mix(value * _STEP + level[at : at + n])
+                at += size
+        return value
 
 
-class Spans(Rolling):
-    """Hashes of byte spans of one block."""
-
-    def __init__(self, data: np.ndarray, base: int = 0) -> None:
-        super().__init__(_BYTE_VALUE[data], base)
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of segments that ascend and do not overlap: the scrambled sum of a scrambled number for each value at its place."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lo, hi = int(starts[0]), int(ends[-1])
+    place = np.arange(lo, hi) - np.repeat(starts, np.diff(np.append(starts, hi)))
+    own = np.append(mix((place.astype(np.uint64) << np.uint64(24)) + values[lo:hi].astype(np.uint64) + _SEEDS[0]), np.uint64(0))
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[0::2], edges[1::2] = starts - lo, ends - lo
+    total = np.add.reduceat(own, edges)[0::2]
+    total[starts == ends] = 0
+    return mix(total + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,11 +145,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     first = np.concatenate([[0], np.cumsum(per_doc)])
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    word = Spans(low).hash(starts, ends)
+    word = segment_hashes(low, starts, ends)
     n = len(word)
     rolled = np.full(max(0, n - width + 1), width, np.uint64)
     for i in range(width):
-        rolled = mix(rolled * np.uint64(0xA24BAED4963EE407) + word[i : i + len(rolled)])
+        rolled = mix(rolled * _STEP + word[i : i + len(rolled)])
     parts, bounds = [], np.zeros(n_docs + 1, np.int64)
     for d in range(n_docs):
         a, b = first[d], first[d + 1]
@@ -146,7 +158,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         elif b > a:
             short = np.full(1, b - a, np.uint64)
             for i in range(a, b):
-                short = mix(short * np.uint64(0xA24BAED4963EE407) + word[i : i + 1])
+                short = mix(short * _STEP + word[i : i + 1])
             own = short
         else:
             own = rolled[:0]

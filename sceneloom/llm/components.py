@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from sceneloom.llm.shared import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component: each node of ``edges`` (a, b: longs) with the least node it is connected with.
 
     Large-star links each node's larger neighbours to the least of its neighbourhood,
-    small-star its smaller ones and itself; in O(log n) rounds only stars around the least
-    nodes are left.  Each round is written to the shared folder.  No edges, no rows.
+    small-star its smaller ones and itself; the rounds go on until only stars around the least
+    nodes are left, O(log n) of them.  Each round is written to the shared folder.  No edges, no rows.
     """
     stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if state == before or not state["n"]:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sceneloom.llm.bytesnp import Spans, closed_syncmers, text_blocks
-from sceneloom.llm.shared import documents
+from sceneloom.llm.shared import documents, others
 
 K, S = 14, 6
 #: A text of fewer than 2 K bytes has no room for anchors; all its spans of so many bytes stand for it.
@@ -120,7 +120,7 @@ def _compared(rows: list[tuple[int, bool, int | None, str]]) -> pa.RecordBatch:
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``fingerprint`` (string); null counts as empty, whose fingerprint is ''.  A column of that name is replaced."""
-    own = [c for c in docs.columns if c != "fingerprint"]
+    own = others(docs, "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sceneloom.llm.bytesnp import Spans, text_blocks
-from sceneloom.llm.shared import checked_broadcast, cut, documents
+from sceneloom.llm.bytesnp import text_blocks
+from sceneloom.llm.shared import checked_broadcast, cut, documents, fresh, others
 
 #: Consecutive lines in a window.
 WINDOW = 3
@@ -19,7 +20,7 @@ _NO_ID = -(1 << 63)
 
 
 def _window_rows(window: int):
-    """A row for each ``window`` consecutive lines of a text: two 64-bit hashes of their bytes, and the number of the first."""
+    """A row for each ``window`` consecutive lines of a text: SHA-256 of their bytes, and the number of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,8 +36,9 @@ def _window_rows(window: int):
                     continue
                 line = first - np.searchsorted(doc, doc[first]) + 1
                 row = pa.array(doc[first] + start)
-                keys = [Spans(data, base).hash(begin[first], end[first + window - 1]).view(np.int64) for base in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch["row_id"].take(row), batch["row_text"].take(row), pa.array(line.astype(np.int32))], names=["h1", "h2", "row_id", "row_text", "line"])
+                held = memoryview(data)
+                digests = [hashlib.sha256(held[a:b]).digest() for a, b in zip(begin[first].tolist(), end[first + window - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch["row_id"].take(row), batch["row_text"].take(row), pa.array(line.astype(np.int32))], names=["digest", "row_id", "row_text", "line"])
 
     return run
 
@@ -44,29 +46,32 @@ def _window_rows(window: int):
 def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with n_lines, removed_lines (numbers from 1, ascending) and kept_text.
 
-    Lines are split at line feeds and compared by two 64-bit hashes of their bytes.
+    Lines are split at line feeds, and windows compared by SHA-256 of their bytes.
     Every ``window`` consecutive lines of a text are a window (so windows overlap); a text of
     fewer lines has none and is left as it is, and so is a null text (n_lines 0, kept_text
     null).  Of equal windows the first stays, by ascending doc_id (null first), a hash of
     the text, and line; lines that any later one covers go, and what stays is joined by
     line feeds again.  All windows are judged on the input.  Rows that repeat id and text
-    are one document.  Columns with the three names above are replaced.
+    are one document.  Columns with the three names above are replaced; others pass through, whatever they are called.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "kept_text")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_text"))
-    windows = cut(keyed.where("text IS NOT NULL").select("row_id", "row_text", "text").mapInArrow(_window_rows(window), "h1 long, h2 long, row_id long, row_text long, line int"))
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("row_id", "row_text", "line")).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
-    later = windows.join(checked_broadcast(cut(first.drop("often"))), ["h1", "h2"]).where(F.struct("row_id", "row_text", "line") != F.col("first"))
+    own = others(docs, "n_lines", "removed_lines", "kept_text")
+    row_id, row_text, gone = fresh(docs, "row_id", "row_text", "gone")
+    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias(row_id), F.xxhash64("text").alias(row_text))
+    texts = keyed.where("text IS NOT NULL").select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"), "text")
+    windows = cut(texts.mapInArrow(_window_rows(window), "digest binary, row_id long, row_text long, line int"))
+    place = F.struct("row_id", "row_text", "line")
+    first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
+    later = windows.join(checked_broadcast(cut(first.drop("often"))), "digest").where(place != F.col("first"))
     covered = later.select("row_id", "row_text", F.explode(F.sequence(F.col("line"), F.col("line") + (window - 1))).alias("line"))
-    covered = cut(covered.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("line")).alias("removed_lines")))
-    joined = keyed.join(checked_broadcast(covered, entries=F.size("removed_lines")), ["row_id", "row_text"], "left").select(*own, F.col("removed_lines").alias("gone"))
+    covered = cut(covered.groupBy(F.col("row_id").alias(row_id), F.col("row_text").alias(row_text)).agg(F.sort_array(F.collect_set("line")).alias(gone)))
+    joined = keyed.join(checked_broadcast(covered, entries=F.size(gone)), [row_id, row_text], "left").select(*own, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch["text"].to_pylist(), [g or [] for g in batch["gone"].to_pylist()]
+            texts, lines = batch["text"].to_pylist(), [g or [] for g in batch[gone].to_pylist()]
             n = [0 if t is None else t.count("\n") + 1 for t in texts]
-            kept = [_without(t, set(g)) if g else t for t, g in zip(texts, gone, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n, pa.int32()), pa.array(gone, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=[*own, "n_lines", "removed_lines", "kept_text"])
+            kept = [_without(t, set(g)) if g else t for t, g in zip(texts, lines, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n, pa.int32()), pa.array(lines, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=[*own, "n_lines", "removed_lines", "kept_text"])
 
     return joined.mapInArrow(run, T.StructType([*docs.select(*own).schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType())), T.StructField("kept_text", T.StringType())]))
 

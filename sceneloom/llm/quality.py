@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sceneloom.llm.bytesnp import SPACE, Spans, fold_ascii, text_blocks, words
-from sceneloom.llm.shared import checked_broadcast, crc_remainder, cut, documents
+from sceneloom.llm.bytesnp import SPACE, fold_ascii, mix, segment_hashes, text_blocks, words
+from sceneloom.llm.shared import checked_broadcast, crc_remainder, cut, documents, others
 
 #: About so many labelled rows are learned from; their features (some numbers each) come to the driver.
 SAMPLE_ROWS = 20_000
@@ -53,8 +53,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = fold_ascii(data)
     start, end, doc = words(low, offsets)
     n_words = np.bincount(doc, minlength=n_docs).astype(float)
-    spans = Spans(low)
-    word = spans.hash(start, end)
+    word = segment_hashes(low, start, end)
     per = lambda weight: np.bincount(doc, weight, minlength=n_docs)
     over = lambda a, b: np.divide(a, b, out=np.zeros(n_docs), where=b > 0)
     letters = np.concatenate([[0], np.cumsum(np.isin(_KIND[data], (1, 2, 7)))])
@@ -74,7 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kept, top = distinct(word, doc)
     after = (doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, bool)
     same = np.concatenate([[False], after & (word[1:] == word[:-1])]) if len(word) else np.zeros(0, bool)
-    pair = (word[:-1] * np.uint64(31) + word[1:])[after] if len(word) > 1 else word[:0]
+    pair = mix(word[:-1] * np.uint64(31) + word[1:])[after] if len(word) > 1 else word[:0]
     pairs, _ = distinct(pair, doc[:-1][after] if len(word) > 1 else doc[:0])
     breaks = np.flatnonzero(data == 10)
     edges = np.unique(np.concatenate([offsets, breaks + 1]))
@@ -84,7 +83,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(offsets, line_start, "right") - 1
     tail = line_end - (data[line_end - 1] == 10)
     lines = np.bincount(line_doc, minlength=n_docs).astype(float)
-    kept_lines, _ = distinct(spans.hash(line_start, tail), line_doc)
+    kept_lines, _ = distinct(segment_hashes(low, line_start, tail), line_doc)
     marked = np.isin(data[np.maximum(tail - 1, 0)], [ord(c) for c in ".!?:\""]) & (tail > line_start)
     sentences = np.bincount(doc_of[np.isin(data, [ord(c) for c in ".!?"])], minlength=n_docs).astype(float)
     solid = np.maximum(size - np.bincount(doc_of[SPACE[data]], minlength=n_docs), 0).astype(float)
@@ -226,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def score_rows(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` with quality_score (0 to 1); a null text is scored as an empty one.  A column of that name is replaced."""
-    own = [c for c in docs.columns if c != "quality_score"]
+    own = others(docs, "quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

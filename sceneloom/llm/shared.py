@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: tables cut from their lineage, checked broadcasts, row keys."""
+"""What the operators of this subpackage share: tables cut from their lineage, checked broadcasts, names, row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneloom.session import materialised as cut
+
+__all__ = ["checked_broadcast", "crc_remainder", "cut", "documents", "fold_ascii_column", "fresh", "others"]
+
 #: A side of a join is broadcast only if it has at most so many (narrow) rows; beyond that both sides are shuffled.
 BROADCAST_ROWS = 300_000
 #: And at most so many entries (whole numbers) in the lists of its rows.
@@ -16,34 +17,34 @@ BROADCAST_ENTRIES = 8_000_000
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sceneloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sceneloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, entries: Column | None = None) -> DataFrame:
+def checked_broadcast(table: DataFrame, rows: int | None = None, entries: Column | None = None) -> DataFrame:
     """``table`` (best one from ``cut``) marked for broadcast if it is counted to be small, else as it is.
 
-    ``entries`` is the length of a row's lists, where it has any; of these, at most ``BROADCAST_ENTRIES`` in all are broadcast.
+    ``rows`` is ``BROADCAST_ROWS`` by default.  ``entries`` is the length of a row's lists, where it has any; of these, at most ``BROADCAST_ENTRIES`` in all are broadcast.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     fits = table.limit(rows + 1).count() <= rows
     if fits and entries is not None:
         fits = (table.agg(F.sum(entries.cast("long")).alias("n")).first()["n"] or 0) <= BROADCAST_ENTRIES
     return F.broadcast(table) if fits else table
 
 
+def others(docs: DataFrame, *made: str) -> list[str]:
+    """The columns of ``docs`` but for those that an operator makes anew (in any case)."""
+    return [c for c in docs.columns if c.lower() not in made]
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns: those given, with underlines before them where ``docs`` has such a column."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fold_ascii_column(text: Column) -> Column:
     """A-Z in lower case and nothing else changed."""
     return F.translate(text, _ASCII_UPPER, _ASCII_LOWER)
@@ -54,14 +55,5 @@ def crc_remainder(doc_id: Column, modulus: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts of many kilobytes go to Python in batches of at most so many rows, unless the session has fewer already: what a worker and the JVM hold outside the heap stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    have = int(spark.conf.get(key, "10000"))
-    if have <= 0 or have > rows:
-        spark.conf.set(key, str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
