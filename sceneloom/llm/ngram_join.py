@@ -1,10 +1,11 @@
 """Jaccard join on word n-grams by T-occurrence search (operator 1).
 
-A document is the set of its distinct n-grams.  Rows with equal sets are one class from
+A document is the set of its distinct n-grams.  Rows with the same words are one class from
 the start.  The search for links runs inside *blocks* of bounded size (``link_block``):
-each block has the inverted lists of its documents; for a document the few longest of its
-lists are set aside, the short ones are merged with a heap, and only documents that occur
-there often enough are probed for the long ones by binary search (DivideSkip).  Documents
+each block has the inverted lists of its documents; for a document the longest of its
+lists are set aside, the short ones are merged with a heap, and the documents that occur
+there often enough are probed for the long ones by binary search (DivideSkip).  Whatever
+the hashes of n-grams say, a link counts only if the n-grams themselves bear it out.  Documents
 that a block has already connected are not compared again, so a block of near copies
 yields a spanning forest and not all its pairs.
 
@@ -13,7 +14,9 @@ Two rounds decide which documents meet:
 1. By their least n-grams under ``_KEYS`` hash orders; groups larger than a block are
    dealt into several at random, differently for each order.  This connects nearly all
    near copies.
-2. Everything that is left, exactly.  If two sets have Jaccard likeness t or more and the
+2. Everything that is left, exactly.  A document of which too many n-grams occur in no other
+   cannot be like any (counted over all documents with partial sums), and drops out.  If two
+   sets have Jaccard likeness t or more and the
    smaller has a members, they differ in d <= a (1 - t) / t.  So of d + 1 slices of the
    n-gram space at least one has the same members in both; every document is keyed by
    its slices for its own size class and for the one below.  Documents of different
@@ -22,20 +25,23 @@ Two rounds decide which documents meet:
    the key; what the other keys connect is a cluster.  The members of a cluster for one size class are a block; or, if they are too
    many, the largest component among them (the hub) and the others are dealt into parts,
    and each part of the others makes a block with each part of the hub and of the others.
+
+What many documents share (a passage, an n-gram, a key) is counted by partial sums, and
+brought back by joins between written tables, whose large partitions Spark can split.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
-from collections.abc import Iterator
-from functools import cache, reduce
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sceneloom.llm.bytesnp import mix, shingles, text_blocks
 from sceneloom.llm.components import connected_components
@@ -48,12 +54,16 @@ GROUP_DOCS = 128
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_200_000
 #: Keys on which so few documents meet give pairs, others clusters.
 PAIR_DOCS = 8
-#: Steps up to which lists are merged by a heap in Python.
-_HEAP_STEPS = 64
+#: So many steps the heap may take for a document: as many of the longest lists are set aside as that needs.  Where even the lists that must be merged are longer together, they are merged by sorting.
+_HEAP_STEPS = 2_048
 #: Nodes of rows without doc_id begin here; each text of such rows has its own, by a hash.
 _NO_ID = 1 << 62
-#: Weight of merging against probing, by which the number of lists to set aside is chosen; numpy merges fast, so few are.
-_PROBE_COST = 0.5
+
+
+def real_ngrams(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The n-grams themselves; ``bytes`` has the white space and the lower case of the contract."""
+    own = text.lower().split()
+    return set(zip(*(own[i:] for i in range(width)), strict=False)) if len(own) >= width else {tuple(own)} if own else set()
 
 
 def _feature_rows(width: int):
@@ -66,12 +76,9 @@ def _feature_rows(width: int):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 at = bounds[:-1][full]
-                out = {"doc_id": batch["doc_id"].slice(start, end - start), "no_id": batch["no_id"].slice(start, end - start), "n": pa.array(n)}
-                for name, seed in (("s1", np.uint64(0)), ("s2", np.uint64(0xABCDEF0123456789))):
-                    s = np.zeros(end - start, np.uint64)
-                    if len(full):
-                        s[full] = mix(np.add.reduceat(mix(tokens ^ seed), at) + n[full].astype(np.uint64))
-                    out[name] = pa.array(s.view(np.int64))
+                held = data.tobytes()
+                words = [hashlib.sha256(b" ".join(held[a:b].lower().split())).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                out = {"doc_id": batch["doc_id"].slice(start, end - start), "no_id": batch["no_id"].slice(start, end - start), "n": pa.array(n), "words": pa.array(words, pa.binary())}
                 for i, seed in enumerate(seeds):
                     k = np.zeros(end - start, np.uint64)
                     if len(full):
@@ -114,8 +121,10 @@ def slice_keys(tokens: np.ndarray, lows: list[int], num: int, den: int) -> np.nd
         if c < 0:
             continue
         differ = (lows[c + 1] - 1) * (den - num) // num
-        if not differ:
-            continue  # sets so small are like only if they are equal
+        if not differ:  # sets so small are like only if they are equal
+            if c == own:
+                keys.append(mix(mix(tokens ^ np.uint64(0x1234567890ABCDEF)).sum(keepdims=True) + mix(np.full(1, c << 40, np.uint64))))
+            continue
         slices, spare = slices_of(differ, lows[c])
         where = (tokens % np.uint64(slices)).astype(np.int64)
         content = np.zeros(slices, np.uint64)
@@ -156,18 +165,14 @@ def _gram_rows(width: int):
 
 
 def _merge(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, need: int) -> dict[int, int]:
-    """Members that occur in at least ``need`` of the ascending lists ``lists[begin:end]``, with how often.
-
-    A heap of the lists' heads; where the lists are longer together than ``_HEAP_STEPS``,
-    numpy merges and counts them at once.
-    """
+    """Members that occur in at least ``need`` of the ascending lists ``lists[begin:end]``, with how often: by a heap of the lists' heads, or by sorting (see ``_HEAP_STEPS``)."""
     size = end - begin
     total = int(size.sum())
     if total > _HEAP_STEPS:
         at = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
-        often = np.bincount(lists[at])
-        found = np.flatnonzero(often >= need)
-        return dict(zip(found.tolist(), often[found].tolist(), strict=True))
+        member, often = np.unique(lists[at], return_counts=True)
+        some = often >= need
+        return dict(zip(member[some].tolist(), often[some].tolist(), strict=True))
     plain = [lists[a:b].tolist() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     heap = [(x[0], i, 0) for i, x in enumerate(plain)]
     heapq.heapify(heap)
@@ -189,15 +194,16 @@ def _merge(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, need: int) ->
 def divide_skip(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, tokens: np.ndarray, need: int, held_by) -> dict[int, int]:
     """Members of at least ``need`` of the inverted lists ``lists[begin:end]`` of ``tokens``, with how often they occur.
 
-    The longest lists are not merged: a member that occurs often enough in the
+    The longest lists are not merged (``need`` - 1 of them at most): a member that occurs often enough in the
     short ones is probed for their tokens by binary search in its sorted set (``held_by``).
     """
     if len(begin) < need:
         return {}
     size = end - begin
-    aside = min(need - 1, int(need / (_PROBE_COST * math.log2(max(2, int(size.max()))) + 1)))
     by_size = np.argsort(size, kind="stable")
-    short, long = by_size[: len(size) - aside], tokens[np.sort(by_size[len(size) - aside :])]
+    merged = max(len(size) - need + 1, int(np.searchsorted(np.cumsum(size[by_size]), _HEAP_STEPS, "right")))
+    aside = len(size) - merged
+    short, long = by_size[:merged], tokens[np.sort(by_size[merged:])]
     found = {}
     for member, count in _merge(lists, begin[short], end[short], need - aside).items():
         count += int(held_by(member, long).sum())
@@ -206,9 +212,11 @@ def divide_skip(lists: np.ndarray, begin: np.ndarray, end: np.ndarray, tokens: n
     return found
 
 
-def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int, sure: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links (positions) that, with the components given, connect all the block's sets of likeness num/den or more.
 
+    ``sure`` has the last word on two sets whose hashes say so.
+
     The largest component given is the hub.  Its members are in the index but are not
     searched for: a link to one of them is found from its other end.
     """
@@ -237,7 +245,7 @@ def link_block(sets: list[np.ndarray], component: list[int], num: int, den: int)
         return own[at] == tokens
 
     def alike(i: int, j: int, shared: int) -> bool:
-        return shared * den >= num * (len(sets[i]) + len(sets[j]) - shared)
+        return shared * den >= num * (len(sets[i]) + len(sets[j]) - shared) and (sure is None or sure(i, j))
 
     size = np.fromiter(map(len, sets), np.int64, n)
     every, which = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -278,7 +286,16 @@ def _link_rows(width: int, num: int, den: int):
         for start, end, data, offsets in text_blocks(text):
             tokens, bounds = shingles(data, offsets, width)
             sets += [tokens[bounds[i] : bounds[i + 1]] for i in range(end - start)]
-        links = link_block(sets, [r[1] for r in rows], num, den)
+
+        @lru_cache(4)
+        def real(i: int) -> set[tuple[bytes, ...]]:
+            return real_ngrams(rows[i][2], width)
+
+        def sure(i: int, j: int) -> bool:
+            shared = len(real(i) & real(j))
+            return shared * den >= num * (len(real(i)) + len(real(j)) - shared)
+
+        links = link_block(sets, [r[1] for r in rows], num, den, sure)
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], names=["a", "b"]) if links else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,17 +348,16 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
     of their sets is at least ``likeness`` (numerator, denominator; compared in integers).
     component_id is the least doc_id that links reach.  Rows that share a doc_id are one
     node; of rows without one, each text is (null is given as component only to a component of such
-    rows).  N-grams, and texts without doc_id, are compared by 64-bit hashes.
+    rows).  N-grams are searched and counted by 64-bit hashes, and links tested on the n-grams themselves.
     """
     num, den = likeness
     given = F.col("doc_id").cast("long")
     own = docs.select(F.coalesce(given, F.shiftrightunsigned(F.xxhash64("text"), 2) + _NO_ID).alias("doc_id"), given.isNull().alias("no_id"), "text")
     keys = [f"k{i}" for i in range(_KEYS)]
-    features = cut(own.mapInArrow(_feature_rows(width), "doc_id long, no_id boolean, n long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys)))
+    features = cut(own.mapInArrow(_feature_rows(width), "doc_id long, no_id boolean, n long, words binary, " + ", ".join(f"{k} long" for k in keys)))
     full = features.where("n > 0")
-    classes = full.groupBy("s1", "s2", "n", *keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes)
-    copies = full.join(classes.where("copies > 1").select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    classes = cut(full.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in keys]))
+    copies = full.join(classes.where("copies > 1").select("words", "rep"), "words").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     copies = cut(copies)
 
     def links(blocks: DataFrame) -> DataFrame:
@@ -349,41 +365,50 @@ def ngram_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int]
         met = own.join(checked_broadcast(blocks), "doc_id").select("block", "doc_id", "component", "text")
         return met.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_link_rows(width, num, den), "a long, b long")
 
-    groups = [
-        classes.join(classes.groupBy(k).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), k).select(_dealt([F.col(k)], F.col("members"), F.col("rep"), i).alias("block"), F.col("rep").alias("doc_id"))
-        for i, k in enumerate(keys)
-    ]
+    groups = []
+    for i, k in enumerate(keys):
+        crowded = cut(classes.groupBy(k).agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+        groups.append(classes.join(crowded, k).select(_dealt([F.col(k)], F.col("members"), F.col("rep"), i).alias("block"), F.col("rep").alias("doc_id")))
     blocks = cut(reduce(DataFrame.unionByName, groups).distinct().withColumn("component", F.col("doc_id")))
     near = cut(links(blocks).unionByName(copies))
     found = cut(connected_components(near))
 
     # the rest, exactly: of each class one row, with its component
-    one_set = full.groupBy("doc_id").agg((F.min(F.struct("s1", "s2")) == F.max(F.struct("s1", "s2"))).alias("one")).where("one").select(F.col("doc_id").alias("node"))
+    one_set = full.groupBy("doc_id").agg((F.min("words") == F.max("words")).alias("one")).where("one").select(F.col("doc_id").alias("node"))
     other = copies.select(F.col("a").alias("node")).distinct().join(one_set, "node", "left_semi").withColumn("copy", F.lit(True))
-    status = found.join(other, "node", "left").withColumnRenamed("node", "doc_id")
-    status = cut(status)
+    status = cut(found.join(other, "node", "left").withColumnRenamed("node", "doc_id"))
     once = own.join(checked_broadcast(status), "doc_id", "left").where("copy IS NULL").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
-    by_key = Window.partitionBy("key")
-    keyed = once.mapInArrow(_key_rows(width, num, den), "key long, doc_id long, component long")
-    met = keyed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low <> high")
-    met = cut(met.select("key", "doc_id", "component"))
-    # of a set that is like another, the share num/den of its own members occurs among the others here, too
+    sizes = classes.select(F.col("rep").alias("doc_id"), "n")
+
+    def hopeful(rows: DataFrame) -> DataFrame:
+        """doc_id of the ``rows`` (doc_id, text) of whose n-grams the share num/den or more occurs among the others here, too: of a set that is like another, so many do.  An id with several texts is always among them."""
+        grams = rows.mapInArrow(_gram_rows(width), "gram long, doc_id long")
+        alone = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"), F.min("doc_id").alias("doc_id")).where("often = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+        ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id", "left").join(alone, "doc_id", "left")
+        return ids.where((F.col("texts") > 1) | ((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num)).select("doc_id")
+
+    def shared_keys(keyed: DataFrame) -> DataFrame:
+        """The rows of ``keyed`` (key, doc_id, component) whose key several components have, with the key's least doc_id and its members."""
+        ends = cut(keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("low <> high").select("key", "least", "members"))
+        return cut(keyed.join(checked_broadcast(ends), "key"))
+
+    able = cut(hopeful(once))
+    keyed = cut(once.join(checked_broadcast(able), "doc_id", "left_semi").mapInArrow(_key_rows(width, num, den), "key long, doc_id long, component long"))
+    met = shared_keys(keyed)
     asked = cut(met.select("doc_id").distinct())
-    grams = own.join(checked_broadcast(asked), "doc_id", "left_semi").mapInArrow(_gram_rows(width), "gram long, doc_id long")
-    held = grams.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("often > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
-    able = cut(held.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.col("held") * den >= F.col("n") * num).select("doc_id"))
-    met = met.join(checked_broadcast(able), "doc_id", "left_semi").withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key), "least": F.min("doc_id").over(by_key), "members": F.count(F.lit(1)).over(by_key)}).where("low <> high")
-    met = cut(met.select("key", "doc_id", "component", "least", "members"))
+    able = cut(hopeful(own.join(checked_broadcast(asked), "doc_id", "left_semi").select("doc_id", "text")))
+    met = shared_keys(met.join(checked_broadcast(able), "doc_id", "left_semi").select("key", "doc_id", "component"))
     few, many = met.where(F.col("members") <= PAIR_DOCS), met.where(F.col("members") > PAIR_DOCS)
     side = lambda x: few.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"))
-    size_of = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    size_of = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"))
     pairs = side("x").join(side("y"), "key").where("x < y AND cx <> cy").select("x", "y", "cx", "cy").distinct()
-    pairs = pairs.join(size_of("x"), "x").join(size_of("y"), "y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    pairs = cut(pairs.withColumn("block", _dealt([F.col("x")], F.count(F.lit(1)).over(Window.partitionBy("x")), F.col("y"), 7)))
+    pairs = cut(pairs.join(size_of("x"), "x").join(size_of("y"), "y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num).select("x", "y", "cx", "cy").distinct())
+    partners = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("partners")))
+    pairs = cut(pairs.join(partners, "x").withColumn("block", _dealt([F.col("x")], F.col("partners"), F.col("y"), 7)))
     paired = pairs.select("block", F.col("x").alias("doc_id"), F.col("cx").alias("component")).unionByName(pairs.select("block", F.col("y").alias("doc_id"), F.col("cy").alias("component")))
     clusters = cut(connected_components(many.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()))
-    inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    inside = cut(inside.select(F.col("rep").alias("doc_id"), "cluster", "n", F.coalesce("component", "rep").alias("component")))
+    inside = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    inside = cut(inside.select("doc_id", "cluster", "n", F.coalesce("component", "doc_id").alias("component")))
     rest = cut(links(cut(paired.unionByName(_cluster_blocks(inside, num, den)).distinct())))
     if rest.limit(1).count():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
