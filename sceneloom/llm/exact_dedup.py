@@ -7,31 +7,46 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sceneloom.llm.shared import checked_broadcast, cut, documents, fold_ascii_column
 
-#: Rows that a bucket may hold before the directory doubles and the bucket is split.
+#: Rows that a bucket may hold before it is split by one more bit of the hash, doubling the directory where need be.
 BUCKET_ROWS = 8192
-#: Doublings beyond those that an even spread of the keys takes.
-_EXTRA_DEPTH = 4
+#: Bits by which the directory grows at a time, at least, while it still has overfull buckets.
+_STEP = 2
 
 
 def directory(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """(cell, depth, bucket) for each cell of the directory that has rows, and the directory's depth in bits.
+    """(cell, depth, bucket, pages) for each cell of the directory that has rows, and the directory's depth in bits.
 
     ``records`` has h, a 64-bit hash.  A cell is the hash's leading bits to the full depth.
-    Starting from one bucket, a bucket with more than ``bucket_rows`` rows is split by one
-    bit more until it fits or the depth is reached (rows of one hash cannot be split; they
-    are a chain).  The cells of an unsplit bucket share it: bucket = 1 followed by its bits.
+    A bulk load begins at the depth at which an even spread would fill the buckets; from there
+    on, every bucket with more than ``bucket_rows`` rows is split bit by bit until its
+    parts fit, the directory doubling as it must.  Only the cells of overfull buckets are
+    looked at again.  Rows of one hash cannot be split: they are a chain that fills several
+    pages of ``bucket_rows`` rows.  The cells of an unsplit bucket share it: bucket = 1 followed by its bits.
     """
-    rows = records.count()
-    depth = min(40, max(0, math.ceil(math.log2(max(1, rows / bucket_rows)))) + _EXTRA_DEPTH)
-    cells = records.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
-    levels = cells.select("cell", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("bits", F.expr(f"shiftright(cell, {depth} - level)"))
-    sized = levels.withColumn("held", F.sum("rows").over(Window.partitionBy("level", "bits")))
-    fits = sized.where((F.col("held") <= bucket_rows) | (F.col("level") == depth)).groupBy("cell").agg(F.min("level").alias("depth"))
-    return fits.select("cell", "depth", F.expr(f"shiftleft(1L, depth) + shiftright(cell, {depth} - depth)").alias("bucket")), depth
+    level = max(0, math.floor(math.log2(max(1, records.count() / bucket_rows))))
+    prefix = lambda bits: F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    settled, open_rows, depths = [], records.select("h"), []
+    while True:
+        sized = open_rows.groupBy(prefix(level).alias("bits")).agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"))
+        sized = cut(sized.withColumn("fits", (F.col("rows") <= bucket_rows) | (F.col("low") == F.col("high"))))
+        settled.append(sized.where("fits").select(F.lit(level).alias("depth"), "bits", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("int").alias("pages")))
+        depths.append(level)
+        overfull = sized.where("NOT fits")
+        common = overfull.agg(F.min(64 - F.length(F.bin(F.col("low").bitwiseXOR(F.col("high"))))).alias("bits")).first()["bits"]
+        if common is None:
+            break
+        open_rows = open_rows.join(checked_broadcast(overfull.select("bits")), prefix(level) == F.col("bits"), "left_semi")
+        level = min(64, max(level + _STEP, common + 1))  # up to ``common`` bits no bucket would come apart
+    # each bucket stands in the directory once for every cell below it that has rows
+    cells = records.select(prefix(level).alias("cell")).distinct()
+    for depth, part in zip(depths, settled, strict=True):
+        found = cells.withColumn("bits", F.expr(f"shiftrightunsigned(cell, {level - depth})") if depth else F.lit(0).cast("long")).join(part, "bits")
+        found = found.select("cell", "depth", (F.shiftleft(F.lit(1).cast("long"), depth) + F.col("bits")).alias("bucket"), "pages")
+        all_cells = found if depth == depths[0] else all_cells.unionByName(found)
+    return cut(all_cells), level
 
 
 def exact_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -42,30 +57,39 @@ def exact_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, key: Callable[
     and text share their fate; a null id stays only where the group has no other.  ``key`` makes the 64-bit hash
     of the index; texts that collide in it are told apart by their bytes.
 
-    The index records go to shared files by bucket, each owner task having a range of
-    keys; a range may end inside a chain, so a hot text does not go to one task.  Chains
-    of several rows are then resolved: the bytes of their texts are grouped (combined
-    before the shuffle), and each distinct text gives its group.
+    The index records (bucket, page, hash, digest, id) go to shared files, the pages of a bucket to an owner task; a
+    chain longer than a page is dealt over its pages by id, so a hot text has many owners.  Owners
+    walk the chains of several rows in their pages: the bytes of their texts are compared by grouping
+    within the page first, then over the pages of the bucket.  A chain of one text gives its group to all
+    its rows; in a chain of several texts (hashes that collide) each row looks for its own bytes.
     """
     texts = docs.select("doc_id", fold_ascii_column(F.coalesce("text", F.lit(""))).alias("norm"))
     records = cut(texts.select("doc_id", key(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("digest")))
     cells, depth = directory(records, bucket_rows)
-    cells = checked_broadcast(cut(cells))
-    index = cut(
-        records.withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(cells, "cell").select("bucket", "h", "digest", "doc_id")
-        .repartitionByRange("bucket", "h", "doc_id").sortWithinPartitions("bucket", "h")
-    )
-    crowded = cut(index.groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"))
-    chained = texts.withColumn("h", key(F.col("norm"))).join(checked_broadcast(crowded), "h", "left_semi")
-    groups = chained.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups.where("group_size > 1").select("h", F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size"))
-    return index.join(checked_broadcast(groups), ["h", "digest"], "left").select(
+    cells = checked_broadcast(cells.select("cell", "bucket", "pages"))
+    cell_of = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    page_of = lambda row: F.pmod(F.xxhash64("doc_id", *row), F.col("pages")).cast("int")
+    located = records.withColumn("cell", cell_of).join(cells, "cell").select("bucket", page_of(["digest"]).alias("page"), "h", "digest", "doc_id")
+    index = cut(located.repartition("bucket", "page").sortWithinPartitions("bucket", "page", "h"))
+    crowded = index.groupBy("bucket", "page", "h").agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket", "h").agg(F.sum("rows").alias("rows"))
+    crowded = cut(crowded.where("rows > 1").select("bucket", "h"))
+    chained = texts.withColumn("h", key(F.col("norm"))).join(checked_broadcast(crowded), "h")
+    paged = chained.withColumn("cell", cell_of).join(cells.select("cell", "pages"), "cell").withColumn("page", page_of([F.unhex(F.sha2("norm", 256))]))
+    in_page = paged.groupBy("bucket", "page", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(in_page.groupBy("bucket", "h", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+    kinds = cut(groups.groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "h"))
+    alone = groups.join(checked_broadcast(kinds), ["bucket", "h"], "left_anti").select("bucket", "h", "keep_id", "group_size")
+    mixed = groups.join(checked_broadcast(kinds), ["bucket", "h"], "left_semi")
+    out = lambda rows: rows.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    unmixed = index.join(checked_broadcast(kinds), ["bucket", "h"], "left_anti").join(checked_broadcast(cut(alone)), ["bucket", "h"], "left")
+    collided = chained.join(checked_broadcast(kinds), ["bucket", "h"], "left_semi").join(mixed, ["bucket", "h", "norm"]).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    return out(unmixed).unionByName(out(collided))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
