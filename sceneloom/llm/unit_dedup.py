@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sceneloom.llm.shared import checked_broadcast, cut, documents
+from sceneloom.llm.shared import checked_broadcast, cut, documents, fresh, others
 
-#: Characters that a normalised unit has at least to be compared; shorter ones stay (headings, single words, blank lines).
-MIN_CHARS = 24
+#: Characters that a normalised unit has at least to be compared: all but blank ones are.
+MIN_CHARS = 1
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 _NO_ID = -(1 << 63)
 
@@ -28,28 +28,30 @@ def drop_repeated_units(docs: DataFrame, unit: str = "line", min_chars: int = MI
     Units are what stands between line feeds (``line``) or double line feeds
     (``paragraph``); start and end are offsets of the removed unit in the input text, in
     code points, end excluded.  Units are compared by SHA-256 of their normal form, if that has ``min_chars``
-    characters at least.  Of equal units the earliest stays, by ascending doc_id (null first), a hash of the
+    characters at least (blank units are never compared and stay).  Of equal units the earliest stays, by ascending doc_id (null first), a hash of the
     text, and place in it; the others go, and what stays is joined by the separator
     again.  A null text has no units and stays null.  Rows that repeat id and text are
-    one document.  Columns with the three names above are replaced.
+    one document.  Columns with the three names above are replaced; others pass through, whatever they are called.
     """
     sep = SEPARATORS[unit]
-    own = [c for c in docs.columns if c not in ("n_units", "removed", "kept_text")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_text"))
-    parts = F.split("text", sep)
+    own = others(docs, "n_units", "removed", "kept_text")
+    row_id, row_text, gone = fresh(docs, "row_id", "row_text", "gone")
+    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias(row_id), F.xxhash64("text").alias(row_text))
+    rows = keyed.where("text IS NOT NULL").select(F.col(row_id).alias("row_id"), F.col(row_text).alias("row_text"), "text")
     units = cut(
-        keyed.where("text IS NOT NULL").select("row_id", "row_text", F.posexplode(parts).alias("at", "own"))
+        rows.select("row_id", "row_text", F.posexplode(F.split("text", sep)).alias("at", "own"))
         .select("row_id", "row_text", (F.col("at") + 1).alias("at"), normalised(F.col("own")).alias("norm"))
-        .where(F.length("norm") >= min_chars).select("row_id", "row_text", "at", F.unhex(F.sha2("norm", 256)).alias("digest"))
+        .where(F.length("norm") >= max(1, min_chars)).select("row_id", "row_text", "at", F.unhex(F.sha2("norm", 256)).alias("digest"))
     )
-    first = units.groupBy("digest").agg(F.min(F.struct("row_id", "row_text", "at")).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
-    later = units.join(checked_broadcast(cut(first.drop("often"))), "digest").where(F.struct("row_id", "row_text", "at") != F.col("first"))
-    gone = cut(later.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("at")).alias("gone")))
-    joined = keyed.join(checked_broadcast(gone, entries=F.size("gone")), ["row_id", "row_text"], "left").select(*own, "gone")
+    place = F.struct("row_id", "row_text", "at")
+    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("often")).where("often > 1")
+    later = units.join(checked_broadcast(cut(first.drop("often"))), "digest").where(place != F.col("first"))
+    later = cut(later.groupBy(F.col("row_id").alias(row_id), F.col("row_text").alias(row_text)).agg(F.sort_array(F.collect_set("at")).alias(gone)))
+    joined = keyed.join(checked_broadcast(later, entries=F.size(gone)), [row_id, row_text], "left").select(*own, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = [_without(t, g, sep) for t, g in zip(batch["text"].to_pylist(), batch["gone"].to_pylist(), strict=True)]
+            cuts = [_without(t, g, sep) for t, g in zip(batch["text"].to_pylist(), batch[gone].to_pylist(), strict=True)]
             spans = pa.array([[{"unit": u, "start": a, "end": b} for u, a, b in c[1]] for c in cuts], pa.list_(pa.struct([("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array([c[0] for c in cuts], pa.int32()), spans, pa.array([c[2] for c in cuts], pa.string())], names=[*own, "n_units", "removed", "kept_text"])
 
@@ -71,8 +73,7 @@ def _without(text: str | None, gone: list[int] | None, sep: str) -> tuple[int, l
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every unit that is not blank is compared, however short; the SQL below still leaves those under ``MIN_CHARS`` alone."""
-    out = drop_repeated_units(documents(spark, sf_dir).select("doc_id", "text"), min_chars=1)
+    out = drop_repeated_units(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), "kept_text")
 
@@ -82,7 +83,7 @@ WITH u AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM docume
 p AS (SELECT doc_id, i AS nr, parts[i] AS own, i - 1 + coalesce(list_sum([length(x) for x in list_slice(parts, 1, i - 1)]), 0) AS start
       FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM u)),
 n AS (SELECT *, trim(regexp_replace(translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS norm FROM p),
-r AS (SELECT doc_id, nr, start, own, ( length(norm) >= 24 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nr) > 1) AS gone FROM n),
+r AS (SELECT doc_id, nr, start, own, (length(norm) >= 1 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nr) > 1) AS gone FROM n),
 g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
              coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(own) AS BIGINT) AS VARCHAR), ',' ORDER BY nr) FILTER (gone), '') AS removed_spans,
              coalesce(string_agg(own, chr(10) ORDER BY nr) FILTER (NOT gone), '') AS kept_text FROM r GROUP BY doc_id)
