@@ -3,8 +3,11 @@
 The histogram of lengths over all documents decides the buckets: dynamic programming finds
 the bounds with the least padding, when every document is padded to its bucket's bound.
 In each bucket, batches of as many documents as the token budget allows are formed, in the order of
-doc_id.  A document's place in its bucket is counted in two steps (places within chunks of ids, and the
-documents of the chunks before), so that no bucket has to be in one task.
+doc_id.  A document's place in its bucket is counted in two steps (places within ranges of ids, and the
+documents of the ranges before), so that no bucket has to be in one task.
+
+Any column of lengths will do.  The query counts words, which SQL can count, too; for batches
+of model tokens give ``pack`` the number of ids that operator 6 finds.
 """
 
 from __future__ import annotations
@@ -19,15 +22,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sceneloom.llm.bytesnp import text_blocks, words
-from sceneloom.llm.shared import cut, documents
+from sceneloom.llm.shared import cut, documents, fresh, others
 
-#: Tokens of a batch, padding included; a longer document is a batch of its own.
+#: Tokens (of whatever kind the lengths count) of a batch, padding included; a longer document is a batch of its own.
 TOKEN_BUDGET = 65_536
 #: Buckets at most.
 BUCKETS = 16
-#: Distinct lengths up to which the dynamic programme looks at all pairs at once; beyond, it halves the range of the pairs (the result is the same).
-LENGTHS = 2_048
-_CHUNK = 4_096
 _NO_ID = -(1 << 63)
 
 
@@ -88,12 +88,7 @@ def bucket_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS)
 
     at = np.arange(n)
     for _ in range(min(buckets, n)):
-        if n <= LENGTHS:
-            pairs = cost(at[:, None], at[None, :])
-            pairs[np.tril_indices(n, -1)] = np.iinfo(np.int64).max // 4
-            where = pairs.argmin(axis=0)
-        else:
-            where = _first_least(n, cost)
+        where = _first_least(n, cost)
         cuts.append(where)
         least = np.concatenate([[0], cost(where, at)])
     bounds, j = [], n
@@ -105,37 +100,43 @@ def bucket_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS)
     return bounds[::-1], int(least[n])
 
 
-def pack(docs: DataFrame, length: Column, budget: int = TOKEN_BUDGET, buckets: int = BUCKETS) -> DataFrame:
+_MADE = ("n_tokens", "bucket", "padded_length", "batch_id", "batch_row", "batch_rows")
+
+
+def pack(docs: DataFrame, length: Column, budget: int = TOKEN_BUDGET, buckets: int = BUCKETS, tie: Column | None = None) -> DataFrame:
     """Every row of ``docs`` with n_tokens, bucket, padded_length, batch_id, batch_row and batch_rows.
 
     n_tokens is ``length`` (null counts as 0).  batch_id is unique
     among all batches of a bucket; batch_row counts from 0.  A batch has at most
     ``budget`` / padded_length rows, or one if the bound is larger than the budget.  The
-    order within a bucket is that of doc_id (null first), then of text_key if there is such a column, and any for
-    repeated rows.  The driver gets the exact histogram, a row for each distinct length (n lengths of words need
-    n * n / 2 words at least).  Columns with the six names above are replaced.
+    order within a bucket is that of doc_id (null first), then of ``tie``, and any for
+    rows that repeat both.  The driver gets the exact histogram, a row for each distinct length (n lengths of words need
+    n * n / 2 words at least).  Columns with the six names above are replaced; others pass through, whatever they are called.
     """
-    own = [c for c in docs.columns if c not in ("n_tokens", "bucket", "padded_length", "batch_id", "batch_row", "batch_rows")]
-    tie = F.col("text_key") if "text_key" in docs.columns else F.lit(0)
-    sized = docs.select(*own, F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), tie.alias("row_text"))
+    own = others(docs, *_MADE)
+    row_id, row_tie, row_any, part, before, whole, fit, place = fresh(docs, *_MADE, "row_id", "row_tie", "row_any", "part", "before", "whole", "fit", "place")[len(_MADE) :]
+    sized = docs.select(*own, F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias(row_id), (F.lit(0) if tie is None else tie).alias(row_tie), F.rand(5).alias(row_any))
     histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("docs")).orderBy("length").collect()
     bounds, _ = bucket_bounds([r["length"] for r in histogram], [r["docs"] for r in histogram], buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast(T.ArrayType(T.LongType()))
     placed = sized.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))).withColumn("padded_length", F.element_at(limits, F.col("bucket") + 1))
-    placed = placed.withColumn("chunk", F.floor(F.col("row_id") / _CHUNK))
-    before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = placed.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("docs")).withColumns({"before": F.coalesce(F.sum("docs").over(before), F.lit(0)), "all": F.sum("docs").over(Window.partitionBy("bucket"))})
-    place = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("row_id", "row_text")) - 1 + F.col("before")
-    fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))).cast("long")
+    order = [row_id, row_tie, row_any]
+    placed = cut(placed.repartitionByRange("bucket", *order).withColumn(part, F.spark_partition_id()))
+    ranges = placed.groupBy("bucket", part).agg(F.count(F.lit(1)).alias("docs"))  # as many rows as buckets and tasks, about
+    behind = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("bucket", part, F.coalesce(F.sum("docs").over(behind), F.lit(0)).alias(before), F.sum("docs").over(Window.partitionBy("bucket")).alias(whole))
+    nth = F.row_number().over(Window.partitionBy("bucket", part).orderBy(*order)) - 1 + F.col(before)
+    fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1)))).cast("long")
+    div = F.floor(F.col(place) / F.col(fit)).cast("long")
     return (
-        placed.join(cut(chunks).select("bucket", "chunk", "before", "all"), ["bucket", "chunk"]).withColumn("place", place).withColumn("fit", fit)
-        .select(*own, "n_tokens", "bucket", "padded_length", F.expr("place div fit").alias("batch_id"), F.expr("place % fit").alias("batch_row"), F.least("fit", F.col("all") - F.expr("place div fit") * F.col("fit")).alias("batch_rows"))
+        placed.join(cut(ranges), ["bucket", part]).withColumn(place, nth).withColumn(fit, fits)
+        .select(*own, "n_tokens", "bucket", "padded_length", div.alias("batch_id"), (F.col(place) % F.col(fit)).cast("long").alias("batch_row"), F.least(F.col(fit), F.col(whole) - div * F.col(fit)).alias("batch_rows"))
     )
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) packed by their words, without their texts."""
-    return pack(cut(word_lengths(docs)), F.col("n_words")).drop("text_key", "n_words")
+    return pack(cut(word_lengths(docs)), F.col("n_words"), tie=F.col("text_key")).drop("text_key", "n_words")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
