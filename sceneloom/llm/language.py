@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,17 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm.bytesnp import Rolling, mix
-from sceneloom.llm.shared import crc_remainder, cut, documents
+from sceneloom.llm.bytesnp import Spans, segment_hashes
+from sceneloom.llm.shared import crc_remainder, documents
 
 #: n-grams that unseen words fall back to, longest first.
 ORDERS = (5, 4, 3, 2, 1)
-#: About so many labelled rows are learned from.
-SAMPLE_ROWS = 20_000
-#: Words, and n-grams of each order, that a model keeps: the most frequent.
-WORDS, GRAMS = 60_000, 20_000
+#: About so many labelled rows of each language are learned from; every word and n-gram in them is kept.
+SAMPLE_ROWS = 5_000
 _BLOCK_CHARS = 1 << 18
-_EDGE = np.uint64(0x7F4A7C15)  # stands for what is not a letter
 _letters: list[np.ndarray] = []
 
 
@@ -47,10 +45,10 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Words:
-    """The words of some texts: runs of letters in lower case, each once, with the rolling hashes of all characters."""
+    """The words of some texts: runs of letters in lower case, each once, with the hashes of the n-grams of all characters."""
 
     texts: list[str | None]
-    rolling: Rolling = field(init=False)
+    spans: Spans = field(init=False)
 
     def __post_init__(self) -> None:
         low = [(t or "").lower() for t in self.texts]
@@ -60,8 +58,8 @@ class Words:
         starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         begins = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])[:-1]]) if low else np.zeros(0, np.int64)
         self.doc = np.searchsorted(begins, starts, "right") - 1
-        self.rolling = Rolling(np.where(letter, mix(chars.astype(np.uint64) + np.uint64(1)), _EDGE))
-        self.key, first, self.of = np.unique(self.rolling.hash(starts, ends) if len(starts) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        self.spans = Spans(np.where(letter, chars, 0))  # 0 stands for what is not a letter
+        self.key, first, self.of = np.unique(segment_hashes(chars, starts, ends), return_index=True, return_inverse=True)
         self.start, self.end = starts[first], ends[first]
 
     def grams(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +67,7 @@ class Words:
         per_word = np.maximum(0, self.end[which] - self.start[which] + 2 - n + 1)
         owner = np.repeat(np.arange(len(which)), per_word)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(per_word) - per_word, per_word) + self.start[which][owner] - 1
-        return self.rolling.hash(at, at + n), owner
+        return self.spans.every(n)[at], owner
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,30 +137,32 @@ class Model:
         return langs, share
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows of ``labelled`` (doc_id, text, lang) with text and lang.
 
-    About ``sample_rows`` of them are used, chosen by a hash of doc_id.  Counting is done
-    by Spark; the driver gets the ``words`` most frequent words and the ``grams`` most
-    frequent n-grams of each order, each seen twice at least.
+    Of each language about ``sample_rows`` of them are used, chosen by a hash of doc_id, so that a
+    rare language has all its rows in it.  Counting is done by Spark; the driver gets a row
+    for each word and n-gram of the sample, with its count in each language.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    used = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(there)
+    if not langs:
+        return Model([], np.zeros(0), {n: np.zeros(0, np.uint64) for n in (0, *ORDERS)}, {n: np.zeros((0, 0)) for n in (0, *ORDERS)})
+    bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, math.ceil(1_000_000 * min(1.0, sample_rows / there[lang])))])
+    used = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound[F.col("lang")])
     counts = used.select("text", "lang").mapInArrow(_count_rows, "n int, key long, lang string, often long")
-    by_key = cut(counts.groupBy("n", "key", "lang").agg(F.sum("often").alias("often")).groupBy("n", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "often"))).alias("often"), F.sum("often").alias("total")).where("total >= 2"))
-    found = {n: by_key.where(F.col("n") == n).orderBy(F.desc("total"), "key").limit(grams if n else words).select("key", "often").collect() for n in (0, *ORDERS)}
-    langs = sorted({x for rows_ in found.values() for r in rows_ for x in r["often"]})
+    table = counts.groupBy("n", "key").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("often")).otherwise(0)).alias(f"often_{i}") for i, lang in enumerate(langs)]).toArrow()
+    order_of, key = table["n"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+    count = np.stack([table[f"often_{i}"].to_numpy().astype(float) for i in range(len(langs))], axis=1).reshape(len(key), len(langs))
     keys, logs = {}, {}
-    sums = np.zeros(len(langs))
-    for n, rows_ in found.items():
-        key = np.array([r["key"] for r in rows_], np.int64).view(np.uint64)
-        count = np.array([[r["often"].get(x, 0) for x in langs] for r in rows_], float).reshape(len(rows_), len(langs))
-        order = np.argsort(key)
-        keys[n] = key[order]
-        logs[n] = np.log((count[order] + 0.5) / (count.sum(axis=0) + 0.5 * max(1, len(rows_))))
-        sums = count.sum(axis=0) if not n else sums
-    return Model(langs, np.log((sums + 1) / (sums.sum() + max(1, len(langs)))), keys, logs)
+    for n in (0, *ORDERS):
+        own = np.flatnonzero(order_of == n)
+        own = own[np.argsort(key[own])]
+        keys[n] = key[own]
+        logs[n] = np.log((count[own] + 0.5) / (count[own].sum(axis=0) + 0.5 * max(1, len(own))))
+    sums = count[order_of == 0].sum(axis=0)
+    return Model(langs, np.log((sums + 1) / (sums.sum() + len(langs))), keys, logs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
