@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sceneloom.llm.shared import documents
+from sceneloom.llm.shared import documents, others
 
 #: Words of more bytes than this are merged with a heap.
 SHORT = 128
@@ -202,7 +203,7 @@ def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     ids, as in the tokenizers library.  Null counts as empty and gives no ids.  The file
     (some MB) is read by the driver and broadcast.  Columns called ids or decoded are replaced.
     """
-    own = [c for c in docs.columns if c not in ("ids", "decoded")]
+    own = others(docs, "ids", "decoded")
     file = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +220,21 @@ def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(*own).mapInArrow(run, schema)
 
 
-def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what ``token_rows`` gives, made where it is made."""
-    file = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bounds = batch["ids"].offsets.to_numpy()
+        held = memoryview(np.ascontiguousarray(batch["ids"].values.to_numpy(), "<u4")).cast("B")
+        sums = [hashlib.sha256(held[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.string()), batch["decoded_sha256"]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(file.value)
-        for batch in batches:
-            n, sums, texts = [], [], []
-            for text in batch["text"]:
-                ids = codec.encode(text.as_py() or "")
-                n.append(len(ids))
-                sums.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                texts.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+def token_digests(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 of what ``token_rows`` gives."""
+    digests = rows.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests.mapInArrow(_digest_rows, T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(token_rows(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from sceneloom.llm import exact_dedup, line_dedup, repeats, unit_dedup
+from sceneloom.llm import exact_dedup, line_dedup, packing, repeats, unit_dedup
 
 
 def lower(t):
@@ -33,10 +33,14 @@ def test_exact_empty(empty):
 def test_directory_splits_what_is_overfull(spark):
     records = spark.range(5000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(300).select(F.lit(77).cast("long").alias("h")))
     cells, depth = exact_dedup.directory(records, 64)
-    held = records.withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(cells, "cell").groupBy("bucket", "depth").agg(F.count("*").alias("n"), F.countDistinct("h").alias("kinds")).collect()
+    assert cells.count() == cells.select("cell").distinct().count()
+    held = records.withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(cells, "cell").groupBy("bucket", "depth", "pages").agg(F.count("*").alias("n"), F.countDistinct("h").alias("kinds"), F.min("h").alias("low"), F.max("h").alias("high")).collect()
     assert sum(r["n"] for r in held) == 5300
-    assert all(r["n"] <= 64 or r["depth"] == depth for r in held)
+    assert all(r["n"] <= 64 or r["kinds"] == 1 for r in held)
+    assert all(r["pages"] == -(-r["n"] // 64) for r in held)
     assert len({r["depth"] for r in held}) > 1
+    for r in held:  # a bucket has all hashes of its prefix
+        assert {(h % 2**64) >> (64 - r["depth"]) for h in (r["low"], r["high"])} == {r["bucket"] - (1 << r["depth"])}
 
 
 def windows_removed(rows, size):
@@ -74,7 +78,7 @@ def test_units(spark, docs, rows):
         spans, at = [], 0
         for n, unit in enumerate((t or "").split("\n"), 1):
             norm = re.sub("[ \t\n\x0b\f\r]+", " ", lower(unit)).strip(" ")
-            if len(norm) >= 24 and norm in seen:
+            if norm and norm in seen:
                 spans.append((n, at, at + len(unit)))
             seen.add(norm)
             at += len(unit) + 1
@@ -139,3 +143,48 @@ def test_units_query_compares_short_units(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_removed"], r["removed_spans"], r["kept_text"]) for r in unit_dedup.op8_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (0, "", "les.\n\n漢字"), 2: (1, "0-5", "\nown"), 3: (2, "2-4,5-9", "x")}
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterned_lines_are_not_confused(spark):
+    """Thue-Morse lines and their complements meet in sums of powers of any base; no text is lost."""
+    rows = [(i, f"{thue_morse(n, letters)}\nm\nn") for i, (n, letters) in enumerate([(1024, "ab"), (1024, "ba"), (512, "bU"), (512, "Ub")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["kept_text"]) for r in line_dedup.drop_repeated_windows(docs).collect()} == set(rows)
+    assert check_repeats(docs, [(i, t.encode()) for i, t in rows], 400) == sum(map(sum, removed([t.encode() for _, t in rows], 400)))
+
+
+def test_columns_of_clashing_names(spark, docs):
+    """Every name that an operator uses inside may be a column's, too: it passes through, and the result is the same."""
+    names = ["row_id", "ROW_TEXT", "gone", "starts", "ends", "other_starts", "other_ends", "doc_key", "text_key", "size", "at", "digest", "h", "bucket_", "part", "before", "whole", "fit", "place", "row_tie", "row_any", "_gone", "v", "c", "first", "line", "norm", "page"]
+    plain = docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
+    more = plain.withColumns({n: F.lit(n) for n in names})
+    operators = [line_dedup.drop_repeated_windows, unit_dedup.drop_repeated_units, lambda d: repeats.drop_repeats(d, 60, 40), lambda d: packing.pack(d, F.length("text")), exact_dedup.exact_groups]
+    for operator in operators:
+        want, out = operator(plain), operator(more)
+        if operator is not exact_dedup.exact_groups:
+            assert out.columns == ["doc_id", "text", *names, *want.columns[2:]]
+            assert all(out.where(f"`{n}` <> '{n}'").isEmpty() for n in ("row_id", "gone", "_gone"))
+        assert sorted(map(repr, map(tuple, out.select(want.columns).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_passages_besides_the_removed_spans(docs, rows):
+    """One index answers for two lengths."""
+    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+    got = Counter((r["doc_id"], r["n_removed"], sum(b - a for a, b in zip(r["passage_starts"] or [], r["passage_ends"] or [], strict=True))) for r in repeats.drop_repeats(docs, 150, 60).collect())
+    both = [[sum(m) for m in removed([b for _, b in texts], size)] for size in (150, 60)]
+    assert got == Counter((i, a, b) for (i, _), a, b in zip(texts, *both, strict=True))
+    assert sum(both[1]) > sum(both[0]) > 0
+
+
+def test_shuffled_joins_give_the_same(docs, rows, monkeypatch):
+    """Beyond the bound of a broadcast."""
+    from sceneloom.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    real = {i: t for i, t, *_ in rows if i is not None}
+    assert {r["doc_id"]: r["kept_text"] for r in line_dedup.drop_repeated_windows(docs.where("doc_id IS NOT NULL")).collect()} == windows_removed(real.items(), 3)
+    check_repeats(docs, [(r[0], (r[1] or "").encode()) for r in rows], 100)

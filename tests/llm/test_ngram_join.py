@@ -122,3 +122,24 @@ def test_divide_skip_counts_like_a_scan():
                 nj._HEAP_STEPS = steps
                 assert nj.divide_skip(np.concatenate(lists), begin[query], end[query], query, need, held) == want
     nj._HEAP_STEPS = 64
+
+
+def test_patterned_words_are_not_confused(spark):
+    """Words that meet in sums of powers of any base have nothing in common."""
+    a, b = ("".join(x[bin(i).count("1") % 2] for i in range(1024)) for x in ("ab", "ba"))
+    docs = spark.createDataFrame([(0, a), (1, b), (2, a.upper())], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in nj.ngram_components(docs, 4, (85, 100)).collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_links_of_colliding_hashes_are_refused():
+    """The n-grams themselves have the last word, and a refused link hides no other."""
+    some = np.arange(20, dtype=np.uint64)
+    refused = lambda i, j: {i, j} != {0, 1}
+    links = nj.link_block([some, some, some], [1, 2, 3], 85, 100, refused)
+    assert {tuple(sorted(x)) for x in links} == {(0, 2), (1, 2)}
+    assert nj.link_block([some, some], [1, 2], 85, 100, refused) == []
+
+
+def test_real_ngrams():
+    for t in ("A b  c d\te", "one", "", " \n", "É\u00a0x y"):
+        assert nj.real_ngrams(t.encode(), 3) == {tuple(w.encode() for w in s) for s in shingle_set(t, 3)}

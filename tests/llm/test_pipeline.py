@@ -1,13 +1,15 @@
 """The pipeline's stages against brute force over the smallest tables, each on what the one before has kept."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import removed, windows_removed
 from test_ngram_join import brute
 
 import corpus_pipeline as cp
-from sceneloom.llm import quality
+from sceneloom.llm import quality, repeats
 from sceneloom.llm.shared import cut
 
 DATA = "/root/testdata/sf0.001"
@@ -64,9 +66,10 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark, prose):
 
 def test_substring_stage(stages):
     before = texts(stages[3])
-    gone = removed([t.encode() for t in before.values()], 400)
+    gone = removed([t.encode() for t in before.values()], repeats.PASSAGE_BYTES)
     kept = {i: bytes(x for x, g in zip(t.encode(), m, strict=True) if not g).decode("utf-8", "ignore") for (i, t), m in zip(before.items(), gone, strict=True)}
     assert texts(stages[4]) == {i: t for i, t in kept.items() if t}
+    assert any(any(m) for m in gone)
 
 
 def test_packing_stage(spark, stages):
@@ -82,3 +85,20 @@ def test_empty_documents(spark, stages):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.collect() == []
+
+
+def test_stages_take_odd_rows(spark, docs, rows):
+    """Null, empty, very long, tied and repeated rows, and columns of clashing names, in each stage by itself."""
+    more = docs.withColumns({"gone": F.lit(1), "row_id": F.lit("x"), "key": F.lit(2), "starts": F.lit(3)})
+    kept = {name: stage(spark, more, DATA).collect() for name, stage in cp.STAGES}
+    full = [(i, t) for i, t, *_ in rows if t]
+    own = Counter((r["doc_id"], r["text"]) for r in kept["quality classifier"])
+    assert all(n <= Counter((i, t) for i, t, *_ in rows)[k] for k, n in own.items())
+    cut = windows_removed([(i, t) for i, t, *_ in rows if i is not None], 3)
+    assert {(r["doc_id"], r["text"]) for r in kept["line dedup"] if r["doc_id"] is not None} == {(i, t) for i, t in cut.items() if t}
+    assert {r["text"] for r in kept["n-gram Jaccard join"]} <= {t for _, t, *_ in rows} and len(kept["n-gram Jaccard join"]) < len(rows)
+    assert {None, "", "  \n\t "} <= {r["text"] for r in kept["n-gram Jaccard join"]}
+    gone = removed([t.encode() for _, t in full], repeats.PASSAGE_BYTES)
+    want = [(i, bytes(x for x, g in zip(t.encode(), m, strict=True) if not g).decode("utf-8", "ignore")) for (i, t), m in zip(full, gone, strict=True)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept["suffix-array dedup"]) == Counter((i, t) for i, t in want if t)
+    assert Counter(r["doc_id"] for r in kept["packing"]) == Counter(i for i, *_ in rows)
