@@ -1,8 +1,8 @@
 """A corpus made ready for training: five stages, each over all that the one before has kept.
 
 Quality classifier, repeated line windows, near-duplicate documents, long repeated
-substrings, packing.  All stages but the last return the columns of ``documents``; n_chars
-follows the text.
+substrings, packing.  All stages but the last return the columns of ``documents``, and no others that a table may have; n_chars
+follows the text.  Rows need no id and may repeat one: no stage tells rows apart by doc_id alone.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from sceneloom.llm.line_dedup import drop_repeated_windows
 from sceneloom.llm.ngram_join import ngram_components
 from sceneloom.llm.packing import packed_words
 from sceneloom.llm.quality import THRESHOLD, learned, score_rows
-from sceneloom.llm.repeats import drop_repeats, whole_characters
-from sceneloom.llm.shared import checked_broadcast, cut, documents, short_batches
+from sceneloom.llm.repeats import PASSAGE_BYTES, drop_repeats, whole_characters
+from sceneloom.llm.shared import checked_broadcast, cut, documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,13 +25,12 @@ def _with_text(rows: DataFrame, text) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives ``THRESHOLD`` or more."""
-    short_batches(spark)
+    """Documents that the classifier gives ``THRESHOLD`` or more; a null text is scored as an empty one, repeated rows alike."""
     return score_rows(docs, learned(spark, sf_dir)).where(F.col("quality_score") >= THRESHOLD).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of windows of three lines; a text of which nothing is left goes."""
+    """Texts without later occurrences of windows of three lines; null texts and those of which nothing is left go.  Rows that repeat id and text are one document here: none is cut for the other's sake."""
     return _with_text(drop_repeated_windows(docs), F.col("kept_text")).where("text IS NOT NULL AND text <> ''")
 
 
@@ -57,13 +56,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes of 400-byte strings that occur elsewhere; characters that a cut leaves incomplete go, too, and so do empty texts."""
-    cleaned = drop_repeats(docs.select(*COLUMNS))
+    """Texts without bytes of strings of ``PASSAGE_BYTES`` (a passage of 50 words) that occur elsewhere, repeated rows included.
+
+    Characters that a cut leaves incomplete go, too, and so do null and empty texts.
+    """
+    cleaned = drop_repeats(docs.select(*COLUMNS), PASSAGE_BYTES)
     return _with_text(cleaned, F.when(F.col("n_removed") == 0, F.col("text")).otherwise(whole_characters(F.col("kept")))).where("text IS NOT NULL AND text <> ''")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with its length, bucket and batch."""
+    """doc_id with its length, bucket and batch, for every row (null texts have length 0, null ids come first)."""
     return packed_words(docs)
 
 
