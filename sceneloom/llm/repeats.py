@@ -395,7 +395,8 @@ def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 z AS (SELECT unnest([400, 200]) AS size),
-w AS (SELECT size, doc_id, i, md5(substr(h, 2 * i + 1, 2 * size)) AS k FROM (SELECT size, doc_id, h, unnest(range(0, len(h) // 2 - size + 1)) AS i FROM b, z)),
+a AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 1200) AS part FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(0, len(h) // 2, 200)) AS o FROM b)),
+w AS (SELECT size, doc_id, o + j AS i, md5(substr(part, 2 * j + 1, 2 * size)) AS k FROM (SELECT size, doc_id, n, o, part, unnest(range(0, 200)) AS j FROM a, z) WHERE o + j + size <= n),
 m AS (SELECT size, doc_id, i FROM (SELECT size, doc_id, i, count(*) OVER (PARTITION BY size, k) AS c FROM w) WHERE c > 1),
 n AS (SELECT size, doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY size, doc_id ORDER BY i) <= size THEN 0 ELSE 1 END AS new FROM m),
 s AS (SELECT size, doc_id, min(i) AS a, max(i) + size AS z FROM (SELECT size, doc_id, i, sum(new) OVER (PARTITION BY size, doc_id ORDER BY i) AS g FROM n) GROUP BY size, doc_id, g),
