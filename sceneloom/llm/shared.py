@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.session import materialised as cut
 
-__all__ = ["checked_broadcast", "crc_remainder", "cut", "documents", "fold_ascii_column", "fresh", "others"]
+__all__ = ["checked_broadcast", "crc_remainder", "cut", "documents", "fold_ascii_column", "fresh", "others", "short_batches"]
 
 #: A side of a join is broadcast only if it has at most so many (narrow) rows; beyond that both sides are shuffled.
 BROADCAST_ROWS = 300_000
@@ -55,5 +55,17 @@ def crc_remainder(doc_id: Column, modulus: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts go to Python in batches of at most so many rows, unless the session has fewer already: what a worker and the JVM hold outside the heap stays small.
+
+    A plan is run after the function that made it has returned, so the setting stays with the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
