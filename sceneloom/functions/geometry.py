@@ -107,6 +107,24 @@ def camera_centre(q: Column, t: Column) -> Column:
     return F.array(*[-sum((m[j][i] * t[j] for j in range(3)), F.lit(0.0)) for i in range(3)])
 
 
+def signed_axes(p: Column, axes: list[int]) -> Column:
+    """The point with other axes: each of ``axes`` is 1, 2 or 3 for a coordinate, with a minus for its opposite."""
+    return F.array(*[p[abs(i) - 1] if i > 0 else -p[abs(i) - 1] for i in axes])
+
+
+def moved(p: Column, rotation_rows: list[list[float]], shift: list[float], scale: float = 1.0) -> Column:
+    """The point after a similarity transform: scale * R p + shift."""
+    return F.array(*[scale * sum((F.lit(float(r[j])) * p[j] for j in range(3)), F.lit(0.0)) + shift[i] for i, r in enumerate(rotation_rows)])
+
+
+def moved_pose(q: Column, t: Column, rotation_rows: list[list[float]], shift: list[float], scale: float = 1.0) -> tuple[Column, Column]:
+    """(q, t) of a camera after the world moved by ``moved``: R' = R R_w^T, t' = scale * t - R' shift, so that projections stay where they are."""
+    m = rotation(q)
+    turned = [[sum((m[i][k] * float(rotation_rows[j][k]) for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    at = F.array(*[scale * t[i] - sum((turned[i][j] * float(shift[j]) for j in range(3)), F.lit(0.0)) for i in range(3)])
+    return quaternion(turned), at
+
+
 def intrinsics(model: Column, params: Column) -> Column:
     """(fx, fy, cx, cy) by camera model."""
     one_focal = model.isin("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")

@@ -18,6 +18,17 @@ def by_ids(components: DataFrame, ids: list[int]) -> DataFrame:
     return components.where(F.col("component_id").isin(ids)) if ids else components.limit(0)
 
 
+def only_valid(rows: DataFrame, valid: DataFrame, key: str) -> DataFrame:
+    """key, ids: of each row's ``ids`` (array) those that ``valid`` (id) has, in their order; the least valid id if there is none.
+
+    The ids are joined one by one and gathered again by row, so the valid ones may be many.
+    """
+    each = rows.select(key, F.posexplode("ids").alias("at", "id")).join(valid.select("id").distinct(), "id")
+    kept = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("kept"))
+    least = valid.agg(F.min("id").alias("least"))
+    return rows.select(key).join(kept, key, "left").crossJoin(F.broadcast(least)).select(key, F.coalesce("kept", F.array("least")).alias("ids"))
+
+
 def shown(components: DataFrame) -> DataFrame:
     """As results are given out: corners in the viewer's frame, a text where there is no caption, ids as strings."""
     return components.withColumns({"corners": permuted_box(F.col("corners")), "caption": F.coalesce("caption", F.lit("No caption available")), "component_id": F.col("component_id").cast("string")})

@@ -7,9 +7,9 @@ from itertools import count
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sceneloom.functions.vectors import cosine_distance
+from sceneloom.operators.windows import renumbered
 from sceneloom.session import materialised
 
 
@@ -119,8 +119,8 @@ def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
     inside = named.join(known, "instance").groupBy("key", "component_id", "size", "old_size").agg(F.count(F.lit(1)).alias("shared")).where("shared = old_size")
     reused = inside.groupBy("key").agg(F.min_by("component_id", F.struct((F.col("size") != F.col("old_size")).alias("grown"), "component_id")).alias("component_id"))
     top = old.agg(F.coalesce(F.max("component_id"), F.lit(-1)).alias("top"))
-    fresh = new.select("key").join(reused, "key", "left_anti").withColumn("nth", F.row_number().over(Window.orderBy("key"))).crossJoin(F.broadcast(top))
-    return reused.unionByName(fresh.select("key", (F.col("top") + F.col("nth")).alias("component_id")))
+    fresh = renumbered(new.select("key").join(reused, "key", "left_anti"), "key").crossJoin(F.broadcast(top))
+    return reused.unionByName(fresh.select("key", (F.col("top") + 1 + F.col("new_id")).alias("component_id")))
 
 
 def hop_path(edges: DataFrame, start: int, goal: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sceneloom.session import materialised
+
 K1, B = 1.5, 0.75
 PREFILTER_ROWS = 1000
 
@@ -17,10 +19,9 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
 
 
-def prefilter(components: DataFrame, terms: Sequence[str], limit: int = PREFILTER_ROWS, caption: str = "caption") -> DataFrame:
-    """Rows that have one of the words of ``terms``: the ``limit`` with the least ids, not the best ones."""
-    words = [w for t in terms for w in t.lower().split()]
-    return components.where(F.arrays_overlap(tokens(F.col(caption)), F.array(*map(F.lit, words)).cast("array<string>"))).orderBy("component_id").limit(limit)
+def prefilter(components: DataFrame, terms: Sequence[str], limit: int = PREFILTER_ROWS, caption: str = "caption", tokenise=tokens) -> DataFrame:
+    """Rows that have one of the words of ``terms``, both as ``tokenise`` makes them: the ``limit`` with the least ids, not the best ones."""
+    return components.where(F.arrays_overlap(tokenise(F.col(caption)), tokenise(F.lit(" ".join(terms))))).orderBy("component_id").limit(limit)
 
 
 def postings(rows: DataFrame, caption: str = "caption", tokenise=tokens) -> DataFrame:
@@ -86,7 +87,7 @@ def search(components: DataFrame, terms: str | Sequence[str], k: int | None = 10
     pool = components if candidates is None else components.join(candidates.select("component_id"), "component_id", "left_semi")
     if not cleaned:
         return spark.createDataFrame([], "rank int, component_id int, score double, matched_terms array<string>")
-    rows = prefilter(pool, cleaned)
+    rows = materialised(prefilter(pool, cleaned, tokenise=tokenise))  # at most PREFILTER_ROWS, read three times
     each = spark.createDataFrame(list(enumerate(cleaned)), "position int, term string")
     per_term = top_k(bm25(rows, each, tokenise=tokenise), k, "term")
     if len(cleaned) == 1 and elbow_on:

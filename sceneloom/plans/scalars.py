@@ -8,6 +8,7 @@ from sceneloom.catalog import query
 from sceneloom.functions import geometry as geo
 from sceneloom.functions import text, vectors
 from sceneloom.operators.boxes import pixel_count
+from sceneloom.operators.components import only_valid
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded, table
 
 
@@ -56,9 +57,9 @@ def comma_lists(spark, sf_dir):
 @query("valid_ids", "WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS f FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN len([i for i in f if i % 2 = 0]) > 0 THEN array_to_string([i for i in f if i % 2 = 0], ',') ELSE '0' END AS kept FROM a")
 def valid_ids(spark, sf_dir):
     found = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda p: p["l_partkey"])
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(found.alias("f"))
-    valid = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").agg(F.collect_set("p_partkey").alias("v"))
-    return rows.crossJoin(F.broadcast(valid)).select("l_orderkey", F.array_join(F.transform(text.valid_ids(F.col("f"), F.col("v")), lambda i: i.cast("string")), ",").alias("kept"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(found.alias("ids"))
+    valid = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"))
+    return only_valid(rows, valid, "l_orderkey").select("l_orderkey", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("kept"))
 
 
 @query("answers", """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(user_id AS VARCHAR) || ',' || CAST(event_id AS VARCHAR) END AS ids, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type END AS reason, CASE event_id % 3 WHEN 2 THEN CAST(event_id % 10 + 1 AS DOUBLE) ELSE 0.0 END AS score FROM events""")

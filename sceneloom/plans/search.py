@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sceneloom.catalog import query
-from sceneloom.functions.vectors import dot, similarity_of_reported, similarity_of_squared, unit
+from sceneloom.functions.vectors import dot, similarity_of_squared, unit
 from sceneloom.operators import lexical
 from sceneloom.operators.components import in_rank_order, shown
+from sceneloom.operators.similar import similar_to, similar_until_drop
 from sceneloom.operators.spatial import around
 from sceneloom.plans.tables import COMPONENTS, components, rounded, table
 
@@ -81,17 +82,18 @@ def search_around_term(spark, sf_dir):
     return lexical.search(near, ["red"], None, candidates=near)
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("component_id"), "embedding")
+
+
 _DOT = "list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 
 
 @query("vector_topk", f"SELECT v.vec_id AS component_id, round({_DOT}, 5) AS similarity, round(1 - (2 - 2 * {_DOT}) / 2, 5) AS by_distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY round({_DOT}, 9) DESC, v.vec_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     """The ten vectors most like one: exact, by dot product, with only the best of each task shuffled."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    scored = v.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("component_id"), dot(F.col("embedding"), F.col("q")).alias("s"))
-    best = scored.orderBy(F.desc(F.round("s", 9)), "component_id").limit(10)
-    return best.select("component_id", F.round("s", 5).alias("similarity"), F.round(similarity_of_squared(2 - 2 * F.col("s")), 5).alias("by_distance"))
+    best = similar_to(_vectors(spark, sf_dir), 7, 10)
+    return best.select("component_id", F.round("score", 5).alias("similarity"), F.round(similarity_of_squared(2 - 2 * F.col("score")), 5).alias("by_distance"))
 
 
 @query("vector_elbow", f"""WITH s AS (SELECT v.vec_id AS component_id, 1 - pow(2 - 2 * {_DOT}, 2) / 2 AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 11) q),
@@ -100,10 +102,8 @@ m AS (SELECT *, max(CASE WHEN prev - score >= 0.05 THEN 1 ELSE 0 END) OVER (ORDE
 SELECT component_id, CAST(rank AS BIGINT) AS rank, round(score, 4) AS score FROM (SELECT component_id, rank, score, 0 AS stopped FROM g WHERE rank = 1 UNION ALL SELECT component_id, rank, score, stopped FROM m) WHERE stopped = 0""")
 def vector_elbow(spark, sf_dir):
     """The likeness that the service reports, cut off at its first gap."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 11").select(F.col("embedding").alias("q"))
-    scored = v.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("component_id"), similarity_of_reported(2 - 2 * dot(F.col("embedding"), F.col("q"))).alias("score"))
-    return lexical.elbow(lexical.top_k(scored, 50), 0.05, None, positive=False).select("component_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    found = similar_until_drop(_vectors(spark, sf_dir), 11)
+    return found.select("component_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query("vector_representatives", """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM e GROUP BY label, i),
@@ -118,8 +118,8 @@ def vector_representatives(spark, sf_dir):
     return score.withColumn("r", F.row_number().over(first)).where("r = 1").select("label", F.col("vec_id").alias("representative"))
 
 
-@query("vector_unit", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings WHERE vec_id < 100")
+@query("vector_unit", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")
 def vector_unit(spark, sf_dir):
     """Vectors at length one stay there."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", unit(F.col("embedding")).alias("u"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("u"))
     return v.select("vec_id", F.round(F.sqrt(dot(F.col("u"), F.col("u"))), 4).alias("norm"))

@@ -22,9 +22,10 @@ def radius_points(spark, sf_dir):
 
 
 # The distance of two segments is the least of: end to segment (four cases), and the inner optimum if it lies inside both.
+_NEAR = "AND ".join(f"a.lo[{i}] - 0.5 <= b.hi[{i}] AND b.lo[{i}] - 0.5 <= a.hi[{i}] " for i in (1, 2, 3))  # no segment leaves its box
 _SEGMENTS = """
 k AS (SELECT a.component_id AS left_id, b.component_id AS right_id, a.lo AS a, b.lo AS c, [a.hi[i] - a.lo[i] for i in [1, 2, 3]] AS u, [b.hi[i] - b.lo[i] for i in [1, 2, 3]] AS v, [a.lo[i] - b.lo[i] for i in [1, 2, 3]] AS w
-      FROM c a JOIN c b ON a.component_id <> b.component_id WHERE a.lo IS NOT NULL AND b.lo IS NOT NULL AND a.component_id < 60),
+      FROM c a JOIN c b ON a.component_id <> b.component_id WHERE a.lo IS NOT NULL AND b.lo IS NOT NULL AND {which}),
 d AS (SELECT *, list_inner_product(u, u) AS uu, list_inner_product(v, v) AS vv, list_inner_product(u, v) AS uv, list_inner_product(u, w) AS uw, list_inner_product(v, w) AS vw FROM k),
 e AS (SELECT left_id, right_id, u, v, w, unnest([
         {'s': 0.0, 't': greatest(0, least(1, vw / vv))}, {'s': 1.0, 't': greatest(0, least(1, (vw + uv) / vv))},
@@ -34,14 +35,14 @@ dist AS (SELECT left_id, right_id, min(sqrt(pow(w[1] + st.s * u[1] - st.t * v[1]
 """
 
 
-@query("radius_components", f"WITH {COMPONENTS}, {_SEGMENTS} SELECT left_id, right_id, round(distance, 6) + 0.0 AS distance FROM dist WHERE distance <= 0.5")
+@query("radius_components", f"WITH {COMPONENTS}, {_SEGMENTS.replace('{which}', _NEAR)} SELECT left_id, right_id, round(distance, 6) + 0.0 AS distance FROM dist WHERE distance <= 0.5")
 def radius_components(spark, sf_dir):
-    """Components whose space diagonals come within half a unit of some others'."""
+    """Components whose space diagonals come within half a unit of others'."""
     c = components(spark, sf_dir)
-    return within_radius(c.where("component_id < 60"), c, 0.5).select("left_id", "right_id", rounded(F.col("distance")).alias("distance"))
+    return within_radius(c, c, 0.5).select("left_id", "right_id", rounded(F.col("distance")).alias("distance"))
 
 
-_AROUND = f"""WITH {COMPONENTS}, {_SEGMENTS}, n AS (SELECT right_id AS component_id, distance FROM dist WHERE left_id = 3 AND distance <= 2.0),
+_AROUND = f"""WITH {COMPONENTS}, {_SEGMENTS.replace('{which}', 'a.component_id = 3')}, n AS (SELECT right_id AS component_id, distance FROM dist WHERE left_id = 3 AND distance <= 2.0),
 t AS (SELECT {_MIDDLE}[3] AS tz, lo AS tlo, hi AS thi FROM c WHERE component_id = 3)"""
 
 

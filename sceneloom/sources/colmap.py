@@ -14,9 +14,9 @@ from sceneloom.schema import CAMERA, CAMERA_MODELS, IMAGE, POINT
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """nth, f: the fields of each line that is no comment, in the order of the file (a line's place is counted within its own file)."""
-    each = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("nth", "line"))
-    return each.where(~F.ltrim("line").startswith("#")).select("nth", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "").alias("f"))
+    """file, nth, f: the fields of each line that is no comment, in the order of the file (a line's place is counted within its own file)."""
+    each = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("nth", "line"))
+    return each.where(~F.ltrim("line").startswith("#")).select("file", "nth", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "").alias("f"))
 
 
 def _doubles(column, start: int, length=None):
@@ -31,13 +31,13 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Two lines a record: the pose, and the observations, which may be an empty line."""
-    paired = _lines(spark, path).withColumn("n", F.row_number().over(Window.orderBy("nth")) - 1)
-    heads = paired.where("n % 2 = 0 AND size(f) > 0").select(F.expr("n div 2").alias("k"), F.col("f").alias("h"))
-    tails = paired.where("n % 2 = 1").select(F.expr("n div 2").alias("k"), F.col("f").alias("o"))
+    """Two lines a record: the pose, and the observations, which may be an empty line.  Of a folder, each file is paired by itself."""
+    paired = _lines(spark, path).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("nth")) - 1)
+    heads = paired.where("n % 2 = 0 AND size(f) > 0").select("file", F.expr("n div 2").alias("k"), F.col("f").alias("h"))
+    tails = paired.where("n % 2 = 1").select("file", F.expr("n div 2").alias("k"), F.col("f").alias("o"))
     h, o = F.col("h"), F.coalesce("o", F.array().cast("array<string>"))
     seen = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(o) / 3).cast("int")), lambda i: i * 3 + 2 < F.size(o)), lambda i: F.struct(o[i * 3].cast("double").alias("x"), o[i * 3 + 1].cast("double").alias("y"), o[i * 3 + 2].cast("long").alias("point3d_id")))
-    return heads.join(tails, "k", "left").select(h[0].cast("int").alias("image_id"), _doubles(h, 2, 4).alias("qvec"), _doubles(h, 6, 3).alias("tvec"), h[8].cast("int").alias("camera_id"), h[9].alias("name"), seen.alias("observations"))
+    return heads.join(tails, ["file", "k"], "left").select(h[0].cast("int").alias("image_id"), _doubles(h, 2, 4).alias("qvec"), _doubles(h, 6, 3).alias("tvec"), h[8].cast("int").alias("camera_id"), h[9].alias("name"), seen.alias("observations"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -105,6 +105,19 @@ def read_binary(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ddl)
 
 
+def read_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """cameras, images and points3D of a model's folder, from its binary files if it has all three, else from its text files; an error if it has neither."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    has = lambda end: all(files.exists(jvm.org.apache.hadoop.fs.Path(path, f"{kind}.{end}")) for kind in _KINDS)
+    if has("bin"):
+        return {kind: read_binary(spark, f"{folder}/{kind}.bin", kind) for kind in _KINDS}
+    if has("txt"):
+        return {kind: read(spark, f"{folder}/{kind}.txt") for kind, read in (("cameras", read_cameras), ("images", read_images), ("points3D", read_points))}
+    raise FileNotFoundError(f"no model in {folder}")
+
+
 def text_of_cameras(cameras: DataFrame) -> DataFrame:
     numbers = F.array_join(F.transform("params", lambda p: p.cast("string")), " ")
     return cameras.select(F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), numbers).alias("value"))

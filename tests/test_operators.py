@@ -14,6 +14,7 @@ from sceneloom.functions import geometry as geo
 from sceneloom.functions import text
 from sceneloom.operators import boxes, cluster, evaluation, graph, lexical, masks, occupancy, windows
 from sceneloom.operators import components as comp
+from sceneloom.operators.similar import similar, similar_until_drop
 from sceneloom.operators.spatial import nearest, within_radius
 from sceneloom.sources import artifacts, colmap
 from sceneloom.streaming import events
@@ -314,3 +315,73 @@ def test_sinks(spark, tmp_path):
     assert {(r["id"], r["k"]) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(9, "a"), (2, "b")}
     artifacts.write_pivot(rows, str(tmp_path / "c"), ["v"])
     assert {r["v"] for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()} == {"0.5000", "0.2500"}
+
+
+def test_radius_of_nothing(spark):
+    rows = [(1, [0.0] * 3, [1.0] * 3), (2, [1.0] * 3, [2.0] * 3), (3, [1.5, 1.5, 1.6], [3.0] * 3), (4, [5.0] * 3, [5.0] * 3), (5, [5.0] * 3, [5.0] * 3)]
+    df = spark.createDataFrame(rows, "component_id int, lo array<double>, hi array<double>")
+    assert {(r[0], r[1]) for r in within_radius(df, df, 0.0).collect()} == {(1, 2), (2, 1), (4, 5), (5, 4)}
+    points = df.where("component_id > 3")
+    assert within_radius(points, points, 0.0).count() == 2
+
+
+def test_nearest_without_coordinates(spark):
+    nan, inf = float("nan"), float("inf")
+    p = spark.createDataFrame([(1, [0.0] * 3), (2, [nan, 0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [inf, 0.0, 0.0]), (5, [None, 0.0, 0.0]), (6, None)], "id long, p array<double>")
+    assert {(r["query_id"], r["point_id"]) for r in nearest(p, p, 2).collect()} == {(1, 1), (1, 3), (3, 3), (3, 1)}
+
+
+def test_stemmed_search_finds_other_forms(spark):
+    rows = spark.createDataFrame([(1, "a red widget"), (2, "two rings"), (3, "nothing here")], "component_id int, caption string")
+    assert [r["component_id"] for r in lexical.search(rows, ["widgets", "the ring"], tokenise=lexical.stemmed_tokens).orderBy("component_id").collect()] == [1, 2]
+    assert lexical.search(rows, "widgets").count() == 0
+
+
+def test_images_of_several_files(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"images{n}.txt").write_text(f"# i\n{n} 1 0 0 0 .5 0 2 1 a{n}.png\n{n} 2 7\n{n + 10} 1 0 0 0 0 0 0 2 b{n}.png\n\n")
+    got = {r["image_id"]: (r["name"], [tuple(o) for o in r["observations"]]) for r in colmap.read_images(spark, str(tmp_path)).collect()}
+    assert got == {n: (f"a{n}.png", [(n, 2, 7)]) for n in range(3)} | {n + 10: (f"b{n}.png", []) for n in range(3)}
+
+
+def test_model_of_a_folder(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        colmap.read_model(spark, str(tmp_path))
+    for name, text_ in (("cameras", "1 PINHOLE 640 480 500 510 320 240\n"), ("images", "1 1 0 0 0 .5 0 2 1 a.png\n\n"), ("points3D", "7 1 2 3 9 8 255 0.5 1 0\n")):
+        (tmp_path / f"{name}.txt").write_text(text_)
+    assert colmap.read_model(spark, str(tmp_path))["images"].first()["name"] == "a.png"
+    (tmp_path / "cameras.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<iiQQ4d", 3, 1, 640, 480, 1, 2, 3, 4))
+    (tmp_path / "images.bin").write_bytes(struct.pack("<Q", 0))
+    assert colmap.read_model(spark, str(tmp_path))["cameras"].first()["camera_id"] == 1  # the binary model is not whole
+    (tmp_path / "points3D.bin").write_bytes(struct.pack("<Q", 0))
+    assert colmap.read_model(spark, str(tmp_path))["cameras"].first()["camera_id"] == 3
+
+
+def test_moved_model_projects_alike(spark):
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=4)
+    q = (q / np.linalg.norm(q) * np.sign(q[0])).tolist()
+    turn = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = spark.createDataFrame([(rng.normal(size=3).tolist(), rng.normal(size=3).tolist()) for _ in range(20)], "p array<double>, t array<double>")
+    pose = F.array(*map(F.lit, q))
+    again, at = geo.moved_pose(pose, F.col("t"), turn, [1.0, 2.0, 3.0], 2.5)
+    for r in rows.select(geo.to_camera(pose, F.col("t"), F.col("p")).alias("a"), geo.to_camera(again, at, geo.moved(F.col("p"), turn, [1.0, 2.0, 3.0], 2.5)).alias("b")).collect():
+        assert np.allclose(np.array(r["a"]) * 2.5, r["b"], atol=1e-9)
+    assert rows.select(geo.signed_axes(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), [1, -3, 2])).first()[0] == [1.0, -3.0, 2.0]
+
+
+def test_valid_ids_by_join(spark):
+    rows = spark.createDataFrame([(1, [5, 4, 9, 4]), (2, [9]), (3, [])], "k int, ids array<int>")
+    valid = spark.createDataFrame([(4,), (5,), (2,)], "id int")
+    assert {r["k"]: r["ids"] for r in comp.only_valid(rows, valid, "k").collect()} == {1: [5, 4, 4], 2: [2], 3: [2]}
+
+
+def test_similar_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(50, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "component_id int, embedding array<double>")
+    queries = df.where("component_id < 3 OR component_id = 99").select(F.col("component_id").alias("query_id"), "embedding")
+    got = {(r["query_id"], r["rank"]): r["component_id"] for r in similar(df, queries, 4).collect()}
+    assert got == {(i, n + 1): int(j) for i in range(3) for n, j in enumerate(np.argsort(-(v @ v[i]), kind="stable")[:4])}
+    assert similar_until_drop(df, 0, gap=0.01).first()["component_id"] == 0
