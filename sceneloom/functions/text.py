@@ -124,3 +124,8 @@ def data_uri_parts(x: Column) -> Column:
 
 def prompt_line(component_id: Column, caption: Column) -> Column:
     return F.format_string("Component %d: %s\n\n", component_id, F.coalesce(caption, F.lit("")))
+
+
+def contains_folded(x: Column, part: Column) -> Column:
+    """Whether ``part`` occurs in ``x``, capital or not."""
+    return F.contains(F.lower(x), F.lower(part))

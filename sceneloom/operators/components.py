@@ -101,3 +101,15 @@ def manifest(crops: DataFrame) -> DataFrame:
 def described(captions: DataFrame, boxes: DataFrame, best_crops: DataFrame) -> DataFrame:
     """Captions with boxes and best crops, both optional; a blank caption counts as none."""
     return captions.join(boxes, "component_id", "left").join(best_crops, "component_id", "left").withColumn("caption", F.coalesce("caption", F.lit("")))
+
+
+def caption_statistics(captions: DataFrame) -> DataFrame:
+    """One row: captions, and the mean, least and greatest number of their characters (null without captions)."""
+    size = F.length("caption")
+    return captions.agg(F.count("caption").alias("captions"), F.avg(size).alias("mean_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"))
+
+
+def label_statistics(inventory: DataFrame) -> DataFrame:
+    """One row: frames, and the mean, least and greatest number of labels (frame_no, labels) a frame has; 0 without frames."""
+    size = F.size("labels")
+    return inventory.agg(F.count(F.lit(1)).alias("frames"), *[F.coalesce(f(size), F.lit(0)).alias(n) for f, n in ((F.avg, "mean_labels"), (F.min, "min_labels"), (F.max, "max_labels"))])

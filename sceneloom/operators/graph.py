@@ -80,6 +80,15 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: connected_components, largest_component_size, average_degree, max_degree, nodes without edges included; without any edge all null."""
+    sizes = components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    parts = sizes.agg(F.count(F.lit(1)).alias("connected_components"), F.max("size").alias("largest_component_size"))
+    own = degrees(nodes, edges).agg(F.avg("degree").alias("average_degree"), F.max("degree").alias("max_degree"))
+    any_edge = F.col("max_degree") > 0
+    return parts.crossJoin(own).select(*[F.when(any_edge, F.col(c)).alias(c) for c in ("connected_components", "largest_component_size", "average_degree", "max_degree")])
+
+
 def constrained_components(nodes: DataFrame, edges: DataFrame, distance: str = "clip_distance") -> DataFrame:
     """node, component: unions in the order of confidence, none that would put two instances of one (seq, slug) together.
 

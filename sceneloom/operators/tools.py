@@ -94,6 +94,68 @@ def asked_in_full(components: DataFrame, replies: Callable[[str], str], question
     return found if found.limit(1).count() else first
 
 
+def retrieved_and_reranked(components: DataFrame, rewrite: Callable[[str], str], rerank: Callable[[str], str], question: str, k: int = 20) -> DataFrame:
+    """rank, component_id, reason: the best ``k`` captions for the rewritten question by words, as far as a model's reply (JSON: component_ids, numbers with commas between, and reason) names them, in its order.
+
+    The ``k`` captions are one prompt.  A reply that does not parse, or a model that fails, leaves the first three.
+    """
+    spark = components.sparkSession
+    found = lexical.search(components, rewrite(question), k)
+    lines = found.join(components.select("component_id", "caption"), "component_id").orderBy("rank").collect()  # k rows
+    ids = [r["component_id"] for r in lines]
+    prompt = "\n\n".join(f"{r['rank']}. Component {r['component_id']}: {r['caption'] or ''}" for r in lines)
+    try:
+        reply = json.loads(rerank(f"{question}\n{prompt}"))
+        named = [int(x) for x in reply.get("component_ids", "").split(",") if x.strip()]
+        chosen = [i for i in dict.fromkeys(named) if i in set(ids)]
+        reason = reply.get("reason", "ranked by the model") if chosen else "the model chose none"
+    except Exception as e:  # the model is the caller's, and may raise anything
+        chosen, reason = ids[:3], f"best by words, the model failed: {e}"
+    return spark.createDataFrame([(n, i, reason) for n, i in enumerate(chosen, 1)], "rank int, component_id int, reason string")
+
+
+@dataclass
+class Providers:
+    """Ways of searching a catalogue's tables, by name: each takes (components, question) and gives rows with component_id."""
+
+    tables: Callable[[str], DataFrame | None]
+    ways: dict[str, Callable[[DataFrame, str], DataFrame]] = field(default_factory=lambda: {"BM25": lexical.search})
+
+    def search(self, dataset: str | None, question: str | None, way: str = "BM25") -> tuple[int, DataFrame | dict]:
+        """A status and the rows, or what is wrong: 400 for a missing name or question or an unknown way, 404 for an unknown table, 503 if the way fails."""
+        if not dataset or not dataset.strip():
+            return 400, {"error": "no dataset is named"}
+        if not question or not question.strip():
+            return 400, {"error": "no question is asked"}
+        components = self.tables(dataset)
+        if components is None:
+            return 404, {"error": f"no dataset is called {dataset}"}
+        if way not in self.ways:
+            return 400, {"error": f"no way is called {way}"}
+        try:
+            return 200, self.ways[way](components, question)
+        except Exception as e:  # ways may be the caller's
+            return 503, {"error": str(e)}
+
+
+def checked_parameters(fractions: dict[str, float] | None = None, percents: dict[str, float] | None = None, counts: dict[str, int] | None = None) -> None:
+    """Raises ValueError, naming all that are wrong, unless fractions are in (0, 1], percents in (0, 100] and counts at least 1."""
+    wrong = [f"{n} is not in (0, 1]" for n, v in (fractions or {}).items() if not 0 < v <= 1]
+    wrong += [f"{n} is not in (0, 100]" for n, v in (percents or {}).items() if not 0 < v <= 100]
+    wrong += [f"{n} is less than 1" for n, v in (counts or {}).items() if not v >= 1]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
+def shown(output: dict) -> str | list[dict]:
+    """A tool's output for a model: JSON, or where it has ``images`` a list of a text part with the rest and a part for each image."""
+    images = output.get("images")
+    if not images:
+        return json.dumps(output)
+    rest = {k: v for k, v in output.items() if k != "images"}
+    return [*([{"type": "input_text", "text": json.dumps(rest)}] if rest else []), *({"type": "input_image", "image_url": url} for url in images)]
+
+
 def batched(rows: DataFrame, model: Callable[[list], list], column: str, out: str, kind: str = "string") -> DataFrame:
     """``rows`` with what a model makes of a column, batch by batch in the order of the rows (captions, labels, vectors)."""
 

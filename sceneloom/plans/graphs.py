@@ -40,6 +40,16 @@ def mask_components(spark, sf_dir):
     return graph.components(ends, e)
 
 
+@query("mask_statistics", f"""WITH RECURSIVE {_EDGES}, y AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, reached) AS (SELECT node, node FROM z UNION SELECT w.node, y.b FROM w JOIN y ON w.reached = y.a),
+l AS (SELECT node, min(reached) AS component FROM w GROUP BY node), p AS (SELECT component, count(*) AS size FROM l GROUP BY component),
+g AS (SELECT node, count(y.a) AS degree FROM z LEFT JOIN y ON z.node = y.a GROUP BY node)
+SELECT (SELECT count(*) FROM p) AS connected_components, (SELECT max(size) FROM p) AS largest_component_size, round((SELECT avg(degree) FROM g), 9) AS average_degree, (SELECT max(degree) FROM g) AS max_degree""")
+def mask_statistics(spark, sf_dir):
+    i = incidence(spark, sf_dir)
+    big = i.groupBy("node").agg(F.count_distinct("point").alias("size")).where("size >= 3").select("node")
+    return graph.statistics(big, _edges(spark, sf_dir)).withColumn("average_degree", F.round("average_degree", 9))
+
+
 def _instances(nodes):
     return nodes.select("node", F.format_string("seq %d", F.col("node") % 7).alias("seq"), F.lit("thing").alias("slug"))
 

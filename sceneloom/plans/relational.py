@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sceneloom.catalog import query
+from sceneloom.functions.text import contains_folded
 from sceneloom.operators import boxes
 from sceneloom.operators import components as comp
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded, table
@@ -19,6 +20,16 @@ def component_table(spark, sf_dir):
     return comp.described(c.select("component_id", "caption"), c.select("component_id", F.col("lo").isNotNull().alias("has_box")), best)
 
 
+@query("caption_statistics", f"WITH {COMPONENTS} SELECT count(caption) AS captions, round(avg(length(caption)), 9) AS mean_length, min(length(caption)) AS min_length, max(length(caption)) AS max_length FROM c")
+def caption_statistics(spark, sf_dir):
+    return comp.caption_statistics(components(spark, sf_dir)).withColumn("mean_length", F.round("mean_length", 9))
+
+
+@query("captions_with", f"WITH {COMPONENTS} SELECT component_id FROM c WHERE contains(lower(caption), lower('economy'))")
+def captions_with(spark, sf_dir):
+    return components(spark, sf_dir).where(contains_folded(F.col("caption"), F.lit("economy"))).select("component_id")
+
+
 @query("component_lookup", f"WITH {COMPONENTS} SELECT component_id, caption FROM c WHERE component_id IN (5, 3, 1999, -4)")
 def component_lookup(spark, sf_dir):
     return comp.by_ids(components(spark, sf_dir), [5, 3, 1999, -4]).select("component_id", "caption")
