@@ -13,12 +13,14 @@ from sceneloom.llm.packing import op5_packing
 from sceneloom.llm.quality import op10_quality_gam
 from sceneloom.llm.repeats import op4_suffix_array_dedup
 from sceneloom.llm.unit_dedup import op8_substring_dedup
+from sceneloom.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_exact_dedup, op3_language_id, op4_suffix_array_dedup, op5_packing,
         op6_bpe, op7_line_dedup, op8_substring_dedup, op9_syncmer_fingerprints, op10_quality_gam,
+        op11_embedding_whitening,
     )
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op4_suffix_array_dedup": repeats.SQL, "op5_packing": packing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_substring_dedup": unit_dedup.SQL}
