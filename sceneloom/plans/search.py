@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +13,9 @@ from sceneloom.operators import lexical
 from sceneloom.operators.components import in_rank_order, shown
 from sceneloom.operators.similar import similar_to, similar_until_drop
 from sceneloom.operators.spatial import around
+from sceneloom.operators.vector_index import read_index, search_index, write_index
 from sceneloom.plans.tables import COMPONENTS, components, rounded, table
+from sceneloom.session import shared_dir
 
 
 def _bm25_sql(terms: list[str], k: int, pool: str = "c") -> str:
@@ -96,6 +100,16 @@ def vector_topk(spark, sf_dir):
     return best.select("component_id", F.round("score", 5).alias("similarity"), F.round(similarity_of_squared(2 - 2 * F.col("score")), 5).alias("by_distance"))
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, sf_dir):
+    """Of each vector the ten most like it, by the stored index of all of them: approximate, so without SQL; a test measures recall."""
+    path = f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}/vector_index_{uuid.uuid4().hex}"
+    v = _vectors(spark, sf_dir)
+    write_index(v, path)
+    found = search_index(read_index(spark, path), v.select(F.col("component_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "component_id", F.round("score", 5).alias("score"))
+
+
 @query("vector_elbow", f"""WITH s AS (SELECT v.vec_id AS component_id, 1 - pow(2 - 2 * {_DOT}, 2) / 2 AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 11) q),
 t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, component_id) AS rank FROM s), g AS (SELECT *, lag(score) OVER (ORDER BY rank) AS prev FROM t WHERE rank <= 50),
 m AS (SELECT *, max(CASE WHEN prev - score >= 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS stopped FROM g WHERE rank > 1)

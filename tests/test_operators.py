@@ -81,6 +81,14 @@ def test_dense_numbers(spark):
     assert all(r["k"] == r["new_id"] for r in windows.renumbered(df, "k").collect())
 
 
+def test_dense_numbers_of_wide_rows(spark, tmp_path):
+    """Written out, with wide rows in several ranges: all are there, dense and in order."""
+    rows = spark.range(0, 60_000, 1, 6).select((F.col("id") * 7919 % 60_000).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    windows.renumbered(rows, "k").write.parquet(f"{tmp_path}/n")
+    got = spark.read.parquet(f"{tmp_path}/n").agg(F.count(F.lit(1)), F.sum((F.col("k") == F.col("new_id")).cast("long")), F.countDistinct("wide")).first()
+    assert tuple(got) == (60_000, 60_000, 60_000)
+
+
 def test_elbows(spark):
     scores = [9.0, 8.5, 8.1, 5.0, 4.9, 0.0]
     ranked = spark.createDataFrame([(i + 1, i, s) for i, s in enumerate(scores)], "rank int, component_id int, score double")
