@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sceneloom.functions.stemming import stemmed_lists
 from sceneloom.session import materialised
 
 K1, B = 1.5, 0.75
@@ -98,21 +99,10 @@ def search(components: DataFrame, terms: str | Sequence[str], k: int | None = 10
     return top_k(summed, k).select("rank", "component_id", "score", "matched_terms")
 
 
-_SUFFIXES = [("sses", "ss"), ("ies", "i"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("ss", "ss"), ("s", "")]
-
-
-def light_stem(token: Column) -> Column:
-    """A light English stemmer: the first of a few endings that fits goes, if three letters remain.  Not Snowball; documented as an approximation."""
-    out = token
-    for end, put in reversed(_SUFFIXES):
-        cut = F.concat(F.substring(token, F.lit(1), F.length(token) - len(end)), F.lit(put))
-        out = F.when(token.endswith(end) & (F.length(token) - len(end) >= 3), cut).otherwise(out)
-    return out
-
-
 # Fixed value: English words that are not indexed.
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
 def stemmed_tokens(text: Column) -> Column:
-    return F.transform(F.filter(tokens(text), lambda t: ~t.isin(STOPWORDS)), light_stem)
+    """``tokens`` without stop words, as Snowball stems."""
+    return stemmed_lists(F.filter(tokens(text), lambda t: ~t.isin(STOPWORDS)))

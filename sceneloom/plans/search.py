@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from sceneloom.catalog import query
 from sceneloom.functions.vectors import dot, similarity_of_squared, unit
-from sceneloom.operators import lexical
+from sceneloom.operators import fulltext, lexical
 from sceneloom.operators.components import in_rank_order, shown
 from sceneloom.operators.similar import similar_to, similar_until_drop
 from sceneloom.operators.spatial import around
@@ -73,11 +73,25 @@ def search_prefilter(spark, sf_dir):
 
 @query("search_bm25_stemmed")
 def search_bm25_stemmed(spark, sf_dir):
-    """With stop words left out and a light stemmer: no SQL form."""
+    """With stop words left out and Snowball stems: no SQL form."""
     rows = components(spark, sf_dir)
     return lexical.search(rows, ["widgets", "the rings"], 10, tokenise=lexical.stemmed_tokens)
 
 
+_WEB = '"small ring" or widgets -economy or -brand'
+
+
+@query("search_websearch", f"""WITH {COMPONENTS}, w AS (SELECT component_id, ' ' || array_to_string([t for t in string_split_regex(lower(caption), '[^a-z0-9]+') if t <> ''], ' ') || ' ' AS t FROM c)
+SELECT component_id, t LIKE '% small ring %' AS phrase FROM w WHERE t LIKE '% small ring %' OR ((t LIKE '% widget %' OR t LIKE '% widgets %') AND t NOT LIKE '% economy %') OR t NOT LIKE '% brand %'""")
+def search_websearch(spark, sf_dir):
+    """A phrase, alternatives and negations, through the stored positional index."""
+    path = f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}/text_index_{uuid.uuid4().hex}"
+    fulltext.write_index(components(spark, sf_dir), path)
+    index = fulltext.read_index(spark, path)
+    phrase = fulltext.matching(index, '"small ring"').withColumn("phrase", F.lit(True))
+    return fulltext.matching(index, _WEB).join(phrase, "component_id", "left").select("component_id", F.coalesce("phrase", F.lit(False)).alias("phrase"))
+
+
 @query("search_around_term")
 def search_around_term(spark, sf_dir):
     """Text search among the neighbours of a component (each part of it has its own SQL query)."""
