@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as geo
 from sceneloom.functions import text
-from sceneloom.operators import boxes, cluster, evaluation, graph, lexical, masks, occupancy, windows
+from sceneloom.operators import boxes, cluster, evaluation, graph, lexical, masks, occupancy, spatial, windows
 from sceneloom.operators import components as comp
 from sceneloom.operators.similar import similar, similar_until_drop
 from sceneloom.operators.spatial import nearest, within_radius
@@ -47,12 +47,13 @@ def test_quaternions_come_back(spark):
         assert np.allclose(r["q"], r["b"], atol=1e-9) and np.allclose(r["z"], 0, atol=1e-9)
 
 
-def test_radius_join_is_the_nested_loop(spark):
+def test_radius_join_is_the_nested_loop(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, *(sorted(rng.uniform(0, 4) for _ in range(2)) for _ in range(3))) for i in range(60)]
     df = spark.createDataFrame([(i, [x[0], y[0], z[0]], [x[1], y[1], z[1]]) for i, x, y, z in rows] + [(99, None, None)], "component_id int, lo array<double>, hi array<double>")
-    for cell in (None, 0.3, 5.0):
-        got = {(r[0], r[1]) for r in within_radius(df, df, 0.7, cell).collect()}
+    for few in (0, 100):
+        monkeypatch.setattr(spatial, "FEW", few)
+        got = {(r[0], r[1]) for r in within_radius(df, df, 0.7).collect()}
         a, b = df.alias("a"), df.alias("b")
         want = {(r[0], r[1]) for r in a.join(b, F.col("a.component_id") != F.col("b.component_id")).where(geo.segment_distance(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")) <= 0.7).select("a.component_id", "b.component_id").collect()}
         assert got == want
