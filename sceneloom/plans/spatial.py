@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sceneloom.catalog import query
@@ -9,6 +11,8 @@ from sceneloom.functions.geometry import cell_centre, cell_of, voxel
 from sceneloom.operators import boxes, cluster, occupancy
 from sceneloom.operators.spatial import around, centre_distance, nearest, within_radius
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded
+from sceneloom.session import shared_dir
+from sceneloom.sources.component_store import read_store, write_store
 
 _MIDDLE = "[(lo[1] + hi[1]) / 2, (lo[2] + hi[2]) / 2, (lo[3] + hi[3]) / 2]"
 
@@ -42,6 +46,16 @@ def radius_components(spark, sf_dir):
     return within_radius(c, c, 0.5).select("left_id", "right_id", rounded(F.col("distance")).alias("distance"))
 
 
+@query("store_radius", f"WITH {COMPONENTS}, {_SEGMENTS.replace('{which}', _NEAR + 'AND a.component_id % 10 = 0 ')} SELECT left_id, right_id, round(distance, 6) + 0.0 AS distance FROM dist WHERE distance <= 0.5")
+def store_radius(spark, sf_dir):
+    """What lies within half a unit of each tenth component, by the stored tree of all."""
+    path = f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}/store_{uuid.uuid4().hex}"
+    c = components(spark, sf_dir)
+    write_store(c, path)
+    near = read_store(spark, path).near(c.where("component_id % 10 = 0"), 0.5)
+    return near.select("left_id", "right_id", rounded(F.col("distance")).alias("distance"))
+
+
 _AROUND = f"""WITH {COMPONENTS}, {_SEGMENTS.replace('{which}', 'a.component_id = 3')}, n AS (SELECT right_id AS component_id, distance FROM dist WHERE left_id = 3 AND distance <= 2.0),
 t AS (SELECT {_MIDDLE}[3] AS tz, lo AS tlo, hi AS thi FROM c WHERE component_id = 3)"""
 
