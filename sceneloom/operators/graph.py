@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,17 +13,23 @@ from sceneloom.operators.windows import renumbered
 from sceneloom.session import materialised
 
 
-def overlaps(incidence: DataFrame) -> DataFrame:
+def overlaps(incidence: DataFrame, least_likeness: float | None = None, differ: str | None = None) -> DataFrame:
     """a, b, overlap, size_a, size_b: pairs of nodes (a < b) that share points (node, point), with how many.
 
-    Pairs are counted point by point with partial sums before the shuffle.  A point of m
-    nodes gives m (m - 1) / 2 pairs, which the data bound: a point is seen by few masks.
+    Pairs are counted point by point with partial sums before the shuffle.  A point of m nodes gives m (m - 1) / 2 pairs at most: of
+    them go, before they are counted, those whose sizes alone rule out a Jaccard likeness of ``least_likeness``, and those that have the column
+    ``differ`` of ``incidence`` (one value a node) in common.
     """
-    each = incidence.select("node", "point").distinct()
-    size = each.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    a, b = each.select(F.col("node").alias("a"), "point"), each.select(F.col("node").alias("b"), "point")
-    shared = a.join(b, "point").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
-    return shared.join(size.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
+    own = ["node"] if differ is None else ["node", differ]
+    each = incidence.select(*own, "point").distinct()
+    each = materialised(each.join(each.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"))
+    side = lambda n: each.select("point", *[F.col(c).alias(f"{c}_{n}") for c in (*own, "size")]).withColumnRenamed(f"node_{n}", n)
+    met = side("a").join(side("b"), "point").where("a < b")
+    if least_likeness is not None:
+        met = met.where(F.least("size_a", "size_b") >= least_likeness * F.greatest("size_a", "size_b"))
+    if differ is not None:
+        met = met.where(F.col(f"{differ}_a") != F.col(f"{differ}_b"))
+    return met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("overlap")).select("a", "b", "overlap", "size_a", "size_b")
 
 
 def jaccard_edges(incidence: DataFrame, nodes: DataFrame, min_overlap: int | None = None, tau: float = 0.1, min_points: int = 1, cross: str | None = "image") -> DataFrame:
@@ -33,13 +39,12 @@ def jaccard_edges(incidence: DataFrame, nodes: DataFrame, min_overlap: int | Non
     nodes of fewer than ``min_points`` points are left out.
     """
     big = incidence.groupBy("node").agg(F.count_distinct("point").alias("points")).where(F.col("points") >= min_points).select("node")
-    found = overlaps(incidence.join(big, "node", "left_semi")).withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
-    enough = F.col("jaccard") >= tau
-    found = found.where(enough if min_overlap is None else enough | (F.col("overlap") >= min_overlap))
+    kept = incidence.select("node", "point").join(big, "node", "left_semi")
     if cross is not None:
-        side = lambda n: nodes.select(F.col("node").alias(n), F.col(cross).alias(f"{cross}_{n}"))
-        found = found.join(side("a"), "a").join(side("b"), "b").where(F.col(f"{cross}_a") != F.col(f"{cross}_b"))
-    return found.select("a", "b", "overlap", "jaccard")
+        kept = kept.join(nodes.select("node", cross), "node")
+    found = overlaps(kept, tau if min_overlap is None else None, cross).withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
+    enough = F.col("jaccard") >= tau
+    return found.where(enough if min_overlap is None else enough | (F.col("overlap") >= min_overlap)).select("a", "b", "overlap", "jaccard")
 
 
 def guarded(edges: DataFrame, vectors: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +64,22 @@ def distinct_instances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least node that edges (a, b) connect each node with.
 
-    Each round gives a node the least label among its neighbours' and its own, and then
-    the label of its label, which halves the distances; it ends when no label changes.
+    Alternating stars: each node hands its larger neighbours to the least of its neighbourhood, then its
+    smaller ones and itself, until all that is left are stars around least nodes.  Only edges are rewritten, and
+    they become fewer from round to round; nodes without any join at the end.
     """
-    both = materialised(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = materialised(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
-        stepped = labels.join(offered, "node", "left").select("node", F.least("component", "offer").alias("next"), F.col("component").alias("old"))
-        jump = stepped.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        state = materialised(stepped.join(jump, "next", "left").select("node", "old", F.least("next", "far").alias("component")))
-        labels = state.select("node", "component")
-        if not state.where("old <> component").limit(1).count():
-            return labels
+    stars = materialised(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while (state := stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()) != before:
+        before = state
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        stars = materialised(small.select("e.u", "e.v").where("u <> v").distinct())
+    found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,20 +145,18 @@ def hop_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
     spark = edges.sparkSession
     both = materialised(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     kind = edges.schema["a"].dataType.simpleString()
-    seen = materialised(spark.createDataFrame([(start, None, 0)], f"node {kind}, parent {kind}, hop int"))
-    for hop in count(1):
-        if seen.where(F.col("node") == goal).limit(1).count():
-            break
-        front = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("a"))
-        reached = both.join(front, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        grown = materialised(seen.unionByName(reached))
-        if not grown.where(F.col("hop") == hop).limit(1).count():
-            return seen.limit(0).select(F.col("hop").alias("step"), "node")
-        seen = grown
+    fronts = [materialised(spark.createDataFrame([(start, None)], f"node {kind}, parent {kind}"))]  # one written table a hop
+    while not fronts[-1].where(F.col("node") == goal).limit(1).count():
+        seen = reduce(DataFrame.unionByName, fronts).select("node")
+        front = fronts[-1].select(F.col("node").alias("a"))
+        reached = both.join(front, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen, "node", "left_anti").select("node", "parent")
+        fronts.append(materialised(reached))
+        if not fronts[-1].limit(1).count():
+            return spark.createDataFrame([], f"step int, node {kind}")
     path, node = [], goal
-    while node is not None and (row := seen.where(F.col("node") == node).first()):
-        path.append((row["hop"], row["node"]))
-        node = row["parent"]
+    for step in range(len(fronts) - 1, -1, -1):
+        path.append((step, node))
+        node = fronts[step].where(F.col("node") == node).first()["parent"]
     return spark.createDataFrame(path[::-1], f"step int, node {kind}")
 
 
