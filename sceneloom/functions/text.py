@@ -1,4 +1,7 @@
-"""Names, tags, lists and answers in strings."""
+"""Names, tags, lists and answers in strings.
+
+The patterns of names, tags, data addresses and answers are fixed values: they are the forms that the data have.
+"""
 
 from __future__ import annotations
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sceneloom.functions.geometry import depth_agrees, depth_pixel, projected
 from sceneloom.operators.spatial import nearest
 
+#: Views of one scan at most; they are broadcast.
+VIEWS = 10_000
+
 
 def segment_owners(groups: DataFrame) -> DataFrame:
     """segment, object_id of groups (object_id, segment); a segment in two groups is an error when it is read."""
@@ -31,9 +34,11 @@ def visible_vertices(vertices: DataFrame, views: DataFrame, depths: DataFrame |
     """vertex, image_id, u, v: pixels of vertices (vertex, x, y, z) in the images that see them.
 
     ``views`` (image_id, qvec, tvec, model, params, width, height, and depth_width and
-    depth_height if there are depths) are the poses of one scan, some hundreds, and are broadcast.  With ``depths`` (image_id, u, v,
+    depth_height if there are depths) are the poses of one scan: more than ``VIEWS`` are an error, as every vertex is held against each.  With ``depths`` (image_id, u, v,
     depth) a vertex is seen only if the depth at its pixel agrees.
     """
+    if views.limit(VIEWS + 1).count() > VIEWS:
+        raise ValueError(f"more than {VIEWS} views: project scan by scan")
     each = vertices.crossJoin(F.broadcast(views)).withColumn("at", projected(F.col("qvec"), F.col("tvec"), F.col("model"), F.col("params"), F.array("x", "y", "z"), 1e-6)).where("at.in_front")
     pixel = each.withColumns({"u": F.rint("at.u").cast("int"), "v": F.rint("at.v").cast("int")}).where("u >= 0 AND v >= 0 AND u < width AND v < height")
     if depths is None:

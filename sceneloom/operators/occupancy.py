@@ -53,6 +53,7 @@ def free_boxes(cells: DataFrame, points: DataFrame, size: float, up: str = "z",
     return cells.where("occupied = 0").crossJoin(F.broadcast(grid)).select("row", "col", box_corners(place(low), place(high)).alias("corners"))
 
 
+# Fixed value: the eight neighbours in the order in which ties are settled.
 _STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 

@@ -17,6 +17,9 @@ from sceneloom.operators.components import by_id
 
 Tool = Callable[..., DataFrame]
 
+#: Rows of a tool's result that a policy sees (it is told whether there are more), and characters that a prompt has room for.
+SHOWN, CONTEXT = 10, 2_000_000
+
 
 def search_terms(components: DataFrame, query_terms: list[str], top_k: int = 10) -> DataFrame:
     return lexical.search(components, query_terms, top_k)
@@ -74,18 +77,23 @@ def answered(tools: Tools, policy: Callable[[list[dict]], dict], question: str,
             yield step
             return
         result = tools.call(step["name"], step.get("arguments", {}))
-        rows = result if isinstance(result, dict) else [r.asDict(recursive=True) for r in result.limit(10).collect()]
-        seen += [step, {"type": "tool_call_result", "name": step["name"], "content": rows}]
+        found = None if isinstance(result, dict) else result.limit(SHOWN + 1).collect()
+        rows = result if found is None else [r.asDict(recursive=True) for r in found[:SHOWN]]
+        more = {} if found is None else {"more": len(found) > SHOWN}
+        seen += [step, {"type": "tool_call_result", "name": step["name"], "content": rows, **more}]
         yield seen[-1]
     yield {"type": "error", "content": f"no result after {rounds} rounds"}
 
 
-def asked_in_full(components: DataFrame, replies: Callable[[str], str], question: str) -> DataFrame:
+def asked_in_full(components: DataFrame, replies: Callable[[str], str], question: str, characters: int = CONTEXT) -> DataFrame:
     """component_id, rank of the ids that a model's reply to the whole caption list names and that exist; the least id if there are none.
 
-    The list is one prompt, so this suits a table that a model can read at once.
+    The list is one prompt, so this suits a table that a model can read at once: one of more than ``characters`` is an error.
     """
     spark = components.sparkSession
+    size = components.agg(F.sum(F.length(prompt_line(F.col("component_id"), F.col("caption"))))).first()[0] or 0
+    if size > characters:
+        raise ValueError(f"{size} characters of captions do not fit into {characters}")
     lines = [r["line"] for r in components.orderBy("component_id").select(prompt_line(F.col("component_id"), F.col("caption")).alias("line")).collect()]
     reply = spark.createDataFrame([(replies(question + "\n" + "".join(lines)),)], "reply string")
     named = reply.select(F.posexplode(final_answer(F.col("reply"))["component_ids"]).alias("at", "component_id")).groupBy("component_id").agg((F.min("at") + 1).alias("rank"))

@@ -140,10 +140,10 @@ def inverted_index(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(F.count_distinct("user_id").alias("frames"), F.array_join(users, ",").alias("users"))
 
 
-@query("label_frequency", "SELECT user_id AS label, count(DISTINCT CAST(ts AS DATE)) AS frames FROM events GROUP BY user_id ORDER BY frames DESC, label LIMIT 20")
+@query("label_frequency", "SELECT user_id AS label, count(DISTINCT CAST(ts AS DATE)) AS frames FROM events GROUP BY user_id")
 def label_frequency(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("label")).agg(F.count_distinct(F.col("ts").cast("date")).alias("frames"))
-    return found.orderBy(F.desc("frames"), "label").limit(20)
+    """On how many days each label is seen."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("label")).agg(F.count_distinct(F.col("ts").cast("date")).alias("frames"))
 
 
 @query("first_seen", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1")
