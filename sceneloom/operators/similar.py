@@ -1,15 +1,19 @@
-"""Exact vector search: a bounded set of queries against all vectors."""
+"""Exact vector search: queries against all vectors."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sceneloom.functions.vectors import dot, similarity_of_reported
 from sceneloom.operators import lexical
+from sceneloom.session import materialised
 
-#: Queries that a search takes at most; they are broadcast.
+#: Queries that are broadcast at a time; more of them are searched in several goes.
 QUERIES = 10_000
 
 
@@ -17,11 +21,17 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataF
     """query_id, component_id, score, rank: of all ``vectors`` (component_id, embedding) the ``k`` (all, if None) of the largest dot product with each query (query_id, embedding).
 
     Equal scores (to nine decimals) go by id.  Vectors and queries that are null are not
-    compared.  The queries are a given set of at most ``QUERIES``, beyond that an error; the vectors stay where they are, and
+    compared.  The queries are broadcast, ``QUERIES`` at a time; the vectors stay where they are, and
     each task keeps its own best before anything is shuffled.
     """
     if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search in several goes")
+        goes = math.ceil(queries.count() / QUERIES) * 2  # so that hardly any go has more
+        dealt = materialised(queries.withColumn("go", F.pmod(F.xxhash64("query_id"), F.lit(goes))))
+        return reduce(DataFrame.unionByName, [_similar(vectors, dealt.where(F.col("go") == i).drop("go"), k) for i in range(goes)])
+    return _similar(vectors, queries, k)
+
+
+def _similar(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("q"))
     scored = vectors.where("embedding IS NOT NULL").crossJoin(F.broadcast(asked)).select("query_id", "component_id", dot(F.col("embedding"), F.col("q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sceneloom.catalog import query
+from sceneloom.functions.alignment import meteor as meteor_score
 from sceneloom.operators import evaluation as ev
 from sceneloom.plans.tables import rounded, table
 
@@ -42,6 +43,16 @@ def bleu(spark, sf_dir):
     return t.select("item_id", *[F.round(ev.bleu(F.col("r"), F.col("p"), n), 6).alias(f"bleu{n}") for n in range(1, 5)])
 
 
+@query("meteor")
+def meteor(spark, sf_dir):
+    """The score of the pairs of ``bleu``: alignments have no SQL form, tests hold them against all matchings."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.split("text", " ")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.slice(words, 3, 12).alias("tail"))
+    t = b.select("item_id", words.alias("r"), F.slice(words, 1, 12).alias("head")).join(other, "item_id").withColumn("p", F.concat("head", "tail"))
+    return t.select("item_id", F.round(meteor_score("r", "p"), 6).alias("meteor"))
+
+
 _RESULTS = "r AS (SELECT o_orderstatus AS category, o_orderpriority AS kind, o_totalprice AS value FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'))"
 
 

@@ -14,6 +14,7 @@ from sceneloom.functions import geometry as geo
 from sceneloom.functions import text
 from sceneloom.operators import boxes, cluster, evaluation, graph, lexical, masks, occupancy, spatial, windows
 from sceneloom.operators import components as comp
+from sceneloom.operators import similar as similar_module
 from sceneloom.operators.similar import similar, similar_until_drop
 from sceneloom.operators.spatial import nearest, within_radius
 from sceneloom.sources import artifacts, colmap
@@ -385,7 +386,7 @@ def test_valid_ids_by_join(spark):
     assert {r["k"]: r["ids"] for r in comp.only_valid(rows, valid, "k").collect()} == {1: [5, 4, 4], 2: [2], 3: [2]}
 
 
-def test_similar_vectors(spark):
+def test_similar_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(50, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -394,3 +395,5 @@ def test_similar_vectors(spark):
     got = {(r["query_id"], r["rank"]): r["component_id"] for r in similar(df, queries, 4).collect()}
     assert got == {(i, n + 1): int(j) for i in range(3) for n, j in enumerate(np.argsort(-(v @ v[i]), kind="stable")[:4])}
     assert similar_until_drop(df, 0, gap=0.01).first()["component_id"] == 0
+    monkeypatch.setattr(similar_module, "QUERIES", 1)
+    assert {(r["query_id"], r["rank"]): r["component_id"] for r in similar(df, queries, 4).collect()} == got
