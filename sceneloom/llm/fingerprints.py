@@ -9,6 +9,8 @@ both have at consistent positions.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ ANCHORS = 64
 #: Bytes by which the distance of two matching anchors may differ from the usual distance.
 SLACK = 64
 _FIRST_ID = -(1 << 63)
+#: A row in its bucket, the first of the next bucket, and a row that its like follows.
+OWN, AHEAD, COPY = 0, 1, 2
 
 
 def fingerprints(texts: list[bytes], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[np.ndarray]:
@@ -70,51 +74,67 @@ def encode(fingerprint: np.ndarray) -> str:
     return "".join(f"{h:08x}{p:08x}" for h, p in fingerprint.T.tolist())
 
 
-def _dealt_rows(heads: np.ndarray):
-    """Each row with its bucket; the first row of a bucket goes to the one before as well, the very first to the last."""
+def _dealt_rows(heads: list[tuple[int, int]], whole: set[int], repeated: set[tuple[int, int]]):
+    """Each row with its bucket; the first row of a bucket goes to the one before as well, the very first to the last.
+
+    ``heads`` are the least (id, hash of the text) of the buckets, the least id alone of those in ``whole``.
+    A row whose key is in ``repeated`` and whose text the task has had with that id is a copy: one that
+    equals it follows it, so that it may go to any bucket.
+    """
+    first = {key[0] if key[0] in whole else key: n for n, key in enumerate(heads)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
+        copies: dict[tuple[int, bytes], int] = {}
         for batch in batches:
-            keys = batch["doc_id"].cast(pa.int64()).fill_null(_FIRST_ID).to_numpy(zero_copy_only=False)
-            bucket = np.searchsorted(heads, keys, "right") - 1
-            ahead = np.flatnonzero(heads[np.maximum(bucket, 0)] == keys)
-            row = np.concatenate([np.arange(len(keys)), ahead])
-            packed = [packer.compress(t.as_py() or b"") for t in batch["text"].cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([bucket, (bucket[ahead] - 1) % len(heads)]).astype(np.int32)), pa.array(np.arange(len(row)) >= len(keys)),
-                pa.array(keys[row]), batch["doc_id"].cast(pa.int64()).take(pa.array(row)), pa.array([packed[i] for i in row], pa.binary()),
-            ], names=["bucket", "ahead", "sort_id", "doc_id", "packed"])
+            ids = batch["doc_id"].cast(pa.int64()).to_pylist()
+            rows = []
+            for doc_id, digest, text in zip(ids, batch["digest"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+                raw = text.as_py() or b""
+                packed, key = packer.compress(raw), (_FIRST_ID if doc_id is None else doc_id, digest)
+                if key in repeated:
+                    same = (key[0], hashlib.sha256(raw).digest())
+                    nth = copies[same] = copies.get(same, -1) + 1
+                    if nth:
+                        rows.append(((digest + nth) % len(heads), COPY, *key, doc_id, packed))
+                        continue
+                rows.append((bisect_right(heads, key) - 1, OWN, *key, doc_id, packed))
+                ahead = first.get(key[0] if key[0] in whole else key)
+                if ahead is not None:
+                    rows.append(((ahead - 1) % len(heads), AHEAD, *key, doc_id, packed))
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "sort_id", "digest", "doc_id", "packed"])
 
     return run
 
 
 def _edited_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpacker, held, size = zstandard.ZstdDecompressor(), [], 0
+    unpacker, held, size, start = zstandard.ZstdDecompressor(), [], 0, 0
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("bucket", "ahead", "doc_id", "packed")), strict=True):
+        for row in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "doc_id", "packed")), strict=True):
             held.append((*row[:3], unpacker.decompress(row[3]).decode()))
             size += len(held[-1][3])
             if size > 1 << 20:
-                yield _compared(held)
-                held, size = held[-1:], 0
+                yield _compared(held, start)
+                held, size, start = held[-1:], 0, 1
     if held:
-        yield _compared(held)
+        yield _compared(held, start)
 
 
-def _compared(rows: list[tuple[int, bool, int | None, str]]) -> pa.RecordBatch:
-    """The rows that are followed by a row of the same bucket, compared with it and with their edited texts."""
+def _compared(rows: list[tuple[int, int, int | None, str]], start: int) -> pa.RecordBatch:
+    """Copies, compared with themselves, and the rows that are followed by a row of the same bucket that is no copy, compared with that; both with their edited texts."""
     own = fingerprints([r[3].encode() for r in rows])
-    pairs = [i for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0] and not rows[i][1]]
-    edited = []
+    after = {i: i + 1 for i in range(len(rows) - 1) if rows[i][0] == rows[i + 1][0] and rows[i][1] == OWN and rows[i + 1][1] != COPY}
+    after |= {i: i for i in range(start, len(rows)) if rows[i][1] == COPY}
+    pairs, edited = sorted(after), []
     for i in pairs:
         text, moved = rows[i][3], len(rows[i][3]) // 4
-        edited.append((text[: len(text) - moved] + rows[i + 1][3][:moved]).encode())
+        edited.append((text[: len(text) - moved] + rows[after[i]][3][:moved]).encode())
     other = fingerprints(edited)
     return pa.RecordBatch.from_arrays([
         pa.array([rows[i][2] for i in pairs], pa.int64()), pa.array([len(rows[i][3]) for i in pairs], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()),
         pa.array([encode(own[i]) for i in pairs], pa.string()), pa.array([encode(e) for e in other], pa.string()),
-        pa.array([likeness(own[i], e) for i, e in zip(pairs, other, strict=True)], pa.float64()), pa.array([likeness(own[i], own[i + 1]) for i in pairs], pa.float64()),
+        pa.array([likeness(own[i], e) for i, e in zip(pairs, other, strict=True)], pa.float64()), pa.array([likeness(own[i], own[after[i]]) for i in pairs], pa.float64()),
     ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
@@ -139,17 +159,37 @@ def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     null text counts as empty; two empty texts have likeness 1, an empty and another 0.
 
     Rows are dealt to ranges of ids whose heads are quantiles; the driver sees those heads
-    only.  The texts are shuffled once, compressed.
+    only.  An id (or null) that fills several ranges is dealt to ranges of its texts' hashes, and of
+    a text that fills several of these all but one a task go anywhere, as their like follows them.
+    The texts are shuffled once, compressed.  Ids beyond 2^53 are exact, too, but share a range if they are one as doubles.
     """
-    n = buckets or 4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("doc_id"))
-    heads = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(4 * n)).alias("q"), F.min("doc_id").alias("least")).first()
-    known = np.array(sorted({*(heads["q"] or []), *([] if heads["least"] is None else [heads["least"]])}), np.int64)
-    dealt = docs.select("doc_id", "text").mapInArrow(_dealt_rows(known), "bucket int, ahead boolean, sort_id long, doc_id long, packed binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "ahead", "sort_id", "packed").mapInArrow(
+    dealt = _dealt(docs, buckets or 4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "kind", "sort_id", "digest", "packed").mapInArrow(
         _edited_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 
+def _dealt(docs: DataFrame, n: int) -> DataFrame:
+    """The rows in about ``n`` buckets; see ``_dealt_rows``."""
+    marks = [i / n for i in range(1, n)] or [0.5]
+    # quantiles are taken as doubles: digests have 52 bits
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 12).alias("digest"))
+    ids = keyed.select(F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("doc_id"), "digest")
+    drawn = ids.agg(F.percentile_approx("doc_id", marks, F.lit(4 * n)).alias("q"), F.min("doc_id").alias("least")).first()
+    found = [*(drawn["q"] or []), *([] if drawn["least"] is None else [drawn["least"]])]
+    if any(abs(i) > 1 << 53 and i != _FIRST_ID for i in found):  # back to ids that are there
+        found = [i for i in ids.agg(*[F.min(F.when(F.col("doc_id") >= i, F.col("doc_id"))) for i in found]).first() if i is not None]
+    ranges = Counter(found)
+    crowded = [i for i, times in ranges.items() if times > 1]
+    whole, repeated = set(ranges) - set(crowded), set()
+    heads = {(i, _FIRST_ID) for i in whole}
+    if crowded:
+        inner = ids.where(F.col("doc_id").isin(crowded)).groupBy("doc_id").agg(F.percentile_approx("digest", marks, F.lit(4 * n)).alias("q"), F.min("digest").alias("least"))
+        for row in inner.collect():  # ids that fill two ranges or more
+            heads |= {(row["doc_id"], d) for d in (row["least"], *row["q"][:: max(1, n // ranges[row["doc_id"]])])}
+            repeated |= {(row["doc_id"], d) for d, times in Counter(row["q"]).items() if times > 1}
+    return keyed.mapInArrow(_dealt_rows(sorted(heads), whole, repeated), "bucket int, kind int, sort_id long, digest long, doc_id long, packed binary")
+
+
 def op9_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edit_likeness(documents(spark, sf_dir))

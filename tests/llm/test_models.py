@@ -68,6 +68,30 @@ def test_fingerprints_of_edited_texts(docs, rows):
     assert got[62]["near_edited"] > 0.4 > got[62]["near_next"]
 
 
+def test_fingerprints_of_crowded_ids(spark, prose):
+    """All ids null, all equal, two thirds of one id and half of that one text, ids beyond doubles: rows of an order by id and hash, and no bucket has most."""
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(400)]
+    copy = prose(rng, 25)
+    for ids, some in (
+        ([None] * 400, texts), ([7] * 400, texts), ([None if i % 3 else i for i in range(600)], [copy if i % 2 else t for i, t in enumerate(texts + texts[:200])]),
+        ([(1 << 60) + i for i in range(400)], texts), ([5, 5, 5], [copy] * 3),
+    ):
+        docs = spark.createDataFrame(list(zip(ids, some, strict=True)), "doc_id long, text string").repartition(3)
+        keyed = docs.withColumn("digest", F.shiftrightunsigned(F.xxhash64("text"), 12)).collect()
+        order = sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["digest"]))
+        want = []
+        for r, after in zip(order, order[1:] + order[:1], strict=True):
+            moved = len(r["text"]) // 4
+            edited = r["text"][: len(r["text"]) - moved] + after["text"][:moved]
+            want.append((str(r["doc_id"]), len(r["text"]), hashlib.sha256(edited.encode()).hexdigest()))
+        for buckets in (1, 16):
+            got = fingerprints.edit_likeness(docs, buckets).collect()
+            assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+        sizes = [r["count"] for r in fingerprints._dealt(docs, 16).where(F.col("kind") != fingerprints.AHEAD).groupBy("bucket").count().collect()]
+        assert len(some) < 16 or (ids[0] or 0) > 1 << 53 or max(sizes) < len(some) / 4
+
+
 def naive_fingerprint(text):
     """By definition: every 14-mer of which the leftmost least 6-mer is the first or the last."""
     one = lambda b: int(Spans(np.frombuffer(b, np.uint8)).hash(np.array([0]), np.array([len(b)]))[0])
