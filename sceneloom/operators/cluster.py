@@ -61,7 +61,12 @@ def inliers(points: DataFrame, k: int = 20, ratio: float = 2.0, cell: float = 1.
 
 def normals(points: DataFrame, k: int = 15, cell: float = 1.0) -> DataFrame:
     """id, normal: the direction in which a point and its nearest spread least, from their covariances; z (else y, else x) is not negative."""
-    near = nearest(points, points, k, cell).join(points.select(F.col("id").alias("point_id"), F.col("p").alias("q")), "point_id")
+    return normals_of(nearest(points, points, k, cell), points)
+
+
+def normals_of(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """``normals`` by the neighbours (query_id, point_id) that are given, the point itself among them."""
+    near = pairs.join(points.select(F.col("id").alias("point_id"), F.col("p").alias("q")), "point_id")
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     moments = near.groupBy("query_id").agg(*[F.covar_pop(F.col("q")[i], F.col("q")[j]).alias(f"c{i}{j}") for i, j in pairs])
 
