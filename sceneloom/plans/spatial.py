@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sceneloom.catalog import query
-from sceneloom.functions.geometry import cell_centre, cell_of, voxel
-from sceneloom.operators import boxes, cluster, occupancy
+from sceneloom.functions.geometry import cell_centre, cell_of, moved, voxel
+from sceneloom.operators import boxes, cluster, occupancy, registration
 from sceneloom.operators.spatial import around, centre_distance, nearest, within_radius
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded
 from sceneloom.session import shared_dir
@@ -95,6 +95,19 @@ def nearest_points(spark, sf_dir):
     return nearest(p, p, 15, 0.5).select("query_id", "point_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+_TURNED = ([[0.8, -0.6, 0.0], [0.48, 0.64, -0.6], [0.36, 0.48, 0.8]], [3.0, -1.0, 2.0])
+
+
+@query("aligned_points", f"WITH {POINTS} SELECT point3d_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM p WHERE isfinite(x) AND isfinite(y) AND isfinite(z)")
+def aligned_points(spark, sf_dir):
+    """All points, turned and shifted, and brought back by what the alignment finds without their ids."""
+    p = registration.finite(_placed(spark, sf_dir))
+    turned = p.select("id", moved(F.col("p"), *_TURNED).alias("p"))
+    motion = registration.aligned(turned.withColumn("id", -F.col("id")), p, scales=(1,), trials=5_000)
+    back = motion.apply(F.col("p"))
+    return turned.select(F.col("id").alias("point3d_id"), *[rounded(back[i], 3).alias(c) for i, c in enumerate("xyz")])
+
+
 @query("nearest_vertex", f"""WITH {POINTS}, {COMPONENTS}, k AS (SELECT component_id, point3d_id, sqrt(pow(a[1] - x, 2) + pow(a[2] - y, 2) + pow(a[3] - z, 2)) AS distance FROM (SELECT component_id, {_MIDDLE} AS a FROM c WHERE lo IS NOT NULL), p),
 r AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY distance, point3d_id) AS n FROM k) SELECT component_id, point3d_id AS point_id, round(distance, 6) AS distance FROM r WHERE n = 1""")
 def nearest_vertex(spark, sf_dir):
