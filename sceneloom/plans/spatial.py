@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.catalog import query
 from sceneloom.functions.geometry import cell_centre, cell_of, moved, voxel
-from sceneloom.operators import boxes, cluster, occupancy, registration
+from sceneloom.operators import boxes, cluster, occupancy, oriented, registration
 from sceneloom.operators.spatial import around, centre_distance, nearest, within_radius
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded
 from sceneloom.session import shared_dir
@@ -199,3 +199,23 @@ def below_ceiling(spark, sf_dir):
 @query("near_floor", f"WITH {POINTS} SELECT point3d_id FROM p, (SELECT quantile_cont(z, 0.01) AS floor FROM p) WHERE z <= floor + 0.3")
 def near_floor(spark, sf_dir):
     return boxes.near_floor(points(spark, sf_dir)).select("point3d_id")
+
+
+# Faces: triples with all points on one side (within 1e-9).  A least rectangle on a face lies along some pair of points, so that all pairs may be tried.
+@query("oriented_boxes", f"""WITH {POINTS}, g AS (SELECT coalesce(label, -1) AS component_id, row_number() OVER (PARTITION BY label ORDER BY point3d_id) AS i, x, y, z FROM p),
+w AS (SELECT component_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, count(*) AS points FROM g GROUP BY component_id), q AS (SELECT component_id, i, x - mx AS x, y - my AS y, z - mz AS z FROM g JOIN w USING (component_id)),
+t AS (SELECT a.component_id, a.i AS i, b.i AS j, c.i AS k, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz, a.x AS ax, a.y AS ay, a.z AS az
+      FROM q a JOIN q b ON a.component_id = b.component_id AND a.i < b.i JOIN q c ON b.component_id = c.component_id AND b.i < c.i),
+u AS (SELECT component_id, i, j, k, ax, ay, az, nx / m AS nx, ny / m AS ny, nz / m AS nz FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS m FROM t) WHERE m > 1e-9),
+f AS (SELECT component_id, i, j, k, any_value(u.nx) AS nx, any_value(u.ny) AS ny, any_value(u.nz) AS nz, max(d) - min(d) AS height FROM (SELECT u.*, (q.x - ax) * nx + (q.y - ay) * ny + (q.z - az) * nz AS d FROM u JOIN q USING (component_id)) u GROUP BY component_id, i, j, k HAVING min(d) > -1e-9 OR max(d) < 1e-9),
+e AS (SELECT f.*, a.i AS pa, b.i AS pb, b.x - a.x - s * nx AS ex, b.y - a.y - s * ny AS ey, b.z - a.z - s * nz AS ez FROM f JOIN q a ON f.component_id = a.component_id JOIN q b ON a.component_id = b.component_id AND a.i < b.i, LATERAL (SELECT (b.x - a.x) * nx + (b.y - a.y) * ny + (b.z - a.z) * nz AS s)),
+v AS (SELECT component_id, i, j, k, pa, pb, nx, ny, nz, height, ex / m AS ex, ey / m AS ey, ez / m AS ez FROM (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS m FROM e) WHERE m > 1e-9),
+r AS (SELECT v.component_id, i, j, k, pa, pb, any_value(height) AS height, max(q.x * ex + q.y * ey + q.z * ez) - min(q.x * ex + q.y * ey + q.z * ez) AS along,
+      max(q.x * (ny * ez - nz * ey) + q.y * (nz * ex - nx * ez) + q.z * (nx * ey - ny * ex)) - min(q.x * (ny * ez - nz * ey) + q.y * (nz * ex - nx * ez) + q.z * (nx * ey - ny * ex)) AS across
+      FROM v JOIN (SELECT component_id, i AS at, x, y, z FROM q) q USING (component_id) GROUP BY v.component_id, i, j, k, pa, pb)
+SELECT w.component_id, w.points, round(coalesce(min(height * along * across), 0), 6) + 0.0 AS volume FROM w LEFT JOIN r USING (component_id) GROUP BY w.component_id, w.points""")
+def oriented_boxes(spark, sf_dir):
+    """The least box on a face of the hull of each label's points."""
+    p = points(spark, sf_dir).withColumn("component_id", F.coalesce("label", F.lit(-1)))
+    found = oriented.oriented_boxes(p).select("component_id", "volume")
+    return p.groupBy("component_id").agg(F.count(F.lit(1)).alias("points")).join(found, "component_id").select("component_id", "points", rounded(F.col("volume")).alias("volume"))
