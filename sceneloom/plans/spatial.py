@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.catalog import query
 from sceneloom.functions.geometry import cell_centre, cell_of, moved, voxel
-from sceneloom.operators import boxes, cluster, occupancy, oriented, registration
+from sceneloom.operators import boxes, cluster, occupancy, oriented, registration, sampling
 from sceneloom.operators.spatial import around, centre_distance, nearest, within_radius
 from sceneloom.plans.tables import COMPONENTS, POINTS, components, points, rounded
 from sceneloom.session import shared_dir
@@ -219,3 +219,23 @@ def oriented_boxes(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("component_id", F.coalesce("label", F.lit(-1)))
     found = oriented.oriented_boxes(p).select("component_id", "volume")
     return p.groupBy("component_id").agg(F.count(F.lit(1)).alias("points")).join(found, "component_id").select("component_id", "points", rounded(F.col("volume")).alias("volume"))
+
+
+# The twelve triangles of a box, as numbers of its corners: two to a side.
+_SIDES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]
+_DRAW = "CAST('0x' || substr(md5('5:' || sample || ':{k}'), 1, 13) AS BIGINT) / 4503599627370496"
+
+
+@query("surface_samples", f"""WITH {COMPONENTS}, k AS (SELECT component_id, [[lo[1], lo[2], lo[3]], [hi[1], lo[2], lo[3]], [hi[1], hi[2], lo[3]], [lo[1], hi[2], lo[3]], [lo[1], lo[2], hi[3]], [hi[1], lo[2], hi[3]], [hi[1], hi[2], hi[3]], [lo[1], hi[2], hi[3]]] AS corners FROM c WHERE lo IS NOT NULL),
+s AS (SELECT component_id, t.side AS side, corners[t.a + 1] AS a, corners[t.b + 1] AS b, corners[t.c + 1] AS c FROM k, (VALUES {", ".join(str((i, *t)) for i, t in enumerate(_SIDES))}) t(side, a, b, c)),
+m AS (SELECT *, sqrt(pow((b[2] - a[2]) * (c[3] - a[3]) - (b[3] - a[3]) * (c[2] - a[2]), 2) + pow((b[3] - a[3]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[3] - a[3]), 2) + pow((b[1] - a[1]) * (c[2] - a[2]) - (b[2] - a[2]) * (c[1] - a[1]), 2)) / 2 AS area FROM s),
+u AS (SELECT *, CAST(round(area / (SELECT sum(area) FROM m) * 4503599627370496) AS BIGINT) AS units FROM m WHERE area > 0), l AS (SELECT *, sum(units) OVER (ORDER BY component_id, side) AS hi, (SELECT count(*) FROM u) AS n, (SELECT sum(units) FROM u) AS total FROM u),
+d AS (SELECT sample, least(total - 1, floor((sample + {_DRAW.format(k=0)}) / n * total)) AS place, sqrt({_DRAW.format(k=1)}) AS r, {_DRAW.format(k=2)} AS s FROM (SELECT unnest(range(n)) AS sample, n, total FROM (SELECT DISTINCT n, total FROM l)))
+SELECT sample, component_id, side, {", ".join(f"round((1 - r) * a[{i}] + r * (1 - s) * b[{i}] + r * s * c[{i}], 6) + 0.0 AS {n}" for i, n in ((1, "x"), (2, "y"), (3, "z")))} FROM d JOIN l ON place >= hi - units AND place < hi""")
+def surface_samples(spark, sf_dir):
+    """As many points as the sides of all components' boxes have triangles, drawn from those by area."""
+    boxed = components(spark, sf_dir).where("lo IS NOT NULL").select("component_id", "corners")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), *[F.col("corners")[v].alias(n) for v, n in zip(t, "abc", strict=True)]) for i, t in enumerate(_SIDES)]))
+    faces = boxed.select("component_id", sides.alias("f")).select("component_id", "f.*")
+    found = sampling.surface_samples(faces, ["component_id", "side"], faces.where(sampling.area(F.col("a"), F.col("b"), F.col("c")) > 0).count(), 5)
+    return found.select("sample", "component_id", "side", *[rounded(F.col("p")[i]).alias(n) for i, n in enumerate("xyz")])
