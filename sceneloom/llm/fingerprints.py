@@ -41,18 +41,22 @@ def fingerprints(texts: list[bytes], k: int = K, s: int = S, anchors: int = ANCH
     for start, end, data, offsets in text_blocks(pa.array(texts, pa.large_binary())):
         spans = Spans(data)
         inner = spans.every(s)
+        starts, ends = [], []
         for d in range(end - start):
             lo, hi = int(offsets[d]), int(offsets[d + 1])
             if hi - lo < 2 * k:
                 at = np.arange(max(1, hi - lo - TINY + 1) if hi > lo else 0)
-                value = spans.hash(lo + at, np.minimum(lo + at + TINY, hi))
+                ends.append(np.minimum(lo + at + TINY, hi))
             else:
                 at = closed_syncmers(inner[lo : hi - s + 1], k, s)
                 if not len(at):
                     at = np.zeros(1, np.int64)
-                value = spans.hash(lo + at, lo + at + k)
+                ends.append(lo + at + k)
+            starts.append(lo + at)
+        values = spans.hash(np.concatenate(starts), np.concatenate(ends))  # once for the block: every call goes through all its bytes
+        for d, value in enumerate(np.split(values, np.cumsum([len(at) for at in starts])[:-1])):
             value, first = np.unique((value >> np.uint64(32)).astype(np.int64), return_index=True)
-            out.append(np.stack([value[:anchors], at[first[:anchors]]]))
+            out.append(np.stack([value[:anchors], starts[d][first[:anchors]] - int(offsets[d])]))
     return out
 
 
