@@ -418,3 +418,17 @@ def test_average_linkage_holds_no_pairs():
             break
         want[i] += want.pop(j)
     assert sorted(map(sorted, want)) == sorted(cluster.linked(v[:60], 0.6))
+
+
+def test_nearest_of_crowded_points(spark):
+    """Copies in one place and a dense middle: cells become smaller, ties go by id, no point is lost."""
+    rng = np.random.default_rng(2)
+    at = [[1.0, 1.0, 1.0]] * 60 + rng.normal(0, 0.05, (150, 3)).tolist() + rng.uniform(-9, 9, (30, 3)).tolist()
+    p = spark.createDataFrame(list(enumerate(at)), "id long, p array<double>")
+    assert spatial._first_side(p.where("id >= 60"), 5, 0.5) < 0.2
+    got = {(r["query_id"], r["rank"]): r["point_id"] for r in nearest(p, p, 5, 0.5).collect()}
+    xyz = np.array(at)
+    for i in range(len(at)):
+        far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
+        assert [got[i, n + 1] for n in range(5)] == sorted(range(len(at)), key=lambda j: (far[j], j))[:5]
+    assert len(got) == 5 * len(at)
