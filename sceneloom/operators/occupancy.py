@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions.geometry import box_corners
+from sceneloom.session import materialised
 
 
 def frame(points: DataFrame, size: float) -> DataFrame:
@@ -53,6 +54,9 @@ def free_boxes(cells: DataFrame, points: DataFrame, size: float, up: str = "z",
     return cells.where("occupied = 0").crossJoin(F.broadcast(grid)).select("row", "col", box_corners(place(low), place(high)).alias("corners"))
 
 
+#: Requests of a part of a scene, at least.
+ROUTES = 500
+
 # Fixed value: the eight neighbours in the order in which ties are settled.
 _STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -115,17 +119,23 @@ def routes(requests: DataFrame, cells: DataFrame, grids: DataFrame) -> DataFrame
     """route_id, step, row, col, x, y: the way of each request over the grid of its scene.
 
     ``requests`` has route_id, scene, x0, y0, x1, y1, ``cells`` scene, row, col, occupied, ``grids`` scene, min_x, min_y, size, rows, cols.
-    Each scene's grid and requests are one task's; there are as many tasks as scenes.
+    The requests of a scene are dealt into parts, of ``ROUTES`` of them or of as many as its grid has taken cells if that is more,
+    and a part and the taken cells are one task's: cells are sent no more often than there are requests.
     """
 
     def walk(asked: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
         out = []
-        taken = {(int(r), int(c)) for r, c in grid.loc[grid["occupied"] == 1, ["row", "col"]].itertuples(index=False)}
+        taken = {(int(r), int(c)) for r, c in grid[["row", "col"]].itertuples(index=False)}
         for q in asked.itertuples(index=False):
             cell = lambda x, y, q=q: (int((y - q.min_y) / q.size), int((x - q.min_x) / q.size))
             for i, (r, c) in enumerate(shortest_path(taken, int(q.rows), int(q.cols), cell(q.x0, q.y0), cell(q.x1, q.y1))):
                 out.append((q.route_id, i, r, c, q.min_x + (c + 0.5) * q.size, q.min_y + (r + 0.5) * q.size))
         return pd.DataFrame(out, columns=["route_id", "step", "row", "col", "x", "y"])
 
-    asked = requests.join(grids, "scene")
-    return asked.groupBy("scene").cogroup(cells.groupBy("scene")).applyInPandas(walk, "route_id int, step int, row int, col int, x double, y double")
+    taken = cells.where("occupied = 1").select("scene", "row", "col")
+    sizes = taken.groupBy("scene").agg(F.count(F.lit(1)).alias("taken"))
+    parts = requests.groupBy("scene").agg(F.count(F.lit(1)).alias("n")).join(sizes, "scene", "left").select("scene", F.ceil(F.col("n") / F.greatest(F.lit(ROUTES), "taken")).alias("parts"))
+    parts = materialised(parts)
+    asked = requests.join(grids, "scene").join(parts, "scene").withColumn("part", F.pmod(F.xxhash64("route_id", "x0", "y0", "x1", "y1"), F.col("parts"))).drop("parts")
+    sent = taken.join(parts, "scene").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return asked.groupBy("scene", "part").cogroup(sent.groupBy("scene", "part")).applyInPandas(walk, "route_id int, step int, row int, col int, x double, y double")

@@ -420,6 +420,17 @@ def test_average_linkage_holds_no_pairs():
     assert sorted(map(sorted, want)) == sorted(cluster.linked(v[:60], 0.6))
 
 
+def test_routes_of_one_scene_are_dealt_into_parts(spark, monkeypatch):
+    cells = spark.createDataFrame([("s", r, c, int(c == 3 and r < 5)) for r in range(8) for c in range(8)], "scene string, row int, col int, occupied int")
+    grids = spark.createDataFrame([("s", 0.0, 0.0, 1.0, 8, 8)], "scene string, min_x double, min_y double, size double, rows int, cols int")
+    asked = spark.createDataFrame([(i, "s", 0.5, 0.5 + i % 8, 7.5, 0.5 + i % 5) for i in range(40)], "route_id int, scene string, x0 double, y0 double, x1 double, y1 double")
+    whole = sorted(map(tuple, occupancy.routes(asked, cells, grids).collect()))
+    monkeypatch.setattr(occupancy, "ROUTES", 1)
+    assert whole and sorted(map(tuple, occupancy.routes(asked, cells, grids).collect())) == whole
+    free = cells.withColumn("occupied", F.lit(0))
+    assert occupancy.routes(asked, free, grids).select("route_id").distinct().count() == 40
+
+
 def test_nearest_of_crowded_points(spark):
     """Copies in one place and a dense middle: cells become smaller, ties go by id, no point is lost."""
     rng = np.random.default_rng(2)
