@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window
 
 from sceneloom.functions.geometry import distance, moved
 from sceneloom.operators.cluster import normals, normals_of
-from sceneloom.operators.similar import similar
 from sceneloom.operators.windows import renumbered
 from sceneloom.session import materialised
 
+#: Features of a cloud that one task compares with as many of the other, about.
+BLOCK = 2_000
 #: Parts of each of the three histograms of a feature.
 BINS = 11
 #: Neighbours that a normal and a feature are made of at most.
@@ -98,12 +100,48 @@ def features(points: DataFrame, voxel: float) -> DataFrame:
     return summed.select("id", F.transform("f", lambda x: x / norm).alias("embedding"))
 
 
+def likest(source: DataFrame, target: DataFrame) -> DataFrame:
+    """of_source, id, other: for each feature of either cloud (id, embedding) that of the other of the largest dot product; equal ones (to nine decimals) by id.
+
+    All features are compared: both clouds are dealt into blocks of about ``BLOCK``, two blocks are one task's work, and it sends on one row for each feature.
+    """
+    parts = [max(1, math.ceil(c.count() / BLOCK)) for c in (source, target)]
+    own = lambda c, n, name: c.where("embedding IS NOT NULL").withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = lambda c, n, name: c.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = every(own(source, parts[0], "i"), parts[1], "j")
+    right = every(own(target, parts[1], "j"), parts[0], "i")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"of_source": [], "id": [], "other": [], "score": []}
+        if len(a) and len(b):
+            a, b = a.sort_values("id"), b.sort_values("id")
+            u, v = (np.array(c["embedding"].tolist(), float) for c in (a, b))
+            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+            top, at = np.full(len(b), -np.inf), np.zeros(len(b), int)
+            for lo in range(0, len(a), 256):
+                score = np.round(u[lo : lo + 256] @ v.T, 9)
+                first, held = score.argmax(1), score.max(0)
+                out["of_source"] += [True] * len(score)
+                out["id"] += ids[lo : lo + 256].tolist()
+                out["other"] += others[first].tolist()
+                out["score"] += score[np.arange(len(score)), first].tolist()
+                better = held > top
+                at[better], top[better] = lo + score.argmax(0)[better], held[better]
+            out["of_source"] += [False] * len(b)
+            out["id"] += others.tolist()
+            out["other"] += ids[at].tolist()
+            out["score"] += top.tolist()
+        return pd.DataFrame(out)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "of_source boolean, id long, other long, score double")
+    return found.groupBy("of_source", "id").agg(F.min_by("other", F.struct(-F.col("score"), F.col("other"))).alias("other"))
+
+
 def matches(source: DataFrame, target: DataFrame, voxel: float) -> DataFrame:
     """source_id, target_id, p, q: points of two thinned clouds each of which has the other as the one of the likest feature."""
-    a, b = (materialised(features(c, voxel)) for c in (source, target))
-    best = lambda x, y: similar(x.withColumnRenamed("id", "component_id"), y.withColumnRenamed("id", "query_id"), 1)
-    there = best(b, a).select(F.col("query_id").alias("source_id"), F.col("component_id").alias("target_id"))
-    back = best(a, b).select(F.col("component_id").alias("source_id"), F.col("query_id").alias("target_id"))
+    best = materialised(likest(*(materialised(features(c, voxel)) for c in (source, target))))
+    there = best.where("of_source").select(F.col("id").alias("source_id"), F.col("other").alias("target_id"))
+    back = best.where("NOT of_source").select(F.col("other").alias("source_id"), F.col("id").alias("target_id"))
     return there.join(back, ["source_id", "target_id"]).join(source.withColumnsRenamed({"id": "source_id"}), "source_id").join(target.withColumnsRenamed({"id": "target_id", "p": "q"}), "target_id").select("source_id", "target_id", "p", "q")
 
 

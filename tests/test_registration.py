@@ -79,3 +79,18 @@ def test_nothing_to_align(spark):
     assert reg.aligned(none, some) == reg.Motion() == reg.aligned(some, none)
     one = reg.aligned(some, some.withColumn("p", F.when(F.col("id") == 1, F.array(F.lit(3.0), F.lit(0.0), F.lit(0.0)))), 1.0, (1,), 10)
     assert one.shift == pytest.approx((3, 0, 0)) and one.fitness == 1
+
+
+def test_likest_features_are_those_of_the_exact_search(spark, monkeypatch):
+    """Blocks of seven give both directions of what ``similar`` finds, ties by id included."""
+    from sceneloom.operators.similar import similar
+
+    rng = np.random.default_rng(4)
+    rows = [[(i, v.tolist()) for i, v in enumerate(np.vstack([w[:3], w]))] for w in (rng.normal(size=(20, 5)), rng.normal(size=(31, 5)))]
+    a, b = (spark.createDataFrame(r, "id long, embedding array<double>") for r in rows)
+    monkeypatch.setattr(reg, "BLOCK", 7)
+    got = {(r["of_source"], r["id"]): r["other"] for r in reg.likest(a, b).collect()}
+    for own, other, side in ((a, b, True), (b, a, False)):
+        want = similar(other.withColumnRenamed("id", "component_id"), own.withColumnRenamed("id", "query_id"), 1).collect()
+        assert {(side, r["query_id"]): r["component_id"] for r in want}.items() <= got.items()
+    assert len(got) == 23 + 34
