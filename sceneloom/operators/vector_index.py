@@ -4,6 +4,10 @@ Rows are dealt to shards by a hash of their id; a task builds the graph of one s
 bounded in number, and writes it as rows of a table, so neither the driver nor any task holds the whole.  A query walks
 down the layers of every shard to its surroundings and looks through them with a beam; the best of the shards
 are merged.  All steps are taken for many queries at a time, as array operations.
+
+Where many queries are asked (all vectors, say), a walk through every shard costs their product.  For them there are cells
+(``write_cells``, ``search_cells``): rows lie with the nearest of about sqrt(n) centres, a query is compared with the
+rows of so many cells as a measurement against all rows asks for, and blocks of cells meet chunks of queries in tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ SHARD_ROWS, QUERY_CHUNK = 10_000, 4096
 _BATCH, _WIDTH = 256, 4
 #: Beam in the upper layers.
 _NARROW = 24
+#: Rows that centres are fitted on and centres at most, rounds of the fit, queries that are compared with all rows to see how many cells are needed, and the recall asked for there.
+FIT_ROWS, MOST_CELLS, FIT_ROUNDS, TRIED, TARGET = 20_000, 1024, 8, 256, 0.95
+#: Rows of a block of cells, and queries of a chunk that meets it.
+CELL_BLOCK, CELL_CHUNK = 50_000, 8192
 _NODE = "shard int, position int, component_id long, embedding array<float>, links array<array<int>>"
 
 
@@ -217,6 +225,145 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, width: int =
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def centres_of(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
+    """(cells, dimensions): centres of k-means by dot product, each at length one; a cell without rows keeps its centre."""
+    centres = sample[np.random.default_rng(seed).choice(len(sample), min(cells, len(sample)), replace=False)].astype(np.float64)
+    for at in range(FIT_ROUNDS + 1):
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        if at == FIT_ROUNDS:
+            break
+        own = (sample @ centres.T.astype(np.float32)).argmax(1)
+        order = np.argsort(own, kind="stable")
+        held, begin = np.unique(own[order], return_index=True)
+        centres[held] = np.add.reduceat(sample[order].astype(np.float64), begin)
+    return centres.astype(np.float32)
+
+
+def write_cells(vectors: DataFrame, path: str) -> None:
+    """Writes ``vectors`` (component_id, embedding) by cells to ``path``: rows (cell, component_id, embedding) and centres (cell, centre, rows).
+
+    Centres are fitted on about ``FIT_ROWS`` rows, taken by a hash; every row is indexed, but for null vectors.  All have one length.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("component_id").cast("long").alias("component_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    n = rows.count()
+    some = F.pmod(F.xxhash64("component_id", "embedding"), F.lit(max(1, n // FIT_ROWS))) == 0
+    sample = rows.where(some).limit(2 * FIT_ROWS).select("embedding").toArrow()["embedding"]
+    centres = centres_of(_matrix(sample), min(MOST_CELLS, math.ceil(math.sqrt(n)))) if len(sample) else np.zeros((1, 1), np.float32)
+
+    def placed(batches):
+        for batch in batches:
+            cell = (_matrix(pa.chunked_array([batch["embedding"]])) @ centres.T).argmax(1) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch["component_id"], batch["embedding"]], names=["cell", "component_id", "embedding"])
+
+    rows.mapInArrow(placed, "cell int, component_id long, embedding array<float>").write.mode("overwrite").parquet(f"{path}/rows")
+    held = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<float>")
+    known.join(held, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places (rows, k at most) of the largest of each row, in no order."""
+    return np.argpartition(-scores, k - 1, 1)[:, :k] if scores.shape[1] > k else np.arange(scores.shape[1])[None, :].repeat(len(scores), 0)
+
+
+def scan(queries: np.ndarray, probed: np.ndarray, vectors: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the ``k`` best ``vectors`` for each query, of those whose ``cell`` it probes (queries, cells); -1 where there are fewer. ``cell`` ascends."""
+    places, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=False):
+        asked = np.flatnonzero(probed[:, cell[start]])
+        for i in range(0, end - start, 4096):
+            own = vectors[start + i : min(end, start + i + 4096)]
+            for j in range(0, len(asked), 2048):
+                rows = asked[j : j + 2048]
+                got = queries[rows] @ own.T
+                better = got.max(1) > scores[rows].min(1)
+                rows, got = rows[better], got[better]
+                top = _best(got, k)
+                both = np.concatenate([scores[rows], np.take_along_axis(got, top, 1)], 1)
+                which = np.concatenate([places[rows], top + start + i], 1)
+                keep = _best(both, k)
+                scores[rows], places[rows] = np.take_along_axis(both, keep, 1), np.take_along_axis(which, keep, 1)
+    return places, scores
+
+
+def _probed(queries: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """(queries, cells): whether a cell is among the ``probes`` whose centres have the largest dot products with a query."""
+    near = queries @ centres.T
+    return near >= np.partition(near, len(centres) - probes, 1)[:, len(centres) - probes, None]
+
+
+def _probes(rows: DataFrame, centres: np.ndarray, names: np.ndarray, tried: np.ndarray, k: int, target: float) -> int:
+    """Of so many nearest cells the rows hold the share ``target`` of the ``k`` best of all rows, for the queries ``tried``."""
+    place = np.full(int(names.max()) + 1, -1)
+    place[names] = np.arange(len(names))
+
+    def best(batches):
+        for batch in batches:
+            if len(batch):
+                top = _best(got := tried @ _matrix(pa.chunked_array([batch["embedding"]])).T, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tried)).repeat(top.shape[1]).astype(np.int32)), batch["cell"].take(pa.array(top.ravel())), pa.array(np.take_along_axis(got, top, 1).ravel())], names=["query", "cell", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    found = rows.mapInArrow(best, "query int, cell int, score float").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "cell").toArrow()
+    order = np.argsort(-(tried @ centres.T), 1, kind="stable")
+    at = np.empty_like(order)
+    np.put_along_axis(at, order, np.arange(len(names))[None, :].repeat(len(tried), 0), 1)
+    needed = np.sort(at[found["query"].to_numpy(), place[found["cell"].to_numpy()]])
+    return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1
+
+
+def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, target: float = TARGET) -> DataFrame:
+    """query_id, component_id, score, rank: for each query (query_id, embedding) the ``k`` rows of ``write_cells`` with the largest dot product that are found; equal scores (to six decimals) by id.
+
+    ``TRIED`` queries are compared with all rows first: as many cells are looked through as hold the share ``target`` of what
+    is found there.  Null queries have no rows.
+    """
+    rows, known = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("q"))
+    n = asked.count()
+    if not len(known) or not n:
+        return spark.createDataFrame([], "query_id long, component_id long, score double, rank int")
+    centres, names, held = _matrix(known["centre"]), known["cell"].to_numpy(), known["rows"].to_numpy()
+    tried = _matrix(asked.where(F.pmod(F.xxhash64("query_id", "q", F.lit(5)), F.lit(max(1, n // TRIED))) == 0).limit(2 * TRIED).union(asked.limit(1)).select("q").toArrow()["q"])
+    probes = _probes(rows, centres, names, tried, k, target)
+    # cells side by side fill blocks; one that is larger is dealt over several by a hash of its rows
+    first = np.maximum(0, np.cumsum(held) - held) // CELL_BLOCK
+    last = first + np.maximum(0, -(-held // CELL_BLOCK) - 1)
+    blocks, chunks = int(last.max()) + 1, max(1, math.ceil(n / CELL_CHUNK))
+    ends = spark.createDataFrame([(int(c), i, int(a), int(b)) for i, (c, a, b) in enumerate(zip(names, first, last, strict=True))], "cell int, at int, first int, last int")
+
+    def sent(batches):
+        for batch in batches:
+            hit = _probed(_matrix(pa.chunked_array([batch["q"]])), centres, probes) if len(batch) else np.zeros((0, len(names)), bool)
+            to = [np.unique(np.concatenate([np.arange(first[c], last[c] + 1) for c in np.flatnonzero(h)])).astype(np.int32) for h in hit] if len(batch) and not (first == last).all() else None
+            if to is None:  # each cell lies in one block
+                into = np.zeros((len(hit), blocks), bool)
+                for b in range(blocks):
+                    into[:, b] = hit[:, first == b].any(1)
+                row, block = np.nonzero(into)
+            else:
+                row, block = np.arange(len(to)).repeat([len(t) for t in to]), np.concatenate(to)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), batch["query_id"].take(pa.array(row)), batch["q"].take(pa.array(row))], names=["to", "query_id", "q"])
+
+    def answered(own: pa.Table, asking: pa.Table) -> pa.Table:
+        if not len(own) or not len(asking):
+            return pa.table({"query_id": pa.array([], pa.int64()), "component_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own = own.sort_by([("at", "ascending"), ("component_id", "ascending")])
+        wanted = _matrix(asking["q"])
+        places, scores = scan(wanted, _probed(wanted, centres, probes), _matrix(own["embedding"]), own["at"].to_numpy(), k)
+        row, col = np.nonzero(places >= 0)
+        return pa.table({"query_id": asking["query_id"].to_numpy()[row], "component_id": own["component_id"].to_numpy()[places[row, col]], "score": scores[row, col].astype(np.float64)})
+
+    dealt = rows.join(F.broadcast(ends), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("component_id", "embedding"), F.col("last") - F.col("first") + 1)).cast("int"))
+    dealt = dealt.select("block", "at", "component_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    sending = asked.mapInArrow(sent, "to int, query_id long, q array<float>").withColumn("in", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    each = dealt.groupBy("block", "chunk").cogroup(sending.groupBy("to", "in")).applyInArrow(answered, "query_id long, component_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "component_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id, recall: the share of ``exact``'s rows (query_id, component_id) that were found."""
     hits = exact.join(found.select("query_id", "component_id", F.lit(1).alias("hit")), ["query_id", "component_id"], "left")

@@ -13,7 +13,7 @@ from sceneloom.operators import fulltext, lexical
 from sceneloom.operators.components import in_rank_order, shown
 from sceneloom.operators.similar import similar_to, similar_until_drop
 from sceneloom.operators.spatial import around
-from sceneloom.operators.vector_index import read_index, search_index, write_index
+from sceneloom.operators.vector_index import search_cells, write_cells
 from sceneloom.plans.tables import COMPONENTS, components, rounded, table
 from sceneloom.session import shared_dir
 
@@ -119,8 +119,8 @@ def vector_index_topk(spark, sf_dir):
     """Of each vector the ten most like it, by the stored index of all of them: approximate, so without SQL; a test measures recall."""
     path = f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}/vector_index_{uuid.uuid4().hex}"
     v = _vectors(spark, sf_dir)
-    write_index(v, path)
-    found = search_index(read_index(spark, path), v.select(F.col("component_id").alias("query_id"), "embedding"), 10)
+    write_cells(v, path)
+    found = search_cells(spark, path, v.select(F.col("component_id").alias("query_id"), "embedding"), 10)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "component_id", F.round("score", 5).alias("score"))
 
 

@@ -59,3 +59,40 @@ def test_query_reaches_nine_in_ten(spark):
     found = all_queries()["vector_index_topk"](spark, folder)
     got = vi.recall(found, exact).agg(F.avg("recall"), F.count(F.lit(1))).first()
     assert got[0] >= 0.9 and got[1] == v.count()
+
+
+def test_cells_find_nine_in_ten_and_not_all_are_needed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vi, "CELL_BLOCK", 700)
+    monkeypatch.setattr(vi, "CELL_CHUNK", 900)
+    x = clustered(2400, 24, 5)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None)], "component_id long, embedding array<float>")
+    queries = vectors.select(F.col("component_id").alias("query_id"), "embedding")
+    vi.write_cells(vectors, str(tmp_path / "cells"))
+    found = vi.search_cells(spark, str(tmp_path / "cells"), queries)
+    got = vi.recall(found, similar(vectors, queries, 10)).agg(F.avg("recall"), F.count(F.lit(1))).first()
+    assert got[0] >= 0.9 and got[1] == 2400
+    known = spark.read.parquet(str(tmp_path / "cells/centres")).orderBy("cell").toArrow()
+    centres, names = vi._matrix(known["centre"]), known["cell"].to_numpy()
+    assert 2 * vi._probes(spark.read.parquet(str(tmp_path / "cells/rows")), centres, names, x[::20], 10, vi.TARGET) < len(names)
+    rows = found.where("query_id = 40").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 11)) and rows[0]["component_id"] == 40 and rows[0]["score"] == pytest.approx(1, abs=1e-5)
+
+
+def test_scan_compares_probed_cells_only():
+    x, q = clustered(300, 8, 1), clustered(40, 8, 2)
+    cell = np.sort(np.arange(300) % 5)
+    probed = np.random.default_rng(3).random((40, 5)) < 0.5
+    places, scores = vi.scan(q, probed, x, cell, 10)
+    for i in range(40):
+        exact = np.where(probed[i, cell], x @ q[i], -np.inf)
+        assert sorted(scores[i][places[i] >= 0], reverse=True) == pytest.approx(np.sort(exact[exact > -np.inf])[::-1][:10], abs=1e-6)
+
+
+def test_cells_of_equal_vectors_and_of_none(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vi, "CELL_BLOCK", 20)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(90)], "component_id long, embedding array<float>")
+    asked = same.select(F.col("component_id").alias("query_id"), "embedding")
+    vi.write_cells(same, str(tmp_path / "a"))
+    assert vi.search_cells(spark, str(tmp_path / "a"), asked, 5).count() == 450
+    vi.write_cells(same.limit(0), str(tmp_path / "b"))
+    assert vi.search_cells(spark, str(tmp_path / "b"), asked, 5).collect() == []
