@@ -97,24 +97,46 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.crossJoin(own).select(*[F.when(any_edge, F.col(c)).alias(c) for c in ("connected_components", "largest_component_size", "average_degree", "max_degree")])
 
 
+#: Links that one task may work off at the end of ``constrained_components``.
+LAST_LINKS = 200_000
+
+
 def constrained_components(nodes: DataFrame, edges: DataFrame, distance: str = "clip_distance") -> DataFrame:
     """node, component: unions in the order of confidence, none that would put two instances of one (seq, slug) together.
 
     ``nodes`` has node, seq and slug, ``edges`` a, b, jaccard and perhaps ``distance``
-    (null counts as 1).  Edges are taken by falling jaccard, rising distance, a, b.  A union
-    never leaves an unconstrained component, so each of those is worked off on its own.
+    (null counts as 1).  Edges are taken by falling jaccard, rising distance, a, b.  An edge that comes first among all that are
+    left at both of its groups is taken whatever happens elsewhere, for nothing can change the two before it; and what may not be joined once never
+    may.  So all such edges are taken in one round, what joins a group with itself or two of one instance goes, and when
+    ``LAST_LINKS`` are left, one task takes those in order.
     """
-    loose = components(nodes, edges)
-    by = edges.withColumn("clip", F.coalesce(F.col(distance), F.lit(1.0)) if distance in edges.columns else F.lit(1.0))
-    left = nodes.select("node", "seq", "slug").join(loose, "node").withColumnRenamed("component", "loose")
-    right = by.join(loose.select(F.col("node").alias("a"), F.col("component").alias("loose")), "a").select("a", "b", "jaccard", "clip", "loose")
+    kind = nodes.schema["node"].dataType.simpleString()
+    clip = F.coalesce(F.col(distance).cast("double"), F.lit(1.0)) if distance in edges.columns else F.lit(1.0)
+    unsure = F.col("jaccard").isNull() | F.isnan("jaccard")
+    order = F.struct(F.when(unsure, float("inf")).otherwise(0.0 - F.col("jaccard")).alias("fall"), clip.alias("clip"), "a", "b").alias("order")
+    groups = nodes.select(F.col("node").alias("head"), F.array(F.struct("seq", "slug")).alias("keys"))
+
+    def allowed(links: DataFrame, groups: DataFrame) -> DataFrame:
+        side = lambda n: groups.select(F.col("head").alias(n), F.col("keys").alias(f"keys_{n}"))
+        both = links.where("x <> y").join(side("x"), "x").join(side("y"), "y")
+        return materialised(both.where(~F.arrays_overlap("keys_x", "keys_y")).select("x", "y", "order"))
+
+    links, unions = allowed(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), order), groups), []
+    while links.count() > LAST_LINKS:
+        first = links.select(F.explode(F.array("x", "y")).alias("head"), "order").groupBy("head").agg(F.min("order").alias("order"))
+        taken = first.groupBy("order").agg(F.count(F.lit(1)).alias("ends"), F.max("head").alias("gone"), F.min("head").alias("into")).where("ends = 2")
+        unions.append(materialised(taken.select("gone", "into")))
+        moved = lambda rows, n: rows.join(unions[-1].withColumnRenamed("gone", n), n, "left").withColumn(n, F.coalesce("into", n)).drop("into")
+        ends = links.select(F.explode(F.array("x", "y")).alias("head")).distinct()
+        groups = materialised(moved(groups.join(ends, "head", "left_semi"), "head").groupBy("head").agg(F.flatten(F.collect_list("keys")).alias("keys")))
+        links = allowed(moved(moved(links, "x"), "y"), groups)
 
     def merge(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        head = {n: n for n in own["node"]}
-        keys = {n: {(s, g)} for n, s, g in own[["node", "seq", "slug"]].itertuples(index=False)}
+        head = {n: n for n in own["head"]}
+        keys = {n: {(k["seq"], k["slug"]) for k in held} for n, held in own[["head", "keys"]].itertuples(index=False)}
         group = {n: [n] for n in head}
-        for a, b in links.sort_values(["jaccard", "clip", "a", "b"], ascending=[False, True, True, True])[["a", "b"]].itertuples(index=False):
-            x, y = head[a], head[b]
+        for x, y in links.sort_values(["fall", "clip", "a", "b"])[["x", "y"]].itertuples(index=False):
+            x, y = head[x], head[y]
             if x == y or keys[x] & keys[y]:
                 continue
             if len(group[x]) < len(group[y]):
@@ -124,9 +146,12 @@ def constrained_components(nodes: DataFrame, edges: DataFrame, distance: str = "
                 group[x].append(n)
             keys[x] |= keys.pop(y)
         least = {x: min(members) for x, members in group.items()}
-        return pd.DataFrame({"node": list(head), "component": [least[head[n]] for n in head]})
+        return pd.DataFrame([(n, least[x]) for n, x in head.items() if n != least[x]], columns=["gone", "into"])
 
-    return left.groupBy("loose").cogroup(right.groupBy("loose")).applyInPandas(merge, f"node {nodes.schema['node'].dataType.simpleString()}, component {nodes.schema['node'].dataType.simpleString()}")
+    last = links.select("x", "y", "order.*", F.lit(0).alias("all"))
+    held = groups.join(links.select(F.explode(F.array("x", "y")).alias("head")).distinct(), "head", "left_semi").withColumn("all", F.lit(0))
+    unions.append(materialised(held.groupBy("all").cogroup(last.groupBy("all")).applyInPandas(merge, f"gone {kind}, into {kind}")))
+    return components(nodes, reduce(DataFrame.unionByName, unions).select(F.col("gone").alias("a"), F.col("into").alias("b")))
 
 
 def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -443,3 +443,26 @@ def test_nearest_of_crowded_points(spark):
         far = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
         assert [got[i, n + 1] for n in range(5)] == sorted(range(len(at)), key=lambda j: (far[j], j))[:5]
     assert len(got) == 5 * len(at)
+
+
+def unions_in_order(nodes, edges):
+    group = {n: {n} for n, *_ in nodes}
+    key = {n: (s, g) for n, s, g in nodes}
+    for a, b, *_ in sorted(edges, key=lambda e: (-e[2], 1.0 if e[3] is None else e[3], e[0], e[1])):
+        x, y = group[a], group[b]
+        if x is not y and not {key[n] for n in x} & {key[n] for n in y}:
+            x |= y
+            group |= dict.fromkeys(y, x)
+    return {n: min(x) for n, x in group.items()}
+
+
+@pytest.mark.parametrize("last", [5, 200_000])
+def test_constrained_components_are_the_unions_in_order(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST_LINKS", last)
+    rng = random.Random(11)
+    nodes = [(i, f"s{rng.randrange(9)}", rng.choice("ab")) for i in range(120)]
+    pairs = {tuple(sorted(rng.sample(range(110), 2))) for _ in range(400)}
+    edges = [(a, b, rng.randrange(1, 8) / 8, rng.choice([None, 0.25, 0.5])) for a, b in sorted(pairs)]
+    n, e = spark.createDataFrame(nodes, "node long, seq string, slug string"), spark.createDataFrame(edges, "a long, b long, jaccard double, clip_distance double")
+    got = {r["node"]: r["component"] for r in graph.constrained_components(n, e).collect()}
+    assert got == unions_in_order(nodes, edges) and len(set(got.values())) < 100
