@@ -165,19 +165,28 @@ def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
     return reused.unionByName(fresh.select("key", (F.col("top") + 1 + F.col("new_id")).alias("component_id")))
 
 
-def hop_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
-    """step, node: a path of the fewest edges, among those the one of least nodes from the goal back; no rows if there is none.  Ends when the goal is reached or a hop reaches nothing new."""
+def hop_path(edges: DataFrame, start: int, goal: int | None = None) -> DataFrame:
+    """step, node: a path of the fewest edges, among those the one of least nodes from the goal back; no rows if there is none.  Ends when the goal is reached or a hop reaches nothing new.
+
+    Without a goal the path leads to the largest node that can be reached.
+    """
     spark = edges.sparkSession
     both = materialised(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     kind = edges.schema["a"].dataType.simpleString()
     fronts = [materialised(spark.createDataFrame([(start, None)], f"node {kind}, parent {kind}"))]  # one written table a hop
-    while not fronts[-1].where(F.col("node") == goal).limit(1).count():
-        seen = reduce(DataFrame.unionByName, fronts).select("node")
+    while goal is None or not fronts[-1].where(F.col("node") == goal).limit(1).count():
+        seen = reduce(DataFrame.unionByName, fronts[-2:]).select("node")  # what a front reaches lies in the one before it, in itself, or in none
         front = fronts[-1].select(F.col("node").alias("a"))
         reached = both.join(front, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen, "node", "left_anti").select("node", "parent")
         fronts.append(materialised(reached))
         if not fronts[-1].limit(1).count():
-            return spark.createDataFrame([], f"step int, node {kind}")
+            if goal is not None:
+                return spark.createDataFrame([], f"step int, node {kind}")
+            fronts.pop()
+            goal = reduce(DataFrame.unionByName, fronts).agg(F.max("node")).first()[0]
+            while not fronts[-1].where(F.col("node") == goal).limit(1).count():
+                fronts.pop()
+            break
     path, node = [], goal
     for step in range(len(fronts) - 1, -1, -1):
         path.append((step, node))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sceneloom.catalog import query
 from sceneloom.operators import cluster, graph, windows
 from sceneloom.plans.tables import FRAMES, INCIDENCE, POINTS, frames, incidence, points, table
+from sceneloom.session import materialised
 
 _EDGES = f"""{INCIDENCE}, d AS (SELECT DISTINCT node, point FROM i), z AS (SELECT node, count(*) AS size FROM d GROUP BY node HAVING count(*) >= 3), n AS (SELECT DISTINCT node, image FROM i),
 k AS (SELECT node, point FROM d JOIN z USING (node)),
@@ -87,11 +88,10 @@ def stable_ids(spark, sf_dir):
 
 @query("hop_path")
 def hop_path(spark, sf_dir):
-    """A path of the fewest edges between two nodes of one component."""
-    e = _edges(spark, sf_dir)
-    ends = e.agg(F.min("a").alias("a")).first()["a"]
-    far = graph.components(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), e).where(F.col("component") == ends).agg(F.max("node")).first()[0] if ends is not None else None
-    return graph.hop_path(e, ends, far) if ends is not None else spark.createDataFrame([], "step int, node long")
+    """A path of the fewest edges between the least and the largest node of one component."""
+    e = materialised(_edges(spark, sf_dir).select("a", "b"))
+    start = e.agg(F.min("a").alias("a")).first()["a"]
+    return graph.hop_path(e, start) if start is not None else spark.createDataFrame([], "step int, node long")
 
 
 @query("frame_runs", f"WITH {FRAMES}, g AS (SELECT label, frame_no, frame_no - row_number() OVER (PARTITION BY label ORDER BY frame_no) AS island FROM f), r AS (SELECT label, min(frame_no) AS first_frame, max(frame_no) AS last_frame, count(*) AS frames FROM g GROUP BY label, island HAVING count(*) > 5) SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY first_frame) AS INTEGER) AS run_no FROM r")

@@ -484,3 +484,8 @@ def test_dbscan_compares_what_the_outermost_points_leave_open(spark):
     rows = [*ring, [0.279, 0.279, 0.279], *[[x + 0.29 * 2, y + 0.29 * 2, z + 0.29 * 2] for x, y, z in ring], [0.581, 0.581, 0.565]]
     df = spark.createDataFrame([(7, i, p) for i, p in enumerate(rows)], "component_id int, id long, p array<double>")
     assert {r["id"]: r["cluster"] for r in cluster.dbscan(df, 0.52, 5).collect()} == dbscan_brute(list(enumerate(rows)), 0.52, 5)
+
+
+def test_hop_path_to_the_largest_node_reached(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 7), (7, 3), (1, 3), (3, 4), (8, 9)], "a long, b long")
+    assert [r["node"] for r in graph.hop_path(edges, 1).orderBy("step").collect()] == [1, 2, 7]
