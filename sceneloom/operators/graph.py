@@ -155,11 +155,21 @@ def constrained_components(nodes: DataFrame, edges: DataFrame, distance: str = "
 
 
 def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
-    """key, component_id: of new components (key, instances) those of old ones (component_id, instances): the same set's, else the least id of a subset, else a new id by key."""
-    named = new.select("key", F.explode("instances").alias("instance"), F.size("instances").alias("size"))
-    known = old.select("component_id", F.explode("instances").alias("instance"), F.size("instances").alias("old_size"))
-    inside = named.join(known, "instance").groupBy("key", "component_id", "size", "old_size").agg(F.count(F.lit(1)).alias("shared")).where("shared = old_size")
+    """key, component_id: of new components (key, instances) those of old ones (component_id, instances): the same set's, else the least id of a subset, else a new id by key.
+
+    A set within another shares its rarest instance with it, too: only the new sets that hold the instance of an old set that
+    fewest new sets hold are looked at.
+    """
+    named = materialised(new.select("key", F.explode("instances").alias("instance"), F.size("instances").alias("size")))
+    known = materialised(old.select("component_id", F.explode("instances").alias("instance"), F.size("instances").alias("old_size")))
+    often = named.groupBy("instance").agg(F.count(F.lit(1)).alias("often"))
+    rare = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "instance")).alias("rare")
+    rarest = known.join(often, "instance", "left").groupBy("component_id", "old_size").agg(rare).where("rare.often > 0").select("component_id", "old_size", "rare.instance")
+    asked = materialised(rarest.join(named, "instance").where("old_size <= size").select("key", "component_id", "size", "old_size"))
+    each = asked.join(known.drop("old_size"), "component_id").join(named.select("key", "instance"), ["key", "instance"], "left_semi")
+    inside = each.groupBy("key", "component_id", "size", "old_size").agg(F.count(F.lit(1)).alias("shared")).where("shared = old_size")
     reused = inside.groupBy("key").agg(F.min_by("component_id", F.struct((F.col("size") != F.col("old_size")).alias("grown"), "component_id")).alias("component_id"))
+    reused = materialised(reused)
     top = old.agg(F.coalesce(F.max("component_id"), F.lit(-1)).alias("top"))
     fresh = renumbered(new.select("key").join(reused, "key", "left_anti"), "key").crossJoin(F.broadcast(top))
     return reused.unionByName(fresh.select("key", (F.col("top") + 1 + F.col("new_id")).alias("component_id")))

@@ -486,6 +486,24 @@ def test_dbscan_compares_what_the_outermost_points_leave_open(spark):
     assert {r["id"]: r["cluster"] for r in cluster.dbscan(df, 0.52, 5).collect()} == dbscan_brute(list(enumerate(rows)), 0.52, 5)
 
 
+def test_stable_ids_looks_only_at_sets_with_the_rarest_instance(spark, monkeypatch):
+    rng = random.Random(4)
+    old = {i: set(rng.sample(range(40), rng.randrange(1, 4))) | {99} for i in range(60)}
+    new = {k: set(rng.sample(range(40), rng.randrange(3, 12))) | {99} for k in range(50)} | {100: {7000}, 101: set(old[5])}
+    frame = lambda sets, name: spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], f"{name} long, instances array<long>")
+    written, rows = graph.materialised, []
+    monkeypatch.setattr(graph, "materialised", lambda df: (out := written(df), rows.append((set(df.columns), out.count())))[0])
+    got = {r["key"]: r["component_id"] for r in graph.stable_ids(frame(new, "key"), frame(old, "component_id")).collect()}
+    want, top = {}, max(old)
+    for k, x in sorted(new.items()):
+        inside = [i for i, y in old.items() if y <= x]
+        same = [i for i in inside if old[i] == x]
+        want[k] = min(same or inside) if inside else (top := top + 1)
+    assert got == want
+    pairs = [n for columns, n in rows if {"key", "component_id", "size"} <= columns]
+    assert len(pairs) == 1 and pairs[0] < len(old) * len(new) / 2  # 99 is in all of them
+
+
 def test_hop_path_to_the_largest_node_reached(spark):
     edges = spark.createDataFrame([(1, 2), (2, 7), (7, 3), (1, 3), (3, 4), (8, 9)], "a long, b long")
     assert [r["node"] for r in graph.hop_path(edges, 1).orderBy("step").collect()] == [1, 2, 7]
