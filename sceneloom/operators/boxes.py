@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions.geometry import box_corners, extent, middle, projected
+from sceneloom.session import materialised
 
 
 def percentile_boxes(members: DataFrame, points: DataFrame, percentile: float = 95.0) -> DataFrame:
@@ -35,10 +38,25 @@ def box_statistics(boxes: DataFrame) -> DataFrame:
     return boxes.agg(F.min(volume).alias("min_volume"), F.max(volume).alias("max_volume"), F.avg(volume).alias("mean_volume"), F.median(volume).alias("median_volume"), *sizes)
 
 
+#: Rows on average that a task of ``visibility`` sorts or counts at a time.
+TASK_ROWS = 500_000
+
+
 def visibility(members: DataFrame, track: DataFrame) -> DataFrame:
-    """component_id, image_id, visible_points, total_points: how often a component's points are seen by an image (a point counts as often as its track names the image)."""
-    total = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("total_points"))
-    return members.join(track.select("point3d_id", "image_id"), "point3d_id").groupBy("component_id", "image_id").agg(F.count(F.lit(1)).alias("visible_points")).join(total, "component_id")
+    """component_id, image_id, visible_points, total_points: how often a component's points are seen by an image (a point counts as often as its track names the image).
+
+    Tasks become more as rows do, so that none holds more than about ``TASK_ROWS`` of them, but for what one key has.
+    """
+    members = materialised(members)
+    seen = materialised(track.groupBy("point3d_id", "image_id").agg(F.count(F.lit(1)).alias("times")))
+    least = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows, n, *keys: rows.repartition(max(least, math.ceil(n / TASK_ROWS)), *keys)
+    m, s = members.count(), seen.count()
+    total = dealt(members, m, "component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("total_points"))
+    met = materialised(dealt(members, m + s, "point3d_id").join(dealt(seen, m + s, "point3d_id"), "point3d_id").select("component_id", "image_id", "times"))
+    n = met.count()
+    visible = dealt(met, n, "component_id", "image_id").groupBy("component_id", "image_id").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("visible_points"))
+    return visible.join(total, "component_id")
 
 
 def visible_enough(counts: DataFrame, fraction: float = 0.3) -> DataFrame:

@@ -507,3 +507,14 @@ def test_stable_ids_looks_only_at_sets_with_the_rarest_instance(spark, monkeypat
 def test_hop_path_to_the_largest_node_reached(spark):
     edges = spark.createDataFrame([(1, 2), (2, 7), (7, 3), (1, 3), (3, 4), (8, 9)], "a long, b long")
     assert [r["node"] for r in graph.hop_path(edges, 1).orderBy("step").collect()] == [1, 2, 7]
+
+
+def test_visibility_makes_more_tasks_of_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "TASK_ROWS", 10)
+    members = spark.createDataFrame([(c, p) for c in range(20) for p in range(c, c + 10)], "component_id long, point3d_id long")
+    track = spark.createDataFrame([(p, p % 3) for p in range(30)] * 2, "point3d_id long, image_id long")
+    sizes, written = [], boxes.materialised
+    monkeypatch.setattr(boxes, "materialised", lambda df: (sizes.append(df.rdd.getNumPartitions()) if "times" in df.columns and "component_id" in df.columns else None, written(df))[1])
+    got = {(r["component_id"], r["image_id"]): (r["visible_points"], r["total_points"]) for r in boxes.visibility(members, track).collect()}
+    assert got == {(c, i): (2 * sum(p % 3 == i for p in range(c, c + 10)), 10) for c in range(20) for i in range(3)}
+    assert sizes and sizes[0] >= 20
