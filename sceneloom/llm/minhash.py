@@ -12,7 +12,8 @@ Sets of likeness s meet in a table unless one collection has no equal band: at 0
    aggregates.  Where few meet, pairs are made once for all tables, and those whose
    minhashes agree too rarely go (``agreement``).  Where many meet, the documents are dealt into
    blocks of bounded size, in which minhashes are compared, and only a spanning forest of what agrees
-   leaves the block; what the forests connect is a cluster.
+   leaves the block; what the forests connect is a cluster.  Ever larger shares of a key's pairs are compared,
+   all in the end, and what earlier forests connect is one node in later ones (``agreeing_clusters``).
 
 Whatever is proposed is verified on the full sets of shingles (``link_block``), where hashes of
 shingles have no last word.
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom.llm import ngram_join
 from sceneloom.llm.bytesnp import mix, shingles, text_blocks
 from sceneloom.llm.components import connected_components
 from sceneloom.llm.ngram_join import _NO_ID, PAIR_DOCS, _cluster_blocks, _dealt, _link_rows
@@ -39,6 +41,8 @@ from sceneloom.llm.shared import checked_broadcast, cut, documents
 BANDS, ROWS = 12, 2
 #: Tables of the first round.
 FIRST_TABLES = 2
+#: Keys of a document whose other documents it meets first, where many meet; and how many times more parts of a key meet in each further round.
+FIRST_KEYS, MORE_PARTS = 4, 8
 _SEED = 0x2545F4914F6CDD1D
 
 
@@ -82,48 +86,82 @@ def agreement(hashes: int, likeness: float) -> int:
     return max(1, math.floor(hashes * likeness - 7 * math.sqrt(hashes * likeness * (1 - likeness))))
 
 
-def spanning(signatures: np.ndarray, component: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of rows of different components whose minhashes agree in at least ``least`` places."""
+def spanning(signatures: np.ndarray, component: np.ndarray, least: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of rows of different components whose minhashes agree in at least ``least`` places; rows of one ``joined`` are one node."""
     n = len(signatures)
     agree = np.zeros((n, n), np.uint16)
     for column in signatures.T:
         agree += column[:, None] == column[None, :]
     near = (agree >= least) & (component[:, None] != component[None, :])
+    node = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
     left, edges = np.ones(n, bool), []
     for seed in range(n):
         if not left[seed]:
             continue
-        left[seed] = False
-        frontier = np.array([seed])
+        frontier = np.flatnonzero(node == node[seed])
+        left[frontier] = False
         while len(frontier):
             reached = near[frontier] & left
             new = np.flatnonzero(reached.any(0))
+            new = new[np.unique(node[new], return_index=True)[1]]
             edges += zip(frontier[reached[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
-            left[new] = False
-            frontier = new
+            frontier = np.flatnonzero(np.isin(node, node[new])) if len(new) else new
+            left[frontier] = False
     return edges
 
 
 def _forest_rows(least: int):
     def forest(rows: list[tuple]) -> pa.RecordBatch:
         ids = [r[0] for r in rows]
-        edges = spanning(np.array([r[2] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64), least) if len(rows) > 1 else []
+        edges = spanning(np.array([r[3] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64), least, np.array([r[2] for r in rows], np.int64)) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in edges], pa.int64()), pa.array([ids[j] for _, j in edges], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = None, []
         for batch in batches:
             signatures = batch["signature"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else []
-            for key, doc, component, own in zip(batch["block"].to_pylist(), batch["doc_id"].to_pylist(), batch["component"].to_pylist(), signatures, strict=True):
+            for key, doc, component, joined, own in zip(batch["block"].to_pylist(), batch["doc_id"].to_pylist(), batch["component"].to_pylist(), batch["joined"].to_pylist(), signatures, strict=True):
                 if key != block:
                     yield forest(rows)
                     block, rows = key, []
-                rows.append((doc, component, own))
+                rows.append((doc, component, joined, own))
         yield forest(rows)
 
     return run
 
 
+def agreeing_clusters(met: DataFrame, signed: DataFrame, likeness: tuple[int, int], least: int) -> DataFrame:
+    """doc_id, cluster: what is connected by pairs of different components that meet on a key of ``met`` (key, doc_id, component, n, members) and agree in ``least`` minhashes of ``signed`` (doc_id, component, signature).
+
+    A block's forest tells nothing of other blocks, so all blocks of a key at once give a row for each member and part of the
+    key.  Hence rounds: first each document meets one part of a few of its keys, then ``MORE_PARTS`` parts of each, and so on until all of a key's have
+    met.  A document that agrees with many has been joined with them by few, and pairs already joined are no edges:
+    what a round gives grows with the documents, as the rest of a graph that a sample of its edges does not connect is small.
+    """
+    joined = met.select("doc_id", F.col("doc_id").alias("cluster")).where(F.lit(False))
+    most = met.agg(F.max("members")).first()[0]
+    if not most:
+        return joined
+    parts = F.ceil(2 * F.col("members") / ngram_join.BLOCK_DOCS)
+    few = met.groupBy("doc_id", "component", "n").agg(F.slice(F.sort_array(F.collect_set(F.struct("key", "members"))), 1, FIRST_KEYS).alias("few")).select("doc_id", "component", "n", F.inline("few"))
+    spans = [1, MORE_PARTS]
+    while spans[-1] * ngram_join.BLOCK_DOCS < 2 * most:
+        spans.append(spans[-1] * MORE_PARTS)
+    for i, span in enumerate(spans):
+        asked = few if not i else met if i == 1 else met.where(parts > spans[i - 1])
+        so_far = checked_broadcast(joined)
+        # no edges inside a cluster so far, nor inside a component
+        head = F.when(F.col("cluster").isNull(), F.xxhash64(F.lit(0), "component")).otherwise(F.xxhash64(F.lit(1), "cluster"))
+        dealt = F.xxhash64("key", F.pmod(F.xxhash64("doc_id", F.lit(20 + i)), F.ceil(parts / span)))
+        placed = cut(asked.join(so_far, "doc_id", "left").select(dealt.alias("cluster"), "doc_id", head.alias("component"), "n").distinct())
+        blocks = cut(_cluster_blocks(placed, *likeness).select("block", "doc_id"))
+        compared = blocks.join(signed.join(so_far, "doc_id", "left").select("doc_id", "component", F.coalesce("cluster", "doc_id").alias("joined"), "signature"), "doc_id")
+        forest = cut(compared.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_forest_rows(least), "a long, b long"))
+        if forest.limit(1).count():
+            joined = cut(connected_components(forest.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("cluster").alias("b")))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    return joined
+
+
 def minhash_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -171,10 +209,8 @@ def minhash_components(docs: DataFrame, width: int = 5, likeness: tuple[int, int
     pairs = pairs.join(checked_broadcast(partners), "x").withColumn("block", _dealt([F.col("x")], F.col("partners"), F.col("y"), 7))
     paired = [pairs.select("block", F.col(x).alias("doc_id"), F.col(f"c{x}").alias("component")) for x in ("x", "y")]
 
-    many = cut(met.where(F.col("members") > PAIR_DOCS).select(F.col("key").alias("cluster"), "doc_id", "component").join(of_class.select("doc_id", "n"), "doc_id").distinct())
-    compared = cut(_cluster_blocks(many, num, den)).join(of_class.select("doc_id", "signature"), "doc_id")
-    forest = compared.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_forest_rows(agreement(hashes, num / den)), "a long, b long")
-    clusters = connected_components(cut(forest.distinct())).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    many = cut(met.where(F.col("members") > PAIR_DOCS).select("key", "doc_id", "component", "members").join(of_class.select("doc_id", "n"), "doc_id").distinct())
+    clusters = agreeing_clusters(many, of_class.select("doc_id", "component", "signature"), likeness, agreement(hashes, num / den))
     inside = cut(clusters.join(of_class.select("doc_id", "component", "n"), "doc_id"))
     rest = cut(links(cut(reduce(DataFrame.unionByName, [*paired, _cluster_blocks(inside, num, den)]).distinct())))
     if rest.limit(1).count():

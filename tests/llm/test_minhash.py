@@ -100,3 +100,37 @@ def test_forest_spans_what_agrees():
         return head
 
     assert labels(edges) == labels(zip(*np.nonzero(near), strict=True)) and len(edges) == 60 - len(set(labels(edges)))
+
+
+def test_rows_joined_before_are_one_node():
+    """Then a forest connects what it did, with an edge less for each row joined."""
+    rng = np.random.default_rng(8)
+    signatures, component = rng.integers(0, 3, (60, 12)), rng.integers(0, 20, 60)
+    whole, joined = mh.spanning(signatures, component, 7), list(range(60))
+    for i, j in whole[: len(whole) // 2]:
+        joined = [min(joined[i], joined[j]) if x in (joined[i], joined[j]) else x for x in joined]
+    more = mh.spanning(signatures, component, 7, np.array(joined))
+    near = ((signatures[:, None] == signatures[None]).sum(2) >= 7) & (component[:, None] != component[None])
+    assert len(more) == len(whole) - len(whole) // 2 and all(near[i, j] and joined[i] != joined[j] for i, j in more)
+    assert mh.spanning(signatures, component, 7, np.zeros(60, np.int64)) == []
+
+
+def test_forests_grow_with_the_documents(spark, prose, monkeypatch):
+    """Documents alike but not enough to link meet on many keys, part by part: their forests have a few rows a document, not one for each key and part."""
+    monkeypatch.setattr(nj, "BLOCK_DOCS", 16)
+    made, counted = spark.sparkContext.accumulator(0), mh._forest_rows
+
+    def rows(least):
+        def run(batches):
+            for batch in counted(least)(batches):
+                made.add(len(batch))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(mh, "_forest_rows", rows)
+    rng = random.Random(4)
+    base = prose(rng, 100)
+    docs = [(i, f"{base} {prose(rng, 22)}") for i in range(120)] + [(200 + i, prose(rng, 60)) for i in range(20)]
+    assert components(spark.createDataFrame(docs, "doc_id long, text string"), 2, (80, 100)) == brute(docs, 2, 80, 100)
+    assert 119 <= made.value < (2 * mh.FIRST_KEYS + 2) * 120  # a document is in two size classes
