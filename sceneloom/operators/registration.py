@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from sceneloom.functions.geometry import distance, moved
 from sceneloom.operators.cluster import normals, normals_of
+from sceneloom.operators.spatial import _first_side
 from sceneloom.operators.windows import renumbered
 from sceneloom.session import materialised
 
@@ -206,13 +207,17 @@ def drawn(pairs: DataFrame, reach: float, trials: int = 20_000, seed: int = 0) -
 
 
 def met(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
-    """id, p, target_id, q, distance and the target's further columns: pairs of points at most ``reach`` apart, by cells of that side."""
-    at = lambda p: [F.floor(p[i] / reach) for i in range(3)]
-    x, y, z = (F.sequence(c - 1, c + 1) for c in at(F.col("q")))
+    """id, p, target_id, q, distance and the target's further columns: pairs of points at most ``reach`` apart, by cells of twice that side.
+
+    A target point is in each cell that it reaches, mostly eight.
+    """
+    side, wide = 2 * reach, reach * (1 + 1e-9)
+    at = lambda x: F.floor(x / side)
+    x, y, z = (F.sequence(at(F.col("q")[i] - wide), at(F.col("q")[i] + wide)) for i in range(3))
     cells = F.flatten(F.transform(x, lambda i: F.flatten(F.transform(y, lambda j: F.transform(z, lambda k: F.struct(i.alias("x"), j.alias("y"), k.alias("z")))))))
     extra = [c for c in target.columns if c not in ("id", "p")]
     there = target.select(F.col("id").alias("target_id"), F.col("p").alias("q"), *extra).withColumn("cell", F.explode(cells))
-    here = source.select("id", "p", F.struct(*[c.alias("xyz"[i]) for i, c in enumerate(at(F.col("p")))]).alias("cell"))
+    here = source.select("id", "p", F.struct(*[at(F.col("p")[i]).alias("xyz"[i]) for i in range(3)]).alias("cell"))
     return here.join(there, "cell").drop("cell").withColumn("distance", distance(F.col("p"), F.col("q"))).where(F.col("distance") <= reach)
 
 
@@ -222,20 +227,25 @@ def closest(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     return met(source, target, reach).groupBy("id").agg(F.min_by(F.struct("p", "q", "distance", *extra), F.struct("distance", "target_id")).alias("m")).select("id", "m.*")
 
 
-def fitted(source: DataFrame, target: DataFrame, motion: Motion, reach: float) -> Motion:
-    """The motion with its fitness and error over all points of the source."""
-    near = closest(source.select("id", motion.apply(F.col("p")).alias("p")), target.select("id", "p"), reach).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("distance") ** 2)).alias("rmse")).first()
-    return Motion(motion.rotation, motion.shift, near["n"] / max(1, source.count()), near["rmse"] or 0.0)
+def fitted(source: DataFrame, target: DataFrame, motions: list[Motion], reach: float) -> list[Motion]:
+    """The motions with their fitness and error over all points of the source."""
+    each = source.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), m.apply(F.col("p")).alias("p")) for k, m in enumerate(motions)])).alias("m"))
+    near = closest(each.select(F.struct("m.k", "id").alias("id"), "m.p"), target.select("id", "p"), reach)
+    sums = {r["k"]: r for r in near.groupBy("id.k").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("distance") ** 2)).alias("rmse")).collect()}
+    n = max(1, source.count())
+    return [Motion(m.rotation, m.shift, sums[k]["n"] / n, sums[k]["rmse"]) if k in sums else Motion(m.rotation, m.shift) for k, m in enumerate(motions)]
 
 
-def refined(source: DataFrame, target: DataFrame, motion: Motion, reach: float, rounds: int = 30) -> Motion:
-    """Iterative closest points: steps of least squares to the planes of the nearest target points (id, p, normal).
+def refined(source: DataFrame, target: DataFrame, motion: Motion, reach: float, rounds: int = 30, still: float = 1e-10) -> Motion:
+    """Iterative closest points: steps of least squares to the planes of the nearest target points (id, p, normal), or to the points themselves (id, p).
 
-    A round is one join and 28 sums, which alone come to the driver.  It ends when a step moves nothing by more than a 10^-10th of the reach.
+    A round is one join and 28 sums, which alone come to the driver.  It ends when a step moves nothing by more than ``still`` of the reach.
     """
     pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    axes = F.explode(F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)]))
     for _ in range(rounds):
         near = closest(source.select("id", motion.apply(F.col("p")).alias("p")), target, reach)
+        near = near if "normal" in target.columns else near.withColumn("normal", axes)
         row = near.select(F.concat(_cross(F.col("p"), F.col("normal")), F.col("normal")).alias("g"), _dot(F.zip_with("q", "p", lambda a, b: a - b), F.col("normal")).alias("r"))
         sums = row.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("g")[i] * F.col("g")[j]).alias(f"a{i}{j}") for i, j in pairs], *[F.sum(F.col("g")[i] * F.col("r")).alias(f"b{i}") for i in range(6)]).first()
         if sums["n"] < 6:
@@ -249,7 +259,44 @@ def refined(source: DataFrame, target: DataFrame, motion: Motion, reach: float,
         k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
         r = np.eye(3) + np.sin(turn) * k + (1 - np.cos(turn)) * k @ k
         motion = Motion(_rows(r @ np.array(motion.rotation)), tuple((r @ np.array(motion.shift) + step[3:]).tolist()))
-        if np.abs(step).max() <= 1e-10 * reach:
+        if np.abs(step).max() <= still * reach:
+            break
+    return motion
+
+
+def spread(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of points (p), and the axes along which they spread as columns, the least first."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    row = points.agg(*[F.avg(F.col("p")[i]) for i in range(3)], *[F.covar_pop(F.col("p")[i], F.col("p")[j]) for i, j in pairs]).first()
+    m = np.zeros((3, 3))
+    for (i, j), x in zip(pairs, row[3:], strict=True):
+        m[i, j] = m[j, i] = x
+    return np.array(row[:3]), np.linalg.eigh(m)[1]
+
+
+def guesses(source: DataFrame, target: DataFrame) -> list[Motion]:
+    """The shift of one mean to the other, and the four turns there that bring the axes of the source's spread to the target's: right for whole copies, however dense."""
+    (a, u), (b, v) = spread(source), spread(target)
+    turns = [np.eye(3)]
+    for x, y in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+        r = v @ np.diag([x, y, x * y * np.linalg.det(u) * np.linalg.det(v)]) @ u.T
+        turns.append(r)
+    return [Motion(_rows(r), tuple((b - r @ a).tolist())) for r in turns]
+
+
+def polished(source: DataFrame, target: DataFrame, motion: Motion, reach: float, rounds: int = 30) -> Motion:
+    """The motion fitted to the points themselves, none of them thinned, as long as that brings more of the source within reach, or as many with less error.
+
+    The reach is halved until few points share a cell of that side, and quartered after each success.  Points of one place are one.
+    """
+    a, b = (materialised(c.groupBy("p").agg(F.min("id").alias("id")).select("id", "p")) for c in (source, target))
+    reach = least = _first_side(b, 12, reach)
+    while reach > least / 64:
+        before, after = fitted(a, b, [motion, refined(a, b, motion, reach, rounds)], reach)
+        if (after.fitness, -after.rmse) <= (before.fitness, -before.rmse):
+            break
+        motion, reach = after, reach / 4
+        if after.rmse <= 1e-9 * reach:
             break
     return motion
 
@@ -258,9 +305,10 @@ def aligned(source: DataFrame, target: DataFrame, voxel: float | None = None, sc
     """The rigid motion that brings ``source`` (id, p) onto ``target`` (id, p); ids are unique, points that are not finite are left out.
 
     ``voxel`` is a fiftieth of the diagonal of the target's box by default.  At each scale both clouds are thinned to voxels of that
-    many times the side, matched by features, and a motion is drawn; the shift of one mean to the other is a candidate, too.
-    The candidate of the largest fitness (then least error) over both clouds at the finest voxel is refined there,
-    then with quarters of the reach as long as half of the points that were met still are; fitness and error are within one and a half voxels.  An empty cloud gives the identity with fitness 0.
+    many times the side, matched by features, and a motion is drawn; what means and axes say (``guesses``) are candidates, too.
+    The candidate of the largest fitness (then least error) over both clouds at half a voxel is refined to planes, first over one point a voxel,
+    then over one a quarter with quarters of the reach as long as half of the points that were met still are, and last to the points
+    themselves (``polished``); fitness and error are within one and a half voxels.  An empty cloud gives the identity with fitness 0.
     The same rows and seed give the same draws.
     """
     source, target = finite(source), finite(target)
@@ -268,19 +316,20 @@ def aligned(source: DataFrame, target: DataFrame, voxel: float | None = None, sc
     if box[0] is None or not source.limit(1).count():
         return Motion()
     voxel = voxel or float(np.linalg.norm(list(box))) / 50 or 1.0
-    means = [np.array(c.agg(*[F.avg(F.col("p")[i]) for i in range(3)]).first()) for c in (source, target)]
-    found = [Motion(shift=tuple((means[1] - means[0]).tolist()))]
+    found = guesses(source, target)
     for scale in scales:
         a, b = (materialised(thinned(c, scale * voxel)) for c in (source, target))
         best = drawn(materialised(matches(a, b, scale * voxel)), 1.5 * scale * voxel, trials, seed)
         found += [best] if best else []
-    a, b = (materialised(thinned(c, voxel / 4)) for c in (source, target))
-    b = materialised(outward(b, normals(b, NORMAL_NEIGHBOURS, voxel)))
-    motion, reach = max((fitted(a, b, m, 1.5 * voxel) for m in found), key=lambda m: (m.fitness, -m.rmse)), 2 * voxel
+    half = [materialised(thinned(c, voxel / 2)) for c in (source, target)]
+    motion, reach, side = max(fitted(*half, found, 1.5 * voxel), key=lambda m: (m.fitness, -m.rmse)), 2 * voxel, voxel
     share = motion.fitness
     while reach > voxel / 64:
-        better = fitted(a, b, refined(a, b, motion, reach, rounds), reach)
+        if side >= voxel / 4:
+            a, b = (materialised(thinned(c, side)) for c in (source, target))
+            b, side = materialised(outward(b, normals(b, NORMAL_NEIGHBOURS, voxel))), side / 4
+        better = fitted(a, b, [refined(a, b, motion, reach, rounds, still=1e-4)], reach)[0]
         if better.fitness < 0.5 * share or not share:
             break
         motion, share, reach = better, better.fitness, reach / 4
-    return fitted(a, b, motion, 1.5 * voxel)
+    return fitted(*half, [polished(source, target, motion, voxel / 8, rounds)], 1.5 * voxel)[0]

@@ -94,3 +94,21 @@ def test_likest_features_are_those_of_the_exact_search(spark, monkeypatch):
         want = similar(other.withColumnRenamed("id", "component_id"), own.withColumnRenamed("id", "query_id"), 1).collect()
         assert {(side, r["query_id"]): r["component_id"] for r in want}.items() <= got.items()
     assert len(got) == 23 + 34
+
+
+def test_copies_are_brought_back_to_the_last_digit(spark):
+    """A dense ball, where thinned clouds differ as they are turned: the motion is that of the points themselves, those of one place and the farthest included."""
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(3000, 3)) * [1.2, 1.25, 1.3]
+    p = np.concatenate([p, p[:200]])
+    q = p @ rotation().T + [1.0, -2.0, 3.0]
+    found = reg.aligned(cloud(spark, p), cloud(spark, q).withColumn("id", -F.col("id")), scales=(1,), trials=1000)
+    assert np.abs(np.array(found.rotation) @ p.T + np.array(found.shift)[:, None] - q.T).max() < 1e-11 and found.fitness == 1
+
+
+def test_met_is_the_nested_loop_on_edges_of_cells(spark):
+    """Points on a grid as wide as the reach, so that pairs lie on edges of cells and just as far apart as the reach."""
+    p = np.stack(np.meshgrid(*[np.arange(-2, 3) * 0.5] * 3), -1).reshape(-1, 3)
+    got = {(r["id"], r["target_id"]) for r in reg.met(cloud(spark, p), cloud(spark, p), 0.5).collect()}
+    d = np.linalg.norm(p[:, None] - p, axis=2)
+    assert got == {(i, j) for i, j in np.argwhere(d <= 0.5).tolist()}
