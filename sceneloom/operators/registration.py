@@ -71,7 +71,7 @@ def thinned(points: DataFrame, voxel: float) -> DataFrame:
 def outward(points: DataFrame, found: DataFrame) -> DataFrame:
     """id, p, normal: the normals (id, normal) that were found, turned away from the mean of all points, so that they move with the cloud."""
     middle = points.agg(F.array(*[F.avg(F.col("p")[i]) for i in range(3)]).alias("middle"))
-    each = points.join(found, "id").crossJoin(F.broadcast(middle))
+    each = points.join(found.hint("merge"), "id").crossJoin(F.broadcast(middle))
     inward = _dot(F.col("normal"), F.zip_with("p", "middle", lambda a, b: a - b)) < 0
     return each.select("id", "p", F.when(inward, F.transform("normal", lambda x: -x)).otherwise(F.col("normal")).alias("normal"))
 
@@ -209,7 +209,8 @@ def drawn(pairs: DataFrame, reach: float, trials: int = 20_000, seed: int = 0) -
 def met(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """id, p, target_id, q, distance and the target's further columns: pairs of points at most ``reach`` apart, by cells of twice that side.
 
-    A target point is in each cell that it reaches, mostly eight.
+    A target point is in each cell that it reaches, mostly eight.  Both clouds are shuffled: the file that a cloud comes from does not tell of these copies, so that a join left
+    to choose would send them all through the driver.
     """
     side, wide = 2 * reach, reach * (1 + 1e-9)
     at = lambda x: F.floor(x / side)
@@ -218,7 +219,7 @@ def met(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     extra = [c for c in target.columns if c not in ("id", "p")]
     there = target.select(F.col("id").alias("target_id"), F.col("p").alias("q"), *extra).withColumn("cell", F.explode(cells))
     here = source.select("id", "p", F.struct(*[at(F.col("p")[i]).alias("xyz"[i]) for i in range(3)]).alias("cell"))
-    return here.join(there, "cell").drop("cell").withColumn("distance", distance(F.col("p"), F.col("q"))).where(F.col("distance") <= reach)
+    return here.join(there.hint("merge"), "cell").drop("cell").withColumn("distance", distance(F.col("p"), F.col("q"))).where(F.col("distance") <= reach)
 
 
 def closest(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:

@@ -106,6 +106,19 @@ def test_copies_are_brought_back_to_the_last_digit(spark):
     assert np.abs(np.array(found.rotation) @ p.T + np.array(found.shift)[:, None] - q.T).max() < 1e-11 and found.fitness == 1
 
 
+def test_cells_of_a_cloud_do_not_pass_the_driver(spark, monkeypatch):
+    """No join of points by cells is a broadcast, although the files are small."""
+    from sceneloom.operators import spatial
+
+    seen, write = [], spatial.materialised
+    monkeypatch.setattr(spatial, "materialised", lambda rows: seen.append(rows) or write(rows))
+    points = cloud(spark, np.random.default_rng(7).random((300, 3)))
+    spatial.nearest(points, points, 3, 0.2)
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in (*seen, reg.met(points, points, 0.2))]
+    cells = [p for p in plans if "Generate explode" in p]
+    assert len(cells) >= 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in cells)
+
+
 def test_met_is_the_nested_loop_on_edges_of_cells(spark):
     """Points on a grid as wide as the reach, so that pairs lie on edges of cells and just as far apart as the reach."""
     p = np.stack(np.meshgrid(*[np.arange(-2, 3) * 0.5] * 3), -1).reshape(-1, 3)
